@@ -20,35 +20,48 @@ def length_bucket(s: Column) -> Column:
     return F.when(n <= 1, 0).when(n <= 3, 1).when(n <= 7, 2).when(n <= 15, 3).when(n <= 31, 4).otherwise(5)
 
 
+def _let(x: Column, f) -> Column:
+    """f(x) with x worked out once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _times(x: Column, k: int) -> Column:
     """x * k modulo 2**32, for 0 <= x < 2**32, without overflow."""
-    return (x * (k & 0xFFFF) + ((x * (k >> 16)).bitwiseAND(0xFFFF)) * 65536).bitwiseAND(0xFFFFFFFF)
+    return _let(x, lambda v: (v * (k & 0xFFFF) + ((v * (k >> 16)).bitwiseAND(0xFFFF)) * 65536).bitwiseAND(0xFFFFFFFF))
 
 
 def _turn(x: Column, by: int) -> Column:
-    return F.shiftleft(x, by).bitwiseAND(0xFFFFFFFF).bitwiseOR(F.shiftright(x, 32 - by))
+    return _let(x, lambda v: F.shiftleft(v, by).bitwiseAND(0xFFFFFFFF).bitwiseOR(F.shiftright(v, 32 - by)))
+
+
+def _mixed(x: Column, by: int) -> Column:
+    return _let(x, lambda v: v.bitwiseXOR(F.shiftright(v, by)))
 
 
-def murmur3(parts: list[Column], seed: int) -> Column:
-    """Murmur3 (x86, 32 bits) of little-endian 32-bit numbers."""
-    h = F.lit(seed).cast("long")
-    for p in parts:
+def murmur3(parts: Column, seed: int) -> Column:
+    """Murmur3 (x86, 32 bits) of an array of little-endian 32-bit numbers."""
+
+    def step(h, p):
         k = _times(_turn(_times(p, 0xCC9E2D51), 15), 0x1B873593)
-        h = (_turn(h.bitwiseXOR(k), 13) * 5 + 0xE6546B64).bitwiseAND(0xFFFFFFFF)
-    h = h.bitwiseXOR(F.lit(4 * len(parts)).cast("long"))
-    h = _times(h.bitwiseXOR(F.shiftright(h, 16)), 0x85EBCA6B)
-    h = _times(h.bitwiseXOR(F.shiftright(h, 13)), 0xC2B2AE35)
-    return h.bitwiseXOR(F.shiftright(h, 16))
+        return (_turn(h.bitwiseXOR(k), 13) * 5 + 0xE6546B64).bitwiseAND(0xFFFFFFFF)
+
+    h = F.aggregate(parts, F.lit(seed).cast("long"), step)
+    h = h.bitwiseXOR((F.size(parts) * 4).cast("long"))
+    return _mixed(_times(_mixed(_times(_mixed(h, 16), 0x85EBCA6B), 13), 0xC2B2AE35), 16)
 
 
 def ngram_buckets(s: Column, n: int, seed: int) -> Column:
     """16 shares of hashed n-grams of code points."""
-    cps = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    count = F.greatest(F.size(cps) - (n - 1), F.lit(0))
-    at = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    hashed = F.transform(at, lambda i: murmur3([F.element_at(cps, i + k) for k in range(n)], seed).bitwiseAND(15))
-    share = lambda b: F.when(F.size(cps) > 1, F.size(F.filter(hashed, lambda h: h == b)) / (F.size(cps) - 1)).otherwise(0.0)
-    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: share(b.cast("long")))
+    points = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+
+    def shares(cps):
+        count = F.greatest(F.size(cps) - (n - 1), F.lit(0))
+        at = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+        hashed = F.transform(at, lambda i: murmur3(F.slice(cps, i, F.lit(n)), seed).bitwiseAND(15))
+        over = F.greatest(F.size(cps) - 1, F.lit(1))
+        return _let(hashed, lambda hs: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.size(F.filter(hs, lambda h: h == b.cast("long"))) / over))
+
+    return _let(points, shares)
 
 
 def features(s: Column) -> Column:
