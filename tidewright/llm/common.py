@@ -72,9 +72,9 @@ def gapless_rank(df: DataFrame, key: str, salt: F.Column, order: list, out: str)
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in the undirected ``edges`` (a, b): the smallest id reachable.
 
-    Each pass lets every node point to its least neighbour, follows that pointer once and
-    contracts the edges, so passes are few (logarithmic in practice); the loop ends when no
-    edge joins two components. Only minima per node are aggregated, so hubs cost one row a task.
+    Each pass lets every node point to its least neighbour, follows pointers to their roots
+    (in a logarithm of steps, long chains included) and contracts the edges; the loop ends
+    when no edge joins two components. Only minima per node are aggregated, so hubs cost one row a task.
     Empty edges give an empty table; self loops and repeats don't matter.
     """
     live = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -85,8 +85,13 @@ def components(edges: DataFrame) -> DataFrame:
         ends = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = ends.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("p"))
         up = settle(up)
-        over = up.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        up = settle(up.join(over, "p", "left").select("v", F.coalesce("q", "p").alias("p")))
+        while True:  # follow pointers to their roots, doubling the step each time
+            over = up.select(F.col("v").alias("p"), F.col("p").alias("q"))
+            up = settle(up.join(over, "p", "left").select("v", F.coalesce("q", "p").alias("p"), F.coalesce(F.col("q") != F.col("p"), F.lit(False)).alias("moved")))
+            over_all = up.where("moved").isEmpty()
+            up = up.drop("moved")
+            if over_all:
+                break
         labels = settle(
             labels.join(up.withColumnRenamed("v", "component"), "component", "left")
             .select("id", F.coalesce("p", "component").alias("component"))
