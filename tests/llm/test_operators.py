@@ -95,6 +95,11 @@ def test_mixing(spark, few):
     assert abs(sum(t for _, t, _ in per.values()) - sum(r["size"] for r in rows)) < 1e-6
     assert mixing.mixed_documents(few).count() == sum(r["copies"] for r in rows)
     assert mixing.mix(few.limit(0)).count() == 0
+    with pytest.MonkeyPatch.context() as patch:  # too many sources to broadcast: dealt by source and salt
+        patch.setattr(mixing, "BROADCAST_BYTES", -1)
+        assert sorted(map(str, mixing.mix(few).collect())) == sorted(map(str, rows))
+        clashing = few.selectExpr("*", "1 as whole", "2 as cut", "3 as s")
+        assert mixing.mixed_documents(clashing).count() == sum(r["copies"] for r in rows)
 
 
 def test_secrets(spark, few):

@@ -11,6 +11,8 @@ from .common import settle
 LEVEL_BITS, HASH_BITS = 12, 60
 #: No source, and so no document, is taken more often.
 MOST = 3
+#: Tables of sources are broadcast up to this size, counted first; larger ones are dealt by source and so many salts.
+BROADCAST_BYTES, SPREAD = 8 << 20, 16
 
 
 def word_count(text: Column) -> Column:
@@ -99,6 +101,20 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return edge.select("source", "whole", "cut")
 
 
+def by_source(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows (with source and doc_id) joined to table (_mix_source, ...; one row a source), nulls matched.
+
+    A table that has been found to be small goes to the rows. Otherwise rows are dealt by
+    source and a salt from their id, the table to every salt, so that a hot source is split.
+    """
+    bytes_of = F.coalesce(F.octet_length("_mix_source"), F.lit(0)) + 64
+    if (table.agg(F.sum(bytes_of)).first()[0] or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_mix_source")))
+    salted = table.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).cast("long"))
+    same = F.col("source").eqNullSafe(F.col("_mix_source")) & (F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)) == F.col("_mix_salt"))
+    return rows.join(salted, same).drop("_mix_salt")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words) and h (60 bits of md5 of the id; null id: of 'null') of every document."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
@@ -119,11 +135,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST)
     """
     rows = settle(sized(docs))
     plan = settle(budgets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    cuts = thresholds(rows, plan)
-    by = plan.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnRenamed("source", "s")
+    cuts = thresholds(rows, plan).withColumnRenamed("source", "_mix_source")
+    by = settle(plan.join(cuts, F.col("source").eqNullSafe(F.col("_mix_source"))).drop("source"))
     copies = F.col("whole") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
     return (
-        rows.join(by, F.col("source").eqNullSafe(F.col("s")))
+        by_source(rows, by)
         .withColumn("copies", copies.cast("int"))
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "h", "cut", "whole")
     )
@@ -133,12 +149,12 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     """The mix itself: the rows of docs, as they are, each as often as the mix takes it."""
     rows = settle(sized(docs))
     plan = settle(budgets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    cuts = thresholds(rows, plan).select(F.col("source").alias("_s"), "whole", "cut")
+    cuts = thresholds(rows, plan).select(F.col("source").alias("_mix_source"), F.col("whole").alias("_mix_whole"), F.col("cut").alias("_mix_cut"))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     h = F.conv(F.substring(F.md5(name), 1, HASH_BITS // 4), 16, 10).cast("long")
-    copies = (F.col("whole") + F.when(h < F.col("cut"), 1).otherwise(0)).cast("int")
+    copies = (F.col("_mix_whole") + F.when(h < F.col("_mix_cut"), 1).otherwise(0)).cast("int")
     return (
-        docs.join(cuts, F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies)))
+        by_source(docs, cuts)
+        .withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), copies)))
         .select(*docs.columns)
     )
