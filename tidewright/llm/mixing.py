@@ -110,7 +110,7 @@ def by_source(rows: DataFrame, table: DataFrame) -> DataFrame:
     bytes_of = F.coalesce(F.octet_length("_mix_source"), F.lit(0)) + 64
     if (table.agg(F.sum(bytes_of)).first()[0] or 0) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_mix_source")))
-    salted = table.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).cast("long"))
+    salted = table.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
     same = F.col("source").eqNullSafe(F.col("_mix_source")) & (F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)) == F.col("_mix_salt"))
     return rows.join(salted, same).drop("_mix_salt")
 
