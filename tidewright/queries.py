@@ -45,7 +45,7 @@ def words(items) -> str:
 #: A source file for each document: comments, an import, definitions, strings and names with a piece of its text.
 _SNIPPET = (
     "concat('# coding: ', CASE WHEN doc_id % 2 = 0 THEN 'utf-8' ELSE 'latin-1' END, chr(10), '# ', {s}, chr(10), 'import numpy as ', CASE WHEN doc_id % 3 = 0 THEN 'ten' ELSE 'np' END, chr(10), "
-    "'def so_luong(tenhang, mã_khách):', chr(10), '    x = \"', {s}, '\"', chr(10), '    raise ValueError(\"', {s}, '\")', repeat(chr(10), 6), 'def ten_hang(b):', chr(10), '    \"Docs.\"', chr(10), "
+    "'def so_luong(tenhang, mã_khách):', chr(10), '    x = \"', {s}, '\"', chr(10), '    raise ValueError(\"', {s}, '\")', repeat(chr(10), 6), 'y = 1', chr(10), 'def ten_hang(b):', chr(10), '    \"Docs.\"', chr(10), "
     "'    danhSach = so_luong + á', chr(10), '    return danhSach', repeat(chr(10), 8), 'GetUser = getUser = nv = sdt0905123456 = FOO_BAR', chr(10), {s}, chr(10))"
 )
 _PIECE = r"[^\p{L}\p{N} ]"
