@@ -9,6 +9,7 @@ from ..functions import constants as C
 from ..functions.text import has_vietnamese
 
 KINDS_OF_NAMES = ("Identifier", "VietnameseIdentifier", "MixedIdentifier")
+BLANK = "^[ \\t\\r\\x0B\\x0C]"
 KINDS_OF_COMMENTS = ("Comment", "BlockComment", "VietnameseComment")
 
 
@@ -42,7 +43,7 @@ def token_kind(raw: Column, pos: Column, language: Column) -> Column:
         .when(script & raw.startswith("`"), "TemplateLiteral")
         .when(raw.rlike("^[\"']") | (native & raw.rlike('^R"')), "StringLiteral")
         .when(raw == "\n", "Newline")
-        .when(raw.rlike("^[ \\t\\r\\x0B\\x0C]"), "Whitespace")
+        .when(raw.rlike(BLANK), "Whitespace")
         .when(raw.rlike("^[A-Za-z_\\x{80}-\\x{10FFFF}]"), F.when(~marked & keyword_of(raw, language), "Keyword").otherwise(name_kind(raw)))
         .when(raw.rlike("^[0-9]"), "NumberLiteral")
         .when(python & raw.startswith("@"), "Decorator")
@@ -71,7 +72,8 @@ def tokens(sources: DataFrame, keep_space: bool = False, end: bool = True) -> Da
     kind = F.when(F.col("raw") == "", "EndOfFile").otherwise(token_kind(F.col("raw"), F.col("pos"), F.col("language")))
     rows = rows.withColumn("kind", kind)
     if not keep_space:
-        rows = rows.where(~F.col("kind").isin("Whitespace", "Newline"))
+        # what kind says of blanks, without working out the kinds of all tokens twice
+        rows = rows.where((F.col("raw") != "\n") & ~F.col("raw").rlike(BLANK))
     if not end:
         rows = rows.where("kind <> 'EndOfFile'")
     return rows.select("file", "language", "pos", "kind", "raw", "start", (F.col("start") + F.octet_length("raw")).cast("int").alias("end"), "line", "col", has_vietnamese(F.col("raw")).alias("has_vietnamese"))

@@ -63,100 +63,105 @@ def local_findings() -> dict[str, list[Column]]:
     }
 
 
-def local_rules(tokens: DataFrame, rules: list[str]) -> DataFrame:
-    """All token-local rules in one pass, without a shuffle."""
-    found = [c for r, columns in local_findings().items() if r in rules for c in columns]
-    hit = F.explode(F.filter(F.array(*found), lambda x: x.isNotNull()))
-    return tokens.withColumn("_f", hit).select("file", "_f.*", "line", "col", "start", "end").select(*OUT)
+def in_file(tokens: DataFrame, rules: list[str]) -> DataFrame:
+    """tokens with what the rules beyond single tokens ask of their file.
+
+    All windows are within files, as the tokens' own are, so that nothing is shuffled again;
+    only the segments of VL010 take another sort in place.
+    """
+    raw, kind, name = F.col("raw"), F.col("kind"), F.col("cls").isNotNull()
+    file = Window.partitionBy("file")
+    order = file.orderBy("pos")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    add: dict[str, Column] = {}
+    if "VL006" in rules:
+        style = F.when(name & (F.octet_length(raw) > 1), T.naming_style(raw))
+        add |= {f"_{k}": F.count_if(style == v).over(file) for k, v in STYLES.items()}
+        add["_first"] = F.row_number().over(order) == 1
+    if "VL008" in rules:
+        snake, camel = _transliterations()
+        add |= {"_s": F.count_if(snake).over(file), "_c": F.count_if(camel).over(file)}
+    if "VL009" in rules:
+        raised = F.when(raw.isin("raise", "throw"), 1).when(name | (kind == "Punctuation"), None).otherwise(0)
+        add["_raised"] = F.last(raised, ignorenulls=True).over(before)
+    if "VL010" in rules:
+        defined = F.when((kind == "Keyword") & (raw == "def"), 1).when(name, 0)
+        add["_defined"] = F.last(defined, ignorenulls=True).over(before)
+    if "VL011" in rules:
+        add["_previous"] = F.lag("raw").over(order)
+    rows = tokens.withColumns(add) if add else tokens
+    if "VL010" in rules:
+        named = name & (F.col("_defined") == 1)
+        opens = F.coalesce(named & (F.col("cls") == "TransliteratedViet"), F.lit(False))
+        rows = rows.withColumn("_opens", opens).withColumn("_seg", F.count_if("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        part = Window.partitionBy("file", "_seg").orderBy("pos")
+        rows = rows.withColumn("_line", F.first("line").over(part))
+        clear = (kind == "StringLiteral") & ~F.col("has_vietnamese")
+        event = F.when(named | ((kind == "Keyword") & (raw == "def")), None).when(clear, "clear").when(F.col("line") > F.col("_line") + 5, "flag")
+        whole = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.withColumn("_event", F.first(event, ignorenulls=True).over(whole))
+    return rows
 
 
-def _emit(rows: DataFrame, rule: str, severity: str, message: Column, identifier: Column) -> DataFrame:
-    return rows.select(
-        "file", F.lit(rule).alias("source_rule"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), message.alias("message"),
-        identifier.alias("identifier"), "line", "col", "start", "end", F.expr(NO_FIX).alias("fixes"),
-    )
+#: Naming styles that a file may be dominated by, in order of precedence.
+STYLES = {"snake_case": "SnakeCase", "camelCase": "CamelCase", "PascalCase": "PascalCase", "SCREAMING_SNAKE": "ScreamingSnake"}
 
 
-def naming_counts(tokens: DataFrame) -> DataFrame:
-    """By file: names in each of the four styles, and the file's first token."""
-    style = T.naming_style(F.col("raw"))
-    counted = F.col("cls").isNotNull() & (F.octet_length("raw") > 1)
-    each = {"snake_case": "SnakeCase", "camelCase": "CamelCase", "PascalCase": "PascalCase", "SCREAMING_SNAKE": "ScreamingSnake"}
-    return tokens.groupBy("file").agg(
-        *[F.count_if(counted & (style == v)).alias(k) for k, v in each.items()],
-        F.min_by(F.struct("line", "col", "start", "end"), "pos").alias("at"),
-    )
+def _transliterations() -> tuple[Column, Column]:
+    """Whether a token is a transliteration in snake case, or in camel case."""
+    raw, translit = F.col("raw"), F.coalesce(F.col("cls") == "TransliteratedViet", F.lit(False))
+    return translit & (F.instr(raw, "_") > 0), translit & (F.instr(raw, "_") == 0) & raw.rlike("(?s)^.[^A-Z]*[A-Z]")
 
 
-def mixed_styles(tokens: DataFrame) -> DataFrame:
-    """VL006: at least two styles beside the dominant one (ties: in the order snake, camel, Pascal, SCREAMING) hold over 5 %."""
-    styles = ["snake_case", "camelCase", "PascalCase", "SCREAMING_SNAKE"]
-    top, total = F.greatest(*styles), reduce(lambda a, b: a + b, map(F.col, styles))
-    dominant = reduce(lambda rest, s: F.when(F.col(s) == top, s).otherwise(rest), reversed(styles), F.lit(None))
-    counts = naming_counts(tokens).withColumn("_d", dominant).withColumn("_t", total)
-    others = reduce(lambda a, b: a + b, [F.when((F.col("_d") != s) & (F.col(s) * 20 > F.col("_t")), 1).otherwise(0) for s in styles])
-    rows = counts.where((F.col("_t") > 0) & (others >= 2)).select("file", "at.*", "_d")
-    return _emit(rows, "VL006", "info", F.concat(F.lit("File uses mixed naming styles. Dominant: "), F.col("_d"), F.lit(". Consider standardizing to one style.")), F.lit(""))
+def _mixed_styles() -> Column:
+    """VL006, at a file's first token: at least two styles beside the dominant one hold over 5 %."""
+    count = {k: F.col(f"_{k}") for k in STYLES}
+    top, total = F.greatest(*count.values()), reduce(lambda a, b: a + b, count.values())
+    dominant = reduce(lambda rest, k: F.when(count[k] == top, k).otherwise(rest), reversed(STYLES), F.lit(None))
+    others = reduce(lambda a, b: a + b, [F.when((dominant != k) & (n * 20 > total), 1).otherwise(0) for k, n in count.items()])
+    message = F.concat(F.lit("File uses mixed naming styles. Dominant: "), dominant, F.lit(". Consider standardizing to one style."))
+    return F.when(F.col("_first") & (total > 0) & (others >= 2), _finding("VL006", "VL006", "info", message, named=False))
 
 
-def inconsistent_transliteration(tokens: DataFrame) -> DataFrame:
+def _inconsistent_transliteration() -> Column:
     """VL008: where a file has snake and camel transliterations, names of the rarer style (camel on a tie)."""
-    raw = F.col("raw")
-    translit = F.col("cls") == "TransliteratedViet"
-    snake, camel = translit & (F.instr(raw, "_") > 0), translit & (F.instr(raw, "_") == 0) & raw.rlike("(?s)^.[^A-Z]*[A-Z]")
-    counts = tokens.groupBy("file").agg(F.count_if(snake).alias("_s"), F.count_if(camel).alias("_c")).where("_s > 0 and _c > 0")
-    rare = F.when(F.col("_s") < F.col("_c"), snake).otherwise(camel)
-    rows = tokens.join(counts, "file").where(rare)
+    snake, camel = _transliterations()
+    rare = (F.col("_s") > 0) & (F.col("_c") > 0) & F.when(F.col("_s") < F.col("_c"), snake).otherwise(camel)
     dominant = F.when(F.col("_s") >= F.col("_c"), "snake_case").otherwise("camelCase")
-    return _emit(rows, "VL008", "warning", F.concat(_says("Identifier '", "' uses inconsistent transliteration style. File predominantly uses "), dominant, F.lit(".")), raw)
+    message = F.concat(_says("Identifier '", "' uses inconsistent transliteration style. File predominantly uses "), dominant, F.lit("."))
+    return F.when(rare, _finding("VL008", "VL008", "warning", message))
 
 
-def sequential_rules(tokens: DataFrame, rules: list[str]) -> DataFrame:
-    """VL009, VL010 and VL011 over one window specification, so files are sorted once."""
-    raw, kind, name = F.col("raw"), F.col("kind"), F.col("cls").isNotNull()
-    order = Window.partitionBy("file").orderBy("pos")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    raised = F.when(raw.isin("raise", "throw"), 1).when(name | (kind == "Punctuation"), None).otherwise(0)
-    defined = F.when((kind == "Keyword") & (raw == "def"), 1).when(name, 0)
-    rows = tokens.select(
-        "*", F.last(raised, ignorenulls=True).over(before).alias("_raised"), F.last(defined, ignorenulls=True).over(before).alias("_defined"), F.lag("raw").over(order).alias("_previous"),
-    )
-    out = []
-    if "VL009" in rules:
-        hits = rows.where((F.col("_raised") == 1) & (kind == "StringLiteral") & F.col("has_vietnamese"))
-        out.append(_emit(hits, "VL009", "warning", F.lit("Exception message contains Vietnamese text. Use English for better international compatibility."), F.lit("")))
-    if "VL011" in rules:
-        hits = rows.where(F.col("language").isin("Python", "JavaScript") & (F.col("_previous") == "as") & (raw != "as") & F.col("cls").isin("TransliteratedViet", "PureVietnamese", "MixedVietnamese"))
-        out.append(_emit(hits, "VL011", "warning", _says("Import alias '", "' appears to be Vietnamese. Use conventional English aliases (e.g., 'import numpy as np')."), raw))
-    if "VL010" in rules:
-        opens = name & (F.col("_defined") == 1) & (F.col("cls") == "TransliteratedViet")
-        named = name & (F.col("_defined") == 1)
-        upto = order.rowsBetween(Window.unboundedPreceding, 0)
-        parts = rows.where(F.col("language") == "Python").withColumn("_seg", F.sum(F.when(opens, 1).otherwise(0)).over(upto)).where("_seg > 0")
-        first = Window.partitionBy("file", "_seg")
-        head = F.max(F.when(opens, F.struct("raw", "line", "col", "start", "end"))).over(first)
-        parts = parts.withColumn("_head", head)
-        clear = (kind == "StringLiteral") & ~F.col("has_vietnamese")
-        event = F.when(named | ((kind == "Keyword") & (raw == "def")), None).when(clear, "clear").when(F.col("line") > F.col("_head.line") + 5, "flag")
-        found = parts.withColumn("_event", event).groupBy("file", "_seg").agg(F.min_by("_event", F.when(F.col("_event").isNotNull(), F.col("pos"))).alias("_e"), F.first("_head").alias("_head"))
-        hits = found.where("_e = 'flag'").select("file", "_head.*")
-        out.append(_emit(hits, "VL010", "info", _says("Transliterated function '", "' lacks an English docstring. Add a docstring explaining what this function does."), raw))
-    return reduce(DataFrame.unionByName, out)
+def file_findings() -> dict[str, Column]:
+    """By rule: the finding that a token makes in its file, by the columns of in_file; null where it makes none."""
+    raw, kind = F.col("raw"), F.col("kind")
+    viet = F.col("cls").isin("TransliteratedViet", "PureVietnamese", "MixedVietnamese")
+    return {
+        "VL006": _mixed_styles(),
+        "VL008": _inconsistent_transliteration(),
+        "VL009": F.when(
+            (F.col("_raised") == 1) & (kind == "StringLiteral") & F.col("has_vietnamese"),
+            _finding("VL009", "VL009", "warning", F.lit("Exception message contains Vietnamese text. Use English for better international compatibility."), named=False),
+        ),
+        "VL010": F.when(
+            (F.col("language") == "Python") & F.col("_opens") & (F.col("_event") == "flag"),
+            _finding("VL010", "VL010", "info", _says("Transliterated function '", "' lacks an English docstring. Add a docstring explaining what this function does.")),
+        ),
+        "VL011": F.when(
+            F.col("language").isin("Python", "JavaScript") & (F.col("_previous") == "as") & (raw != "as") & viet,
+            _finding("VL011", "VL011", "warning", _says("Import alias '", "' appears to be Vietnamese. Use conventional English aliases (e.g., 'import numpy as np').")),
+        ),
+    }
 
 
-LOCAL, SEQUENTIAL = ("VL001", "VL002", "VL003", "VL004", "VL005", "VL007", "VL-EX-001", "VL-EX-002"), ("VL009", "VL010", "VL011")
 BUILT_IN = tuple(r[0] for r in C.RULES)
 
 
 def run_rules(tokens: DataFrame, rules: list[str] | tuple[str, ...] = BUILT_IN) -> DataFrame:
-    """Findings of the named rules over tokens (with their EndOfFile rows)."""
-    rows, out = analysed(tokens), []
-    if local := [r for r in rules if r in LOCAL]:
-        out.append(local_rules(rows, local))
-    if "VL006" in rules:
-        out.append(mixed_styles(rows))
-    if "VL008" in rules:
-        out.append(inconsistent_transliteration(rows))
-    if following := [r for r in rules if r in SEQUENTIAL]:
-        out.append(sequential_rules(rows, following))
-    return reduce(DataFrame.unionByName, out)
+    """Findings of the named rules over tokens (with their EndOfFile rows), all in one pass over them."""
+    rows = in_file(analysed(tokens), list(rules))
+    found = [c for r, columns in local_findings().items() if r in rules for c in columns] + [c for r, c in file_findings().items() if r in rules]
+    if not found:
+        raise ValueError("no rule of that name")
+    hit = F.explode(F.filter(F.array(*found), lambda x: x.isNotNull()))
+    return rows.withColumn("_f", hit).select("file", "_f.*", "line", "col", "start", "end").select(*OUT)

@@ -42,7 +42,7 @@ def words(items) -> str:
     return "(" + ", ".join(lit(w) for w in items) + ")"
 
 
-#: A source file for each document: comments, an import, definitions, strings and names with a piece of its text.
+#: A source file for each document: comments, an import, definitions, strings and names with its whole text.
 _SNIPPET = (
     "concat('# coding: ', CASE WHEN doc_id % 2 = 0 THEN 'utf-8' ELSE 'latin-1' END, chr(10), '# ', {s}, chr(10), 'import numpy as ', CASE WHEN doc_id % 3 = 0 THEN 'ten' ELSE 'np' END, chr(10), "
     "'def so_luong(tenhang, mã_khách):', chr(10), '    x = \"', {s}, '\"', chr(10), '    raise ValueError(\"', {s}, '\")', repeat(chr(10), 6), 'y = 1', chr(10), 'def ten_hang(b):', chr(10), '    \"Docs.\"', chr(10), "
@@ -52,7 +52,7 @@ _PIECE = r"[^\p{L}\p{N} ]"
 
 
 def code_files(docs: DataFrame) -> DataFrame:
-    s = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), _PIECE, ""), 1, 120)
+    s = F.regexp_replace(F.coalesce("text", F.lit("")), _PIECE, "")
     return docs.withColumn("_s", s).select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), F.expr(_SNIPPET.format(s="_s")).alias("source"), F.lit("Python").alias("language"))
 
 
@@ -60,7 +60,7 @@ def text_files(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), F.col("text").alias("source"), F.lit("Python").alias("language"))
 
 
-_S = f"substr(regexp_replace(coalesce(text, ''), {lit(_PIECE)}, '', 'g'), 1, 120)"
+_S = f"regexp_replace(coalesce(text, ''), {lit(_PIECE)}, '', 'g')"
 SQL_CODE = f"SELECT doc_id, 'doc' || doc_id || '.py' AS file, {_SNIPPET.format(s='s')} AS source FROM (SELECT doc_id, {_S} AS s FROM documents)"
 SQL_TEXT = "SELECT doc_id, 'doc' || doc_id || '.py' AS file, text AS source FROM documents"
 
@@ -227,9 +227,15 @@ def _tokens(spark, sf):
     return tokens(code_files(table(spark, sf, "documents")))
 
 
-@query("l02_tokens_python", sql_tokens(SQL_CODE) + 'SELECT file, pos, kind, raw, start, "end", line, col FROM tok')
+@query(
+    "l02_tokens_python",
+    sql_tokens(SQL_CODE) + "SELECT file, count(*) AS n, md5(string_agg(concat_ws(':', pos, kind, md5(raw), start, \"end\", line, col), ',' ORDER BY pos)) AS digest FROM tok GROUP BY file",
+)
 def l02(spark, sf):
-    return _tokens(spark, sf).select("file", "pos", "kind", "raw", "start", "end", "line", "col")
+    """A digest of all tokens of each file, in order."""
+    row = F.concat_ws(":", *[F.col(c).cast("string") for c in ("pos", "kind")], F.md5("raw"), *[F.col(c).cast("string") for c in ("start", "end", "line", "col")])
+    each = _tokens(spark, sf).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("pos", row.alias("r")))).alias("l"))
+    return each.select("file", "n", F.md5(F.array_join(F.transform("l", lambda x: x["r"]), ",")).alias("digest"))
 
 
 @query("l02_token_kinds_of_prose", sql_tokens(SQL_TEXT) + "SELECT kind, count(*) AS n, sum(start)::BIGINT AS starts, sum(line)::BIGINT AS lines, sum(col)::BIGINT AS cols FROM tok GROUP BY kind")
