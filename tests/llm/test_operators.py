@@ -108,6 +108,10 @@ def test_secrets(spark, few):
     assert [k for *_, k in spans] == ["assign", "access", "hex", "named"]
     assert text[spans[3][0] : spans[3][1]] == "Zx9Qw8Er7Ty6" and "Zx9Qw8Er7Ty6" not in secrets.redact(text)
     assert secrets.find_secrets(None) == secrets.find_secrets("") == [] and secrets.find_secrets("the secret: be kind") == []
+    for quote in ('"', "'", ""):  # literals of any length
+        long = "Zx9Qw8Er7Ty6" * 2000
+        text = f"db_credentials = {quote}{long}{quote}\nkey: ok"
+        assert [text[a:b] for a, b, k in secrets.find_secrets(text) if k == "named"] == [long]
     got = {r["doc_id"]: r for r in secrets.scan_documents(few).collect()}
     assert got[100]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert secrets.redact_documents(few).count() == few.count()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from . import embed, langid, minhash, mixing, packing, secrets, sharding, tokens, toxicity, winnow
 from .common import read_table
 
@@ -57,11 +55,12 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_jump_shards, op3_toxicity, op4_language, op5_token_counts, op6_mixing, op7_packing, op8_winnowing, op9_embeddings, op10_secrets, pipeline)}
 
-#: One jump of the consistent hash: (b, j) -> (j, floor((j + 1) * 2^31 / r)) while j is below the shard count.
+#: The first hexadecimal digits of an md5 as a number.
 _MD5 = "('0x' || substr(md5({text}), 1, {digits}))::BIGINT"
 
 
 def _jump(shards: int) -> str:
+    """Steps of the consistent hash: (b, j) -> (j, floor((j + 1) * 2^31 / r)) while j is below the shard count; b is the shard."""
     sql = "SELECT doc_id, -1::BIGINT AS b, 0::BIGINT AS j FROM (SELECT DISTINCT doc_id FROM documents)"
     for step in range(shards + 1):
         r = "((" + _MD5.format(text=f"coalesce(doc_id::VARCHAR, 'null') || ':{step}'", digits=8) + ") & 2147483647) + 1"
@@ -69,6 +68,7 @@ def _jump(shards: int) -> str:
     return sql
 
 
+#: crc32 of distinct texts, byte by byte through the table of the polynomial.
 _CRC = """
 poly AS (
   WITH RECURSIVE t(i, c, k) AS (
@@ -77,10 +77,25 @@ poly AS (
   ) SELECT list(c ORDER BY i) AS l FROM t WHERE k = 8
 ),
 bytes AS (
-  SELECT rowid AS rid, doc_id, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS x FROM documents
-)"""
+  SELECT text, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: ('0x' || p)::BIGINT)) AS x
+  FROM (SELECT DISTINCT coalesce(text, '') AS text FROM documents)
+),
+crcs AS (SELECT text, xor(list_reduce(x, lambda c, v: xor(c >> 8, l[(xor(c, v) & 255) + 1])), 4294967295)::BIGINT AS crc FROM bytes, poly)"""
 
 ORACLE_SQL = {
+    "op2_jump_shards": f"""
+WITH {_CRC},
+now AS ({_jump(8)}),
+grown AS ({_jump(9)}),
+placed AS (
+  SELECT d.doc_id, strlen(coalesce(d.text, '')) + 1 AS size, c.crc, n.b AS shard, g.b AS grown_shard,
+         {_MD5.format(text="'slot:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || c.crc", digits=3)} // 4 AS salt
+  FROM documents d JOIN crcs c ON c.text = coalesce(d.text, '') JOIN now n ON n.doc_id IS NOT DISTINCT FROM d.doc_id JOIN grown g ON g.doc_id IS NOT DISTINCT FROM d.doc_id
+)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY salt, doc_id NULLS LAST, crc, size) - 1 AS slot, grown_shard::INTEGER AS grown_shard
+FROM placed
+""",
     "op6_mixing": r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -114,4 +129,3 @@ SELECT d.doc_id, d.size, p.n AS source_size, p.target,
 FROM docs d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source JOIN edges e ON d.source IS NOT DISTINCT FROM e.source
 """,
 }
-del F
