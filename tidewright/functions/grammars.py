@@ -61,3 +61,14 @@ def declaration_findings(declarations: DataFrame, root: str = "") -> DataFrame:
     short = F.when(file.startswith(root), F.substring(file, len(root) + 1, 1 << 30)).otherwise(file) if root else file
     rule = F.when(cls == "MixedVietnamese", "VL-AST-002").otherwise("VL-AST-001")
     return rows.select(short.alias("file"), rule.alias("rule_id"), F.lit("warning").alias("severity"), "decl_kind", "qualified_name", name.alias("identifier"), T.ascii_name(name).alias("fix"), "line", "col")
+
+
+def naming_check(declarations: DataFrame) -> DataFrame:
+    """(file, line, col, message) of declarations of a main file (not system) whose names hold Vietnamese letters, whatever their class."""
+    message = F.concat(F.lit("[VL-AST-001]: identifier '"), F.col("name"), F.lit("' contains Vietnamese characters. Consider using ASCII equivalents."))
+    return declarations.where(~F.col("system") & T.has_vietnamese(F.col("name"))).select("file", "line", "col", message.alias("message"))
+
+
+def available(grammars: DataFrame, present: DataFrame) -> DataFrame:
+    """The grammars whose name is among those present (grammar)."""
+    return grammars.join(present, "grammar", "left_semi").select("grammar").distinct()

@@ -155,3 +155,26 @@ def code_actions(diagnostics: DataFrame) -> DataFrame:
         F.concat(F.lit("rename to '"), "fix", F.lit("'")).alias("title"), F.lit("quickfix").alias("kind"), F.lit(True).alias("isPreferred"), F.struct(edit.alias("changes")).alias("edit")
     )
     return rows.select("file", "start", "rule_id", F.to_json(action).alias("action"))
+
+
+#: What the server tells of itself.
+CAPABILITIES = {
+    "textDocumentSync": {"openClose": True, "change": 2, "willSave": False, "willSaveWaitUntil": False, "save": {"includeText": False}},
+    "hoverProvider": True,
+    "codeActionProvider": True,
+    "documentFormattingProvider": False,
+    "diagnosticProvider": {"identifier": "tidewright", "interFileDependencies": False, "workspaceDiagnostics": False},
+}
+
+
+def replies(read: DataFrame) -> DataFrame:
+    """(seq, id, reply) to messages that need no document: initialize, shutdown, completion, formatting, and errors."""
+    method = F.col("method")
+    hello = json.dumps({"capabilities": CAPABILITIES, "serverInfo": {"name": "tidewright", "version": "1.0.0"}})
+    result = F.when(method == "initialize", hello).when(method == "textDocument/completion", "[]").when(method.isin("shutdown", "textDocument/formatting"), "null")
+    text = F.when(F.col("error") == PARSE_ERROR, "Parse error").when(F.col("error") == INVALID_REQUEST, "Invalid request").otherwise("Method not found")
+    body = F.when(F.col("error").isNotNull(), F.concat(F.lit('"error":'), F.to_json(F.struct(F.col("error").alias("code"), text.alias("message"))))).otherwise(F.concat(F.lit('"result":'), result))
+    # a number stays a number; anything else is a string
+    name = F.when(F.col("id").rlike("^-?[0-9]+$"), F.col("id")).otherwise(F.coalesce(F.concat(F.lit('"'), F.col("id"), F.lit('"')), F.lit("null")))
+    reply = F.concat(F.lit('{"jsonrpc":"2.0","id":'), name, F.lit(","), body, F.lit("}"))
+    return read.select("seq", "id", reply.alias("reply")).where(F.col("reply").isNotNull())

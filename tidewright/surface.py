@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import grammars as G
-from .plans import engine, reports
-from .queries import _ALL, _EXT, SQL_NAMES, code_files, cls, fast, lit, names, plain, query, table
+from .plans import engine, reports, service, training
+from .queries import _ALL, _EXT, ORACLE_SQL, SQL_CODE, SQL_NAMES, code_files, cls, fast, lit, names, plain, query, table
 from .sources import files
 from .streaming import editor
 
@@ -90,3 +90,67 @@ def declarations(spark, sf):
         F.lit("src/a.cpp").alias("file"), F.lit("var").alias("decl_kind"), F.col("id").alias("qualified_name"), F.col("id").alias("name"), F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit(False).alias("system")
     )
     return G.declaration_findings(rows, "src/").select("rule_id", "identifier", "fix")
+
+
+@query("r15_naming_check", f"SELECT concat('[VL-AST-001]: identifier ''', id, ''' contains Vietnamese characters. Consider using ASCII equivalents.') AS message FROM ({SQL_NAMES}) WHERE {fast('id')}")
+def naming_check(spark, sf):
+    rows = names(spark, sf).select(F.lit("a.cpp").alias("file"), F.col("id").alias("name"), F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit(False).alias("system"))
+    return G.naming_check(rows).select("message")
+
+
+_STATS = "to_json({'done': true, 'stats': {'errors': count(*) FILTER (severity = 'error'), 'warnings': count(*) FILTER (severity = 'warning'), 'infos': count(*) FILTER (severity = 'info')}})::VARCHAR"
+
+
+@query(
+    "x10_event_stream",
+    _ALL + f"SELECT file, false AS done, 'data: ' || to_json({{'file': file, 'rule': rule_id, 'severity': severity, 'message': message, 'line': line, 'col': col, 'identifier': identifier, 'fixes': {_FIXES}}})::VARCHAR || chr(10) || chr(10) AS event FROM found "
+    f"UNION ALL SELECT s.file, true, 'data: ' || {_STATS} || chr(10) || chr(10) FROM ({SQL_CODE}) s LEFT JOIN found f ON f.file = s.file GROUP BY s.file",
+)
+def event_stream(spark, sf):
+    files_of = code_files(table(spark, sf, "documents"))
+    return service.event_stream(files_of, engine.lint(files_of)).select("file", "done", "event")
+
+
+#: Names as a corpus, with labels by the corpus' own rules.
+_CORPUS = f"(SELECT id, label, 0.7::DOUBLE AS confidence FROM ({ORACLE_SQL['f29_corpus_label']}))"
+_DEFICITS = f"(SELECT label, count(*) AS n, greatest(5000 - count(*), 0)::BIGINT AS deficit FROM {_CORPUS} GROUP BY label)"
+
+
+def _corpus(spark, sf):
+    from .functions.text import corpus_label
+
+    return names(spark, sf).select("id", corpus_label(F.col("id")).cast("int").alias("label"), F.lit(0.7).alias("confidence"))
+
+
+@query("a08_class_deficits", f"SELECT * FROM {_DEFICITS}")
+def class_deficits(spark, sf):
+    return training.deficits(_corpus(spark, sf), 5000)
+
+
+_DRAW = "('0x' || substr(md5(id || ':' || k), 1, 8))::BIGINT"
+_AT = f"({_DRAW} % greatest(length(id), 1))::INTEGER"
+
+
+@query(
+    "m10_augment",
+    f"""WITH corpus AS {_CORPUS}, pool AS (
+  SELECT c.*, d.n, d.deficit, row_number() OVER (PARTITION BY label ORDER BY md5(id), id) - 1 AS r FROM corpus c JOIN {_DEFICITS} d USING (label) WHERE d.deficit > 0
+), made AS (SELECT *, unnest(range(1, (deficit // n + CASE WHEN r < deficit % n THEN 1 ELSE 0 END + 1)::BIGINT)) AS k FROM pool)
+SELECT id, label, confidence FROM corpus UNION ALL
+SELECT CASE label WHEN 0 THEN concat(substr(id, 1, {_AT}), translate(substr(id, {_AT} + 1, 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), substr(id, {_AT} + 2))
+  WHEN 3 THEN CASE {_DRAW} % 4 WHEN 0 THEN 'get' || id WHEN 1 THEN 'set' || id WHEN 2 THEN id || 'Info' ELSE id || 'Data' END ELSE id END, label, confidence * 0.85::DOUBLE FROM made""",
+)
+def augment(spark, sf):
+    return training.augment(_corpus(spark, sf))
+
+
+_NUMBER = f"CASE {cls('id')} WHEN 'PureASCII' THEN 0 WHEN 'PureVietnamese' THEN 1 WHEN 'MixedVietnamese' THEN 2 WHEN 'TransliteratedViet' THEN 3 ELSE 4 END"
+
+
+@query(
+    "a14_report",
+    f"SELECT c AS label, sum(s)::BIGINT AS support, sum(g)::BIGINT AS guesses, sum(h)::BIGINT AS hits, CASE WHEN sum(g) > 0 THEN sum(h)::DOUBLE / sum(g)::DOUBLE END AS precision, CASE WHEN sum(s) > 0 THEN sum(h)::DOUBLE / sum(s)::DOUBLE END AS recall FROM ("
+    f"SELECT label AS c, 1 AS s, 0 AS g, (label = {_NUMBER})::INT AS h FROM {_CORPUS} UNION ALL SELECT {_NUMBER}, 0, 1, 0 FROM {_CORPUS}) GROUP BY c",
+)
+def classification_report(spark, sf):
+    return training.report(training.predict(_corpus(spark, sf)))
