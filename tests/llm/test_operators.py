@@ -117,6 +117,24 @@ def test_secrets(spark, few):
     assert secrets.redact_documents(few).count() == few.count()
 
 
+def named(text):
+    return [text[a:b] for a, b, k in secrets.find_secrets(text) if k == "named"]
+
+
+def test_secrets_of_typed_and_prefixed_assignments():
+    x = "Zx9Qw8Er7Ty6"
+    for text in (
+        'password: str = "{}"', "const db_pwd: string | null = '{}';", 'val pwd: String? = "{}"', "const PWD: &'static str = \"{}\";", 'pwd: dict[str, list[str]] = "{}"',
+        'var pwd string = "{}"', 'db_pwd = b"{}"', "db_pwd = r'{}'", 'db_pwd = f"{}"', 'db_pwd = u"{}"', 'pwd = r#"{}"#', 'pwd = """{}"""',
+        "environment: DB_PWD={}", "a:b:c:DB_PWD={}", 'environment: DB_PWD = "{}"',
+    ):
+        assert named(text.format(x)) == [x], text
+        assert x not in secrets.redact(text.format(x))
+    for text in ('def f(password: str, url="{}"): pass', 'label: str = "{}"\npwd: str', 'pwd: string => "{}"'):
+        assert named(text.format(x)) == [], text
+    assert named("pwd=" * 20_000 + x) == ["pwd=" * 19_999 + x] and named("a:" * 20_000) == []
+
+
 def brute_fingerprint(spark, text):
     found = re.findall(r"[^\W_]{1,12}|[^\s\w]|_", text.lower())
     if not found:
