@@ -135,6 +135,20 @@ def test_secrets_of_typed_and_prefixed_assignments():
     assert named("pwd=" * 20_000 + x) == ["pwd=" * 19_999 + x] and named("a:" * 20_000) == []
 
 
+def test_secrets_of_every_sensitive_name():
+    x, letters = "Zx9Qw8Er7Ty6", "QwErTyUiOpAsDfGhJk"
+    for name in ("ENCRYPTION_KEY", "signing_key", "stripe_key", "ssh_key", "webhook_signature", "salt", "db_pwd", "auth"):
+        assert named(f'{name} = "{x}"') == [x] and named(f'{name} = "{letters}"') == [letters] and named(f"{name}={letters}\n") == [letters], name
+    assert named('db_pwd = "correcthorsebattery"') == ["correcthorsebattery"]
+    assert named('passphrase = "correct horse battery staple"') == ["correct horse battery staple"]
+    assert named(f'authorization: "Bearer {x}"') == [f"Bearer {x}"]
+    for text in (
+        'sort_key = "created_at_descending"', 'key: "btn-primary-large"', 'auth = "ExpiredSignatureError"', 'pwd: "Enter a new word of administrators"', 'pwd: "请输入您的密码以便继续使用本站"',
+        'key: "xxxxxxxxxxxxxxxx"', f'public_key = "{x}"', "pwd = readTheWordFromVault\n", 'db_pwd = "your own word goes here"',
+    ):
+        assert named(text) == [], text
+
+
 def brute_fingerprint(spark, text):
     found = re.findall(r"[^\W_]{1,12}|[^\s\w]|_", text.lower())
     if not found:
