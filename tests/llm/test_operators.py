@@ -67,6 +67,22 @@ def test_counts_and_packing(spark, few):
     assert packing.pack(few.limit(0), size=size).count() == 0
 
 
+def test_packing_takes_the_shortest_pack_first():
+    assert packing.pack_patterns({7: 1, 6: 1, 3: 1}, 10) == [((6, 3), 1), ((7,), 1)]
+    rng = random.Random(4)
+    for size, most in ((50, 50), (40, 9)):
+        lengths = {n: rng.randint(1, 9) for n in range(1, most + 1)}
+        packs = []
+        for n in sorted(lengths, reverse=True):
+            for _ in range(lengths[n]):
+                if not packs or min(packs) + n > size:
+                    packs.append(0)
+                packs[packs.index(min(packs))] += n
+        got = packing.pack_patterns(lengths, size)
+        assert sorted(sum(p) for p, k in got for _ in range(k)) == sorted(packs)
+        assert all(sum(p.count(n) * k for p, k in got) == lengths[n] for n in lengths)
+
+
 def test_shards(spark, few):
     for n in (1, 8):
         rows = sharding.shard_documents(few, n).collect()

@@ -20,17 +20,17 @@ END_ID = 2
 def pack_patterns(lengths: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, how many sequences look so) for a histogram length -> count.
 
-    Lengths are placed longest first, each into the packs that then have least room left
-    and still hold it; whole pattern counts move at once, so the work follows the number
+    Lengths are placed longest first, each into the packs that then have most room left
+    (the shortest), if they hold it; whole pattern counts move at once, so the work follows the number
     of distinct lengths, not of documents. Lengths must be 1 to ``size``.
     """
     open_packs: list[Counter] = [Counter() for _ in range(size + 1)]  # by room left
     for length in sorted(lengths, reverse=True):
-        left, room = lengths[length], length
+        left, room = lengths[length], size
         while left:
-            while room <= size and not open_packs[room]:
-                room += 1
-            if room > size:
+            while room >= length and not open_packs[room]:
+                room -= 1
+            if room < length:
                 break
             pattern = min(open_packs[room])
             taken = min(left, open_packs[room][pattern])
