@@ -166,6 +166,13 @@ def test_secrets_of_every_sensitive_name():
         assert named(text) == [], text
 
 
+def test_secrets_of_long_names():
+    x, long = "Zx9Qw8Er7Ty6", "GENERATED_" * 12
+    for text in (f'{long}PWD = "{x}"', f"{long}CREDENTIALS={x}", f"--{long}pwd={x}", f"<{long}pwd>{x}</{long}pwd>"):
+        assert named(text) == [x], text
+    assert named("a-." * 200_000 + f' pwd = "{x}"') == named("<a" * 100_000 + f' pwd = "{x}"') == [x]
+
+
 def brute_fingerprint(spark, text):
     found = re.findall(r"[^\W_]{1,12}|[^\s\w]|_", text.lower())
     if not found:
