@@ -14,12 +14,17 @@ from pyspark.sql import functions as F
 from tidewright.llm import langid, minhash, mixing, packing, secrets
 from tidewright.llm.common import checkpoint_folder, read_table
 
-#: Below this score a document's language is not told; see identify_language.
+#: Below this score a document's language is not told. Where the learned languages fall into two families, as the tables'
+#: do, no score is below 0.5, so that only documents of unknown language go; see identify_language.
 LEAST_SCORE = 0.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that the model knows and tells with some confidence; null texts and letterless ones go."""
+    """Documents without the null texts and letterless ones, whose language is unknown.
+
+    Texts in languages that the model didn't learn, and letter junk, stay unless their score falls below LEAST_SCORE,
+    which it can't with two families of languages.
+    """
     told = langid.identify(docs, langid.fit(docs), keep=docs.columns)
     return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
