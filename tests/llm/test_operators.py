@@ -45,6 +45,12 @@ def test_codecs_match_the_library():
         assert codec.merger is not None
         assert [np.frombuffer(codec.encode(t), "<u4").tolist() for t in texts] == want
         assert list(map(tokens.PieceCodec(path, ids=False).encode, texts)) == list(map(len, want))
+        counter = tokens.BatchCounter(path)
+        assert counter.lengths([None, "", *texts]) == [0, 0, *map(len, want)]
+        counter.splits = counter.splits and name == "byte_bpe_50k.json"
+        long = [" ".join(texts), "\n".join(texts), "<|endoftext|>".join(texts[:500]), "ab  cd " * 30_000]
+        whole = list(map(len, (x.ids for x in Tokenizer.from_file(path).encode_batch(long, add_special_tokens=False))))
+        assert counter.lengths(long) == whole and (not counter.splits or len(counter.parts(long[3])) > 1)
 
 
 def test_counts_and_packing(spark, few):
@@ -166,6 +172,85 @@ def test_secrets_of_every_sensitive_name():
         assert named(text) == [], text
 
 
+def test_secrets_are_lexed():
+    x, y = "Zx9Qw8Er7Ty6Ab1", "Zx9Qw8Er7Ty6"
+    for text in (
+        'db_pwd = """\n{}\n"""', 'db_pwd = new String("{}");', "db_pwd:\n  {}\n", "db_pwd: >-\n  {}\nx: 1", "db_token:\n  - {}\n", 'os.environ["DB_CREDENTIAL"] = "{}"', '<add key="db_credential" value="{}"/>',
+        '<string name="db_pwd">{}</string>', 'KEY = "{}"\nclass A:\n  db_pwd = self.KEY', '# db_pwd = "{}"', '#define DB_PWD "{}"', 'char db_pwd[] = "{}";', '{{"db_pwd": "{}"}}', 'c = "Server=x;Pwd={}"', '```py\ndb_pwd = "{}"\n```',
+        "db_pwd = os.getenv('DB_PWD', '{}')", 'let a: Map<String, String> = x; let db_pwd: Option<String> = Some("{}");', "it's so: db_pwd={} isn't it", 'db_pwd = `{}`', '/* db_pwd: {} */', "export DB_PWD={}", 'x = {{"a": 1, "db_pwd": ["{}"]}}',
+    ):
+        assert [s.strip() for s in named(text.format(x))] == [x], text
+        assert x not in secrets.redact(text.format(x)), text
+    assert named('db_credential = "Zx9Qw8\\"Er7Ty6Ab1"') == ['Zx9Qw8\\"Er7Ty6Ab1']
+    assert named('db_credential = "Zx9Qw8" + "Er7Ty6Ab1x"') == ['Zx9Qw8" + "Er7Ty6Ab1x']
+    assert named('db_pwd = ("Zx9Qw8"\n  "Er7Ty6Ab1")') == ['Zx9Qw8"\n  "Er7Ty6Ab1']
+    assert named('P = "Zx9Qw8"\ndb_pwd = P + "Er7Ty6Ab1"') == ["Er7Ty6Ab1"] and named(f'P = "{y}"\ndb_pwd = f"{{P}}"') == ["{P}"]
+    for text in (f'# A = "{y}"\ndb_pwd = A', f'title = "{y}"', f'x = "a: b"; note = "{y}"', f"password_policy: {y}", f'db_pwd = ""\nname = "{y}"', 'db_pwd = get("DB_PWD")', "db_pwd:\nnext: 1", '<add key="db_pwd" other="x"/>'):
+        assert named(text) == [], text
+
+
+def test_base_spans_by_an_independent_scan():
+    """The base patterns, read by hand, character by character."""
+    rng = random.Random(11)
+    parts = ["password", "PassWD", "secret", "token", "api_key", "apikey", "=", ":", " = ", '"', "'", " ", "AKIA", "Abcdef123456", "deadbeef", "0123456789abcdef", "ZZZZ9999QQQQ88", "é", "\n", "x-y.z+/=", "short"]
+
+    def assign(t):
+        out, i = [], 0
+        while i < len(t):
+            hit = None
+            for w in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+                if t[i : i + len(w)].lower() == w and t[i : i + len(w)].isascii():
+                    j = i + len(w)
+                    j += j < len(t) and t[j] in "\"'"
+                    while j < len(t) and t[j] == " ":
+                        j += 1
+                    if j < len(t) and t[j] in ":=":
+                        j += 1
+                        while j < len(t) and t[j] == " ":
+                            j += 1
+                        j += j < len(t) and t[j] in "\"'"
+                        k = j
+                        while k < len(t) and t[k].isascii() and (t[k].isalnum() or t[k] in "+/_.=-"):
+                            k += 1
+                        if k > j:
+                            hit = (i, k, k - j)
+                            break
+            if hit:
+                out += [(hit[0], hit[1], "assign")] if hit[2] >= 12 else []
+                i = hit[1]
+            else:
+                i += 1
+        return out
+
+    def runs(t, kind, start, good, least):
+        out, i = [], 0
+        while i < len(t):
+            if t.startswith(start, i) and (j := i + len(start)) <= len(t):
+                while j < len(t) and t[j] in good:
+                    j += 1
+                if j > i + len(start):
+                    out += [(i, j, kind)] if j - i >= least else []
+                    i = j
+                    continue
+            i += 1
+        return out
+
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        want = assign(t) + runs(t, "access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 18) + runs(t, "hex", "", "0123456789abcdef", 16)
+        got = [s for s in secrets.find_secrets(t) if s[2] != "named"]
+        assert sorted(got) == sorted(want), t
+
+
+def test_secrets_take_time_in_proportion():
+    import time
+
+    for part in ("a:", "x=[", "pwd: ", "'", '"', "`", "<a ", "/* ", "k: {", "p(", '"a": ', "pwd=(", "auth=", "a:[", "pwd:\n", "x: y = "):
+        began = time.time()
+        secrets.find_secrets(part * 30_000)
+        assert time.time() - began < 20, part
+
+
 def test_secrets_of_long_names():
     x, long = "Zx9Qw8Er7Ty6", "GENERATED_" * 12
     for text in (f'{long}PWD = "{x}"', f"{long}CREDENTIALS={x}", f"--{long}pwd={x}", f"<{long}pwd>{x}</{long}pwd>"):
@@ -174,7 +259,7 @@ def test_secrets_of_long_names():
 
 
 def brute_fingerprint(spark, text):
-    found = re.findall(r"[^\W_]{1,12}|[^\s\w]|_", text.lower())
+    found = re.findall(r"[^\W_]+|[^\s\w]|_", text.lower())
     if not found:
         return []
     rows = spark.createDataFrame([(w,) for w in found], "w string").selectExpr(f"pmod(xxhash64(w), {winnow.PRIME}L) h").collect()

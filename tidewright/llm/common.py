@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,13 @@ SALTS = 1024
 #: Arrow batches hold at most so many rows, as one row may be a very long text.
 ARROW_ROWS = 512
 
+#: Texts become Python strings until they hold so many UTF-8 bytes; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 20
+
+#: What worker processes remember between tasks: name -> how it is dropped, and whose memory is there now.
+_HELD: dict[str, Callable[[], object]] = {}
+_USER = [""]
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data directory, by Spark's own reader."""
@@ -21,11 +32,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own where it names none."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it names none, a session on one
+    machine (as in tests) gets a folder of its own, and a cluster an error: a local folder is not seen by all."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         shared = spark.sparkContext.getCheckpointDir()
     if shared is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         shared = tempfile.mkdtemp(dir="/tmp/checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
@@ -33,6 +47,46 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return shared
 
 
+def remember(name: str, drop: Callable[[], object]) -> None:
+    """Name a memory that a module keeps in worker processes, and how to drop it."""
+    _HELD[name] = drop
+
+
+def trim() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: its memory stays
+
+
+def alone(name: str) -> None:
+    """Workers outlive stages: when another operator starts in one, what the last one remembers there goes."""
+    if _USER[0] != name:
+        for other, drop in _HELD.items():
+            if other != name:
+                drop()
+        trim()
+        _USER[0] = name
+
+
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Batches cut so that the texts of a block hold about BLOCK_BYTES, or one text; only those become Python strings."""
+    for batch in batches:
+        texts = batch.column(column)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        start = held = 0
+        for i, n in enumerate(sizes):
+            if held and held + n > BLOCK_BYTES:
+                yield batch.slice(start, i - start), texts.slice(start, i - start).to_pylist()
+                start, held = i, 0
+            held += n
+        if start < len(sizes):
+            yield batch.slice(start), texts.slice(start).to_pylist()
+    trim()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there: later steps
     neither recompute it nor depend on an executor's disk."""
@@ -46,6 +100,12 @@ def arrow_rows(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """name, or name with a number: a column name that is not taken (names differ in more than case)."""
+    low = {c.lower() for c in taken}
+    return next(c for c in (name, *(f"{name}{i}" for i in range(len(low) + 1))) if c.lower() not in low)
+
+
 def gapless_rank(df: DataFrame, key: str, salt: F.Column, order: list, out: str) -> DataFrame:
     """Add ``out``: 0, 1, 2, ... without gaps among the rows of each ``key`` (not null).
 

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, arrow_rows, gapless_rank, settle
-from .tokens import blocks, codec
+from .common import SALTS, alone, arrow_rows, blocks, gapless_rank, settle
+from .tokens import codec
 
 #: The id that ends every document.
 END_ID = 2
@@ -72,6 +72,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int) -> DataFrame:
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def cut(batches):
+        alone("codec")
         for batch, texts in blocks(batches):
             encode = codec(vocabulary, ids=True).encode
             keys, out = batch.column("doc_id").to_pylist(), []
@@ -104,6 +105,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", size: int = 409
     ranked = gapless_rank(pieces, "length", salt, ["doc_id", "start", "ids_crc32"], "rank")
 
     def placed(batches):
+        alone("packing")
         for batch in batches:
             lengths, ranks = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("length", "rank"))
             sequence, offset = np.empty(len(ranks), np.int64), np.empty(len(ranks), np.int64)

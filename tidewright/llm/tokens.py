@@ -1,4 +1,4 @@
-"""Exact token counts and ids of whole texts, by pieces between safe boundaries."""
+"""Exact token counts of whole texts in batches, and their ids by pieces between safe boundaries."""
 
 from __future__ import annotations
 
@@ -7,19 +7,18 @@ import os
 import re
 import struct
 import unicodedata
-from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_rows
+from .common import alone, arrow_rows, blocks, remember
 
-#: Texts are put together until they hold so many characters; that block is encoded at once.
-BLOCK_CHARS = 2_000_000
+#: Texts of more characters are cut at safe boundaries into parts of about as many.
+PART_CHARS = 65_536
 #: Pieces that a worker remembers in each of two generations, the longest that it remembers,
 #: and the longest that the small merger takes (its time is quadratic).
-MEMORY_PIECES, MEMORY_CHARS, MERGER_CHARS = 400_000, 48, 400
+MEMORY_PIECES, MEMORY_CHARS, MERGER_CHARS = 150_000, 48, 400
 
 #: The patterns at which byte-level vocabularies and the lower-casing word vocabulary split.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,27 +36,98 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Batches cut so that a block holds about BLOCK_CHARS characters, or one text."""
-    for batch in batches:
-        texts = batch.column(column).to_pylist()
-        start = held = 0
-        for i, text in enumerate(texts):
-            n = len(text or "")
-            if held and held + n > BLOCK_CHARS:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, held = i, 0
-            held += n
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
-
-
 def byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, then from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*plain}))}
 
 
+def cut_of(plan: dict) -> str:
+    """Where a tokenizer's texts can be cut: "space" (before a word), "white" (white space is in no token), "whole" (nowhere)."""
+    pre = plan.get("pre_tokenizer") or {}
+    if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not plan.get("normalizer"):
+        return "space"  # every token begins at or before the space that precedes a word
+    parts = pre.get("pretokenizers") or [{}]
+    norms = [x["type"] for x in (plan.get("normalizer") or {}).get("normalizers", [])]
+    if parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0]["pattern"].get("Regex") == WORD_PATTERN and norms == ["NFC", "Replace", "Lowercase"]:
+        return "white"
+    return "whole"
+
+
+def merger_of(model: dict, cut: str, specials: list[str]):
+    """The vocabulary as a tiktoken encoding (equal ids, several times as fast), if ids rise with merges as it needs; else None."""
+    end, vocab = model.get("end_of_word_suffix") or "", model["vocab"]
+    made = ["".join(x if isinstance(x, list) else x.split(" ")) for x in model["merges"]]
+    order = [vocab[x] for x in made]
+    if cut == "whole" or order != sorted(set(order)) or bool(end) != (cut == "white"):
+        return None
+    letters = byte_letters()
+    ranks = {}
+    for token, i in vocab.items():
+        if token not in specials:
+            body = token.removesuffix(end) if end else token
+            if all(c in letters for c in body):
+                ranks[bytes(letters[c] for c in body) + (END.encode() if body != token else b"")] = i
+    if any(bytes([b]) not in ranks for b in range(256)) or len(ranks) != len(vocab.keys() - set(specials)):
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("pieces", pat_str=BYTE_PATTERN if not end else f"[^{END}]+{END}", mergeable_ranks=ranks, special_tokens={})
+
+
+class BatchCounter:
+    """Numbers of a tokenizer's ids of whole texts, a batch at a time.
+
+    Where the vocabulary allows, a batch is encoded at once by tiktoken over the same ranks (equal ids). Long texts
+    are cut before spaces between two words, where no token of byte-level vocabularies can cross. Parts that hold a special
+    token's string, or a run that the merger is slow on, and vocabularies of another build go to the library's own batches.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        plan = json.loads(self.tokenizer.to_str())
+        added = plan.get("added_tokens") or []
+        self.specials = [x["content"] for x in added]
+        self.cut = cut_of(plan)
+        self.splits = self.cut == "space" and not any(x["lstrip"] or x["rstrip"] or re.search(r"\s", x["content"]) for x in added)
+        self.merger = merger_of(plan["model"], self.cut, self.specials) if self.cut == "space" else None
+
+    def parts(self, text: str) -> list[str]:
+        """The text, cut before spaces between words about every PART_CHARS characters."""
+        if not self.splits or len(text) <= PART_CHARS:
+            return [text]
+        out, at = [], 0
+        while m := _BETWEEN.search(text, at + PART_CHARS):
+            out.append(text[at : m.start()])
+            at = m.start()
+        return [*out, text[at:]]
+
+    def lengths(self, texts: list[str | None]) -> list[int]:
+        """The number of ids of each text; null counts as empty."""
+        own, parts = [], []
+        for i, text in enumerate(texts):
+            for part in self.parts(text) if text else ():
+                own.append(i)
+                parts.append(part)
+        plain, other = [], []
+        for k, part in enumerate(parts):
+            slow = self.merger is None or any(s in part for s in self.specials) or _LONG.search(part)
+            (other if slow else plain).append(k)
+        out = [0] * len(texts)
+        if plain:
+            for k, ids in zip(plain, self.merger.encode_ordinary_batch([parts[k] for k in plain], num_threads=1), strict=True):
+                out[own[k]] += len(ids)
+        if other:
+            for k, found in zip(other, self.tokenizer.encode_batch_fast([parts[k] for k in other], add_special_tokens=False), strict=True):
+                out[own[k]] += len(found.ids)
+        return out
+
+
 class PieceCodec(dict):
     """A tokenizer over texts that are cut where no token can cross: piece -> what it stands for.
 
@@ -78,45 +148,14 @@ class PieceCodec(dict):
         self.tokenizer = Tokenizer.from_file(path)
         plan = json.loads(self.tokenizer.to_str())
         self.specials = [x["content"] for x in plan.get("added_tokens") or []]
-        self.cut, self.ids = self._cut(plan), ids
+        self.cut, self.ids = cut_of(plan), ids
         self.prefix = " " if self.cut == "space" else ""
         self.old: dict = {}
-        self.merger = self._merger(plan["model"])
+        merger = merger_of(plan["model"], self.cut, self.specials)
+        self.merger = merger.encode_ordinary if merger else None
         self.words = regex.compile(WORD_PATTERN)
         self.marks = {c: self._fresh(c) for c in ".,;:!?"} if self.merger else {}
 
-    @staticmethod
-    def _cut(plan: dict) -> str:
-        pre = plan.get("pre_tokenizer") or {}
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not plan.get("normalizer"):
-            return "space"  # every token begins at or before the space that precedes a word
-        parts = pre.get("pretokenizers") or [{}]
-        norms = [x["type"] for x in (plan.get("normalizer") or {}).get("normalizers", [])]
-        if parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0]["pattern"].get("Regex") == WORD_PATTERN and norms == ["NFC", "Replace", "Lowercase"]:
-            return "white"  # white space is in no token
-        return "whole"
-
-    def _merger(self, model: dict):
-        """tiktoken's merger, if ids rise with merges as it needs; else None."""
-        end, vocab = model.get("end_of_word_suffix") or "", model["vocab"]
-        made = ["".join(x if isinstance(x, list) else x.split(" ")) for x in model["merges"]]
-        order = [vocab[x] for x in made]
-        if self.cut == "whole" or order != sorted(set(order)) or bool(end) != (self.cut == "white"):
-            return None
-        letters = byte_letters()
-        ranks = {}
-        for token, i in vocab.items():
-            if token not in self.specials:
-                body = token.removesuffix(end) if end else token
-                if all(c in letters for c in body):
-                    ranks[bytes(letters[c] for c in body) + (END.encode() if body != token else b"")] = i
-        if any(bytes([b]) not in ranks for b in range(256)) or len(ranks) != len(vocab.keys() - self.specials):
-            return None
-        import tiktoken
-
-        pattern = BYTE_PATTERN if not end else f"[^{END}]+{END}"
-        return tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-
     def _fresh(self, piece: str):
         if self.merger and len(piece) < MERGER_CHARS and END not in piece:
             if self.cut == "white":
@@ -169,7 +208,20 @@ class PieceCodec(dict):
 #: A space before a word; separators that str.split() knows and the vocabulary doesn't; white space without them.
 _SPACE, _CONTROL, _WHITE = re.compile(r" (?=\S)"), re.compile("[\x1c-\x1f]"), re.compile(r"[^\S\x1c-\x1f]+")
 
+#: A space between words, and runs too long for the small merger.
+_BETWEEN, _LONG = re.compile(r"(?<=\S) (?=\S)"), re.compile(rf"\S{{{MERGER_CHARS},}}|\s{{{MERGER_CHARS},}}")
+
 _CODECS: dict[tuple[str, bool], PieceCodec] = {}
+_COUNTERS: dict[str, BatchCounter] = {}
+remember("codec", _CODECS.clear)
+remember("counter", _COUNTERS.clear)
+
+
+def counter(vocabulary: str) -> BatchCounter:
+    """The worker's counter of a vocabulary file."""
+    if vocabulary not in _COUNTERS:
+        _COUNTERS[vocabulary] = BatchCounter(vocabulary_path(vocabulary))
+    return _COUNTERS[vocabulary]
 
 
 def codec(vocabulary: str, ids: bool = False) -> PieceCodec:
@@ -185,13 +237,15 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
 
     Counts are the library's own, without added special tokens; a special token's string
     inside a text is that token. Null counts as empty: 0 and 0. Rows are kept as they come,
-    repeats and null ids included; no shuffle. Only lengths leave the Arrow function.
+    repeats and null ids included; other columns are not read; an empty table gives no rows; no shuffle. Texts are
+    encoded in batches of about as many bytes each, long ones in parts; only lengths leave the Arrow function.
     """
     arrow_rows(docs.sparkSession)
 
     def counted(batches):
+        alone("counter")
         for batch, texts in blocks(batches):
-            lengths = list(map(codec(vocabulary).encode, texts))
+            lengths = counter(vocabulary).lengths(texts)
             sizes = [len(t.encode()) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(lengths, pa.int64()), pa.array([n > limit for n in lengths], pa.bool_())],
