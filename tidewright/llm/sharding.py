@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import SALTS, gapless_rank
 
-#: No key jumps more often: the chance of more is below 1e-60 for any shard count in use,
-#: and the same stop for every shard count keeps the hash consistent.
+#: Jumps that every key is given at once. Few keys need more (ln of the shard count on average); those go on jumping.
 JUMPS = 64
 
 
@@ -35,9 +34,13 @@ def jump_shard(key: Column, shards: int) -> Column:
             at["j"] < shards, F.struct(at["j"].alias("b"), there.cast("long").alias("j"))
         ).otherwise(at)
 
-    start = F.struct(F.lit(-1).cast("long").alias("b"), F.lit(0).cast("long").alias("j"))
-    steps = F.sequence(F.lit(0), F.lit(min(shards, JUMPS)))
-    return F.aggregate(steps, start, step, lambda at: at["b"].cast("int"))
+    def jumped(first: int, last: int, start: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(first), F.lit(last)), start, step)
+
+    at = jumped(0, min(shards, JUMPS), F.struct(F.lit(-1).cast("long").alias("b"), F.lit(0).cast("long").alias("j")))
+    if shards > JUMPS:  # each jump is to a higher shard, so that there are no more jumps than shards
+        at = F.get(F.transform(F.array(at), lambda a: F.when(a["j"] >= shards, a).otherwise(jumped(JUMPS + 1, shards, a))), F.lit(0))
+    return at["b"].cast("int")
 
 
 def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
