@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 K, W = 4, 8
 #: The rolling hash counts modulo a prime below 2**31, so products stay in a long.
 PRIME, BASE = 2147483647, 1000003
-#: A word is a run of at most so many letters, marks and digits, or any other visible character.
-WORD = r"[\p{L}\p{M}\p{N}]{1,12}|[^\s\p{L}\p{M}\p{N}]"
+#: A word is a run of letters, marks and digits, or any other visible character.
+WORD = r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]"
 #: Room for a position beside a hash in one long.
 PLACES = 1 << 32
 
