@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .common import alone, arrow_rows, blocks, fresh
 from .textfeatures import WordScores, dense, sample_features, sample_rows
-from .tokens import blocks
 
 #: Languages by family. A language that is not here is a family of its own.
 FAMILIES = {
@@ -26,6 +27,8 @@ FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.s
 UNKNOWN = "und"
 #: Letter n-grams, their hashed dimensions, and the most rows of a language that the fit reads.
 LEAST, MOST, DIMS, SAMPLE = 1, 3, 4096, 300
+#: Rows of all languages together that the fit reads at most: with many languages each gives fewer, two at least.
+TOTAL = 4000
 
 
 def held_out() -> Column:
@@ -108,40 +111,37 @@ class Model:
         return languages, scores
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from text and lang of rows that are not held out: ``sample`` whole texts a language at most
-    (the bound; 256 languages at most), those least by a hash of their id."""
-    rows = sample_rows(docs.where(~held_out()).select("doc_id", "text", "lang"), "lang", sample)
+def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> Model:
+    """Learn from text and lang of rows that are not held out: ``sample`` whole texts a language and ``total`` in all at
+    most (the bounds; every language has two or more, as many as it has rows), those least by a hash of their id."""
+    rows = sample_rows(docs.where(~held_out()).select("doc_id", "text", "lang"), "lang", sample, total)
     return Model(sample_features(rows, "lang", LEAST, MOST, DIMS))
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of docs (doc_id if None), lang_pred and score, from the whole text alone.
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of docs (doc_id if None), and the language and its score under ``names`` (which keep
+    must not hold), from the whole text alone.
 
     Texts that are null or have no letter are 'und' with score 0, as is all when nothing
-    was learned. A row a row, in place; no shuffle; the model is a few hundred KB.
+    was learned. A row a row, in place, repeats and null ids included; an empty table gives no rows; no shuffle; the model is a few hundred KB.
     """
-    from .common import arrow_rows
-
     arrow_rows(docs.sparkSession)
     keep = keep or ["doc_id"]
-    ask = docs.select(*keep, F.col("text").alias("_text"))
+    column = fresh("_text", keep)
+    ask = docs.select(*keep, F.col("text").alias(column))
 
     def told(batches):
+        alone("words")
         scores = WordScores(model.weights, LEAST, MOST)
-        for batch, texts in blocks(batches, "_text"):
+        for batch, texts in blocks(batches, column):
             languages, sure = model.decide(scores.sums(texts))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(len(keep))] + [pa.array(languages, pa.string()), pa.array(sure, pa.float64())], [*keep, "lang_pred", "score"]
-            )
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(languages, pa.string()), pa.array(sure, pa.float64())], [*keep, *names])
 
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return ask.mapInArrow(told, schema)
 
 
 def identify_documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document, by a model fitted on them (see fit)."""
+    """doc_id, held_out, lang_pred, score of every document, by a model fitted on them (see fit and identify); other columns are not read."""
     out = identify(docs.select("doc_id", "text"), fit(docs, sample))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -8,16 +8,15 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
-from .tokens import blocks
+from .common import alone, arrow_rows, blocks
 
 #: Runs of letters with their marks.
 WORDS = regex.compile(r"[\p{L}\p{M}]+")
 #: Words that a worker remembers, and the longest that it remembers.
-MEMORY_WORDS, MEMORY_CHARS = 200_000, 32
+MEMORY_WORDS, MEMORY_CHARS = 100_000, 32
 
 
 def grams(word: str, least: int, most: int, dims: int) -> np.ndarray:
@@ -42,21 +41,20 @@ def gram_counts(text: str | None, least: int, most: int, dims: int) -> dict[int,
     return out
 
 
-def sample_rows(docs: DataFrame, label: str, most: int) -> DataFrame:
-    """The labelled rows to fit on: of each label, ``most`` at most, those least by a hash of the id.
+def sample_rows(docs: DataFrame, label: str, most: int, total: int = 1 << 30) -> DataFrame:
+    """The labelled rows to fit on: of each label, ``most`` at most (fewer where all labels together would pass ``total``),
+    those least by a hash of the id. No label is left out.
 
-    docs has doc_id, text and the label. Two passes read ids and labels alone; the driver
-    sees 2 * most ids a label, whatever the corpus holds.
+    docs has doc_id, text and the label. Ids and labels alone are ranked, in one pass; each task first keeps its own
+    least ``most`` of a label, so that no task meets all rows of one; the driver sees the ids of the sample.
     """
     spark = docs.sparkSession
     named = docs.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label"))
-    counts = {r["label"]: r["count"] for r in named.groupBy("label").count().orderBy(F.desc("count"), "label").limit(256).collect()}
-    h = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") / float(1 << 32)
-    picked = []
-    for value, n in sorted(counts.items()):
-        share = min(1.0, 2 * most / n + 10 / n)
-        mine = named.where((F.col("label") == F.lit(value)) & (h <= share))
-        picked += [r["doc_id"] for r in mine.orderBy(h, "doc_id").limit(most).select("doc_id").collect()]
+    h = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long")
+    order = Window.partitionBy("label").orderBy("h", "doc_id")
+    ranked = named.withColumn("h", h).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("doc_id", "label", "n").collect()
+    fair = max(2, min(most, total // max(1, len({r["label"] for r in ranked}))))
+    picked = [r["doc_id"] for r in ranked if r["n"] <= fair]
     if not picked:
         return docs.limit(0)
     ids = spark.createDataFrame([(i,) for i in sorted(set(picked))], "doc_id long")
@@ -64,20 +62,22 @@ def sample_rows(docs: DataFrame, label: str, most: int) -> DataFrame:
 
 
 def sample_features(rows: DataFrame, label: str, least: int, most: int, dims: int) -> list:
-    """[(label, sparse counts)] of a bounded sample, sorted by id; texts stay on the executors."""
+    """[(label, sparse counts)] of a bounded sample, sorted by id; texts stay on the executors, and the driver gets packed arrays."""
     arrow_rows(rows.sparkSession)
     kind = rows.schema[label].dataType.simpleString()
 
     def counted(batches):
+        alone("features")
         for batch, texts in blocks(batches):
             feats = [gram_counts(t, least, most, dims) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column(label), pa.array([list(f) for f in feats], pa.list_(pa.int64())), pa.array([list(f.values()) for f in feats], pa.list_(pa.int64()))],
-                ["doc_id", label, "ix", "n"],
-            )
-
-    got = rows.select("doc_id", label, "text").mapInArrow(counted, f"doc_id long, {label} {kind}, ix array<long>, n array<long>").collect()
-    return [(r[label], np.array(r["ix"], np.int64), np.array(r["n"], np.float64)) for r in sorted(got, key=lambda r: r["doc_id"])]
+            ix = [np.fromiter(f, np.uint32, len(f)).tobytes() for f in feats]
+            n = [np.fromiter(f.values(), np.float32, len(f)).tobytes() for f in feats]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(label), pa.array(ix, pa.binary()), pa.array(n, pa.binary())], ["doc_id", label, "ix", "n"])
+
+    got = rows.select("doc_id", label, "text").mapInArrow(counted, f"doc_id long, {label} {kind}, ix binary, n binary").toArrow()
+    order = sorted(range(got.num_rows), key=lambda i, ids=got.column("doc_id").to_pylist(): ids[i])
+    labels, ix, n = (got.column(c) for c in (label, "ix", "n"))
+    return [(labels[i].as_py(), np.frombuffer(ix[i].as_buffer(), np.uint32), np.frombuffer(n[i].as_buffer(), np.float32)) for i in order]
 
 
 def dense(sample: list, dims: int) -> np.ndarray:

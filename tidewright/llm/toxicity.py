@@ -7,9 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import alone, arrow_rows, blocks
 from .textfeatures import WordScores, sample_features, sample_rows
-from .tokens import blocks
 
 #: Letter n-grams, their hashed dimensions, how many of them the model uses, and the most labelled rows of a class that the fit reads.
 LEAST, MOST, DIMS, USED, SAMPLE = 3, 6, 1 << 16, 600, 1000
@@ -114,6 +113,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     arrow_rows(docs.sparkSession)
 
     def scored(batches):
+        alone("words")
         scores = WordScores(model.weights, LEAST, MOST)
         for batch, texts in blocks(batches):
             p = model.grade(scores.sums(texts))
@@ -126,4 +126,10 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxicity_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """score_toxicity of docs by a model fitted on those that labels (doc_id, toxic) names (see fit).
+
+    Labels that are null or name no document teach nothing; of several for one id the highest counts, and of rows that repeat an id one
+    teaches. Every row of docs is scored, repeats and null ids included; other columns are not read; an empty table
+    gives no rows, and without labels of both classes all score 0.
+    """
     return score_toxicity(docs, fit(docs, labels, sample))
