@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -16,43 +15,58 @@ from .common import alone, arrow_rows, blocks
 #: Runs of letters with their marks.
 WORDS = regex.compile(r"[\p{L}\p{M}]+")
 #: Words that a worker remembers, and the longest that it remembers.
-MEMORY_WORDS, MEMORY_CHARS = 100_000, 32
-
-
-def grams(word: str, least: int, most: int, dims: int) -> np.ndarray:
-    """Hashed n-grams, n from least to most, of the word between its edges."""
-    edged = f"<{word}>"
-    return np.array(
-        [zlib.crc32(edged[i : i + n].encode()) % dims for n in range(least, most + 1) for i in range(len(edged) - n + 1)],
-        dtype=np.int64,
-    )
+MEMORY_WORDS, MEMORY_CHARS = 150_000, 32
+
+
+def grams(words: list[str], least: int, most: int, dims: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(where each word starts, [(feature, is there) by n]): hashed n-grams, n from least to most, of the words between their
+    edges, side by side, one at each letter if it lies within its word."""
+    edged = [f"<{w}>" for w in words]
+    sizes = np.fromiter(map(len, edged), np.int64, len(edged))
+    points = np.frombuffer("".join(edged).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(points))  # letters from here to the word's end
+    out, h = [], np.zeros(len(points), np.uint64)
+    for n in range(1, most + 1):
+        h = h * np.uint64(0x9E3779B97F4A7C15)
+        h[: len(points) - n + 1] += points[n - 1 :]
+        if n >= least:
+            mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * n)
+            out.append((((mixed >> np.uint64(33)) % np.uint64(dims)).astype(np.int64), left >= n))
+    return ends - sizes, out
 
 
 def words_of(text: str | None) -> list[str]:
     return WORDS.findall(text.lower()) if text else []
 
 
-def gram_counts(text: str | None, least: int, most: int, dims: int) -> dict[int, int]:
-    """Feature -> count over a whole text."""
-    out: Counter = Counter()
-    for word, n in Counter(words_of(text)).items():
-        for g in grams(word, least, most, dims).tolist():
-            out[g] += n
-    return out
+def gram_counts(text: str | None, least: int, most: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, counts) over a whole text."""
+    counted = Counter(words_of(text))
+    if not counted:
+        return np.zeros(0, np.uint32), np.zeros(0, np.float32)
+    starts, found = grams(list(counted), least, most, dims)
+    times = np.repeat(np.fromiter(counted.values(), np.float64, len(counted)), np.diff([*starts, len(found[0][0])]))
+    every = np.bincount(np.concatenate([g[there] for g, there in found]), weights=np.concatenate([times[there] for _, there in found]), minlength=dims)
+    ix = np.flatnonzero(every)
+    return ix.astype(np.uint32), every[ix].astype(np.float32)
 
 
 def sample_rows(docs: DataFrame, label: str, most: int, total: int = 1 << 30) -> DataFrame:
     """The labelled rows to fit on: of each label, ``most`` at most (fewer where all labels together would pass ``total``),
     those least by a hash of the id. No label is left out.
 
-    docs has doc_id, text and the label. Ids and labels alone are ranked, in one pass; each task first keeps its own
-    least ``most`` of a label, so that no task meets all rows of one; the driver sees the ids of the sample.
+    docs has doc_id, text and the label. Ids and labels alone are read for it, twice: labels are counted, and of each the rows
+    whose hash is below a share that holds twice as many as asked are ranked; so no task meets all rows of a label, and the
+    driver sees the ids of the sample.
     """
     spark = docs.sparkSession
     named = docs.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label"))
     h = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long")
+    counts = named.groupBy("label").agg(((2 * most + 10) / F.count(F.lit(1)) * float(1 << 32)).alias("share"))
     order = Window.partitionBy("label").orderBy("h", "doc_id")
-    ranked = named.withColumn("h", h).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("doc_id", "label", "n").collect()
+    near = named.withColumn("h", h).join(counts, "label").where("h <= share")
+    ranked = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("doc_id", "label", "n").collect()
     fair = max(2, min(most, total // max(1, len({r["label"] for r in ranked}))))
     picked = [r["doc_id"] for r in ranked if r["n"] <= fair]
     if not picked:
@@ -70,8 +84,7 @@ def sample_features(rows: DataFrame, label: str, least: int, most: int, dims: in
         alone("features")
         for batch, texts in blocks(batches):
             feats = [gram_counts(t, least, most, dims) for t in texts]
-            ix = [np.fromiter(f, np.uint32, len(f)).tobytes() for f in feats]
-            n = [np.fromiter(f.values(), np.float32, len(f)).tobytes() for f in feats]
+            ix, n = ([f[i].tobytes() for f in feats] for i in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(label), pa.array(ix, pa.binary()), pa.array(n, pa.binary())], ["doc_id", label, "ix", "n"])
 
     got = rows.select("doc_id", label, "text").mapInArrow(counted, f"doc_id long, {label} {kind}, ix binary, n binary").toArrow()
@@ -98,10 +111,12 @@ class WordScores:
         self.table = np.zeros((1024, weights.shape[1] + 1), np.float32)
 
     def _rows(self, words: list[str]) -> np.ndarray:
-        parts = [grams(w, self.least, self.most, len(self.weights)) for w in words]
-        sizes = np.array([len(p) for p in parts])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        return np.column_stack([np.add.reduceat(self.weights[np.concatenate(parts)], starts, axis=0), sizes]).astype(np.float32)
+        starts, found = grams(words, self.least, self.most, len(self.weights))
+        sums = np.zeros((len(found[0][0]), self.table.shape[1]), np.float32)
+        for g, there in found:
+            sums[there, :-1] += self.weights[g[there]]
+            sums[there, -1] += 1
+        return np.add.reduceat(sums, starts, axis=0)
 
     def sums(self, texts: list[str | None]) -> np.ndarray:
         """A row a text."""

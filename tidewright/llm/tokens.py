@@ -18,7 +18,7 @@ from .common import alone, arrow_rows, blocks, remember
 PART_CHARS = 65_536
 #: Pieces that a worker remembers in each of two generations, the longest that it remembers,
 #: and the longest that the small merger takes (its time is quadratic).
-MEMORY_PIECES, MEMORY_CHARS, MERGER_CHARS = 150_000, 48, 400
+MEMORY_PIECES, MEMORY_CHARS, MERGER_CHARS = 250_000, 48, 400
 
 #: The patterns at which byte-level vocabularies and the lower-casing word vocabulary split.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
