@@ -66,16 +66,17 @@ def is_transliteration(s: Column) -> Column:
     bare = F.regexp_replace(ascii_lower(s), "^_+|_+$", "")
     parts = F.filter(F.split(bare, "_"), lambda p: p != "")
     words = [F.lit(w) for w in C.WORDS]
-    return bare.isin(C.WORDS) | ((F.size(parts) >= 2) & F.forall(parts, lambda p: F.array_contains(F.array(*words), p)))
+    whole = bare.isin(C.WORDS) | ((F.size(parts) >= 2) & F.forall(parts, lambda p: F.array_contains(F.array(*words), p)))
+    return F.when(F.instr(s, "_") > 0, whole).otherwise(ascii_lower(s).isin(C.WORDS))  # most names are one word
 
 
 def identifier_class(s: Column) -> Column:
+    plain = (F.octet_length(s) == F.length(s)) | ~has_exact(s)  # most names are ASCII
     marked = marked_count(s)
-    short = F.octet_length(s).between(2, 5) & s.rlike("^[A-Z]+$") & s.isin(C.ABBREVIATIONS)
     return (
-        F.when(short, "Abbreviation")
-        .when((marked == 0) & is_transliteration(s), "TransliteratedViet")
-        .when(marked == 0, "PureASCII")
+        F.when(F.octet_length(s).between(2, 5) & s.isin(C.ABBREVIATIONS), "Abbreviation")
+        .when(plain & is_transliteration(s), "TransliteratedViet")
+        .when(plain, "PureASCII")
         .when(marked * 10 >= letter_count(s) * 9, "PureVietnamese")
         .otherwise("MixedVietnamese")
     )
@@ -124,4 +125,54 @@ def language_of(path: Column) -> Column:
 def escape_json(s: Column) -> Column:
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         s = F.replace(s, F.lit(a), F.lit(b))
+    for code in (*range(9), 11, 12, *range(14, 32)):
+        s = F.replace(s, F.lit(chr(code)), F.lit(f"\\u{code:04X}"))
     return s
+
+
+def hex4(s: Column) -> Column:
+    """The number of four hexadecimal digits; null for anything else."""
+    return F.when(s.rlike("^[0-9A-Fa-f]{4}$"), F.conv(s, 16, 10).cast("int"))
+
+
+def utf8_of(code: Column) -> Column:
+    """A code point's character; U+FFFD for surrogates and numbers beyond Unicode."""
+    good = code.between(0, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    quad = F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(0xFFFD)), 8, "0"))
+    return F.decode(quad, "UTF-32")
+
+
+def is_leading_byte(byte: Column) -> Column:
+    """Whether a byte may begin a character."""
+    return (byte < 0x80) | byte.between(0xC2, 0xF4)
+
+
+def is_valid_utf8(content: Column) -> Column:
+    return F.is_valid_utf8(content.cast("string"))
+
+
+def code_points(s: Column) -> Column:
+    """array of struct(codepoint, byte_offset, byte_length, is_vietnamese, is_id_start, is_id_continue), offsets from 0."""
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    start = lambda c: c.rlike(r"[A-Za-z_]|[^\x00-\x7F]")
+
+    def step(at, c):
+        one = F.struct(
+            F.ascii(c).alias("codepoint"), at["at"].alias("byte_offset"), F.octet_length(c).alias("byte_length"), c.rlike(C.EXACT).alias("is_vietnamese"), start(c).alias("is_id_start"), (start(c) | c.rlike("[0-9]")).alias("is_id_continue")
+        )
+        return F.struct(F.concat(at["done"], F.array(one)).alias("done"), (at["at"] + F.octet_length(c)).alias("at"))
+
+    kind = "array<struct<codepoint: int, byte_offset: int, byte_length: int, is_vietnamese: boolean, is_id_start: boolean, is_id_continue: boolean>>"
+    return F.aggregate(chars, F.struct(F.array().cast(kind).alias("done"), F.lit(0).alias("at")), step, lambda at: at["done"])
+
+
+def position_of(source: Column, offset: Column) -> Column:
+    """struct(line, column, offset) of a byte offset: line and column from 1, the column in code points; offsets past the end are the end."""
+    at = F.least(F.greatest(offset, F.lit(0)), F.octet_length(source))
+    before = F.decode(F.substring(F.encode(source, "UTF-8"), F.lit(1), at), "UTF-8")
+    return F.struct((F.regexp_count(before, F.lit("\n")) + 1).alias("line"), (F.length(F.substring_index(before, "\n", -1)) + 1).alias("column"), at.alias("offset"))
+
+
+def corpus_confidence(s: Column) -> Column:
+    """The corpus builder's trust in its own labels."""
+    return F.when(has_exact(s), 0.75).when(corpus_label(s) == 3, 0.80).otherwise(0.70)

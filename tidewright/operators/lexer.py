@@ -1,8 +1,8 @@
-"""Sources to tokens: one total pattern a language, positions as running sums."""
+"""Sources to tokens: one total pattern a language, positions as running sums within the row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -53,27 +53,49 @@ def token_kind(raw: Column, pos: Column, language: Column) -> Column:
     )
 
 
+#: Pieces that one inner sum takes, so that arrays are copied a block at a time.
+BLOCK = 64
+_TOKEN = "array<struct<pos: int, raw: string, start: int, line: int, col: int>>"
+
+
+def placed(found: Column, keep_space: bool) -> Column:
+    """The pieces that are kept, with their places: a running sum over the array, block by block, blanks dropped on the way."""
+
+    def step(at: Column, piece: Column) -> Column:
+        raw = piece["raw"]
+        token = F.struct(piece["pos"].alias("pos"), raw.alias("raw"), at["start"].alias("start"), at["line"].alias("line"), (at["start"] - at["from"] + 1).alias("col"))
+        more = F.concat(at["done"], F.array(token))
+        done = more if keep_space else F.when((raw == "\n") | raw.rlike(BLANK), at["done"]).otherwise(more)
+        end = at["start"] + F.octet_length(raw)
+        broken = F.instr(raw, "\n") > 0
+        return F.struct(
+            done.alias("done"),
+            end.alias("start"),
+            F.when(broken, at["line"] + F.size(F.split(raw, "\n")) - 1).otherwise(at["line"]).alias("line"),
+            F.when(broken, end - F.octet_length(F.substring_index(raw, "\n", -1))).otherwise(at["from"]).alias("from"),
+        )
+
+    def block(at: Column, b: Column) -> Column:
+        part = F.transform(F.slice(found, b * BLOCK + 1, F.lit(BLOCK)), lambda raw, i: F.struct(raw.alias("raw"), (i + b * BLOCK).alias("pos")))
+        zero = F.struct(F.array().cast(_TOKEN).alias("done"), at["start"].alias("start"), at["line"].alias("line"), at["from"].alias("from"))
+        inner = F.aggregate(part, zero, step)
+        return F.get(F.transform(F.array(inner), lambda x: F.struct(F.concat(at["done"], x["done"]).alias("done"), x["start"].alias("start"), x["line"].alias("line"), x["from"].alias("from"))), F.lit(0))
+
+    zero = F.struct(F.array().cast(_TOKEN).alias("done"), F.lit(0).alias("start"), F.lit(1).alias("line"), F.lit(0).alias("from"))
+    return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), zero, block, lambda at: at["done"])
+
+
 def tokens(sources: DataFrame, keep_space: bool = False, end: bool = True) -> DataFrame:
-    """(file, language, pos, kind, raw, start, end, line, col, has_vietnamese) of (file, source, language).
+    """(row, file, language, pos, kind, raw, start, end, line, col, has_vietnamese) of (file, source, language).
 
     Byte offsets from 0, lines and byte columns from 1; blanks are dropped after they have
-    been counted, an EndOfFile row closes each file. One window a file; null sources are empty.
+    been counted, an EndOfFile row closes each file; null sources are empty. Nothing is shuffled: places are summed within
+    the source's row, and ``row`` numbers rows of sources, so that files of equal or null name stay apart.
     """
     text = F.coalesce("source", F.lit(""))
-    rows = sources.select("file", "language", F.posexplode(F.concat(pieces(text, F.col("language")), F.array(F.lit("")))).alias("pos", "raw"))
-    before = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    n, breaks = F.octet_length("raw"), F.regexp_count("raw", F.lit("\\n"))
-    tail = F.when(breaks > 0, F.octet_length(F.substring_index("raw", "\n", -1)))
-    start = F.coalesce(F.sum(n).over(before), F.lit(0))
-    # the last line begins where the text before ends, less what follows its last break
-    rows = rows.withColumn("start", start.cast("int")).withColumn("line", (1 + F.coalesce(F.sum(breaks).over(before), F.lit(0))).cast("int"))
-    rows = rows.withColumn("_line_start", F.when(breaks > 0, F.col("start") + n - tail))
-    rows = rows.withColumn("col", (F.col("start") - F.coalesce(F.max("_line_start").over(before), F.lit(0)) + 1).cast("int"))
+    rows = sources.select(F.monotonically_increasing_id().alias("row"), "file", "language", F.concat(pieces(text, F.col("language")), F.array(F.lit(""))).alias("_pieces"))
+    rows = rows.select("row", "file", "language", F.explode(placed(F.col("_pieces"), keep_space)).alias("t")).select("row", "file", "language", "t.*")
     kind = F.when(F.col("raw") == "", "EndOfFile").otherwise(token_kind(F.col("raw"), F.col("pos"), F.col("language")))
-    rows = rows.withColumn("kind", kind)
-    if not keep_space:
-        # what kind says of blanks, without working out the kinds of all tokens twice
-        rows = rows.where((F.col("raw") != "\n") & ~F.col("raw").rlike(BLANK))
     if not end:
-        rows = rows.where("kind <> 'EndOfFile'")
-    return rows.select("file", "language", "pos", "kind", "raw", "start", (F.col("start") + F.octet_length("raw")).cast("int").alias("end"), "line", "col", has_vietnamese(F.col("raw")).alias("has_vietnamese"))
+        rows = rows.where("raw <> ''")
+    return rows.select("row", "file", "language", "pos", kind.alias("kind"), "raw", "start", (F.col("start") + F.octet_length("raw")).alias("end"), "line", "col", has_vietnamese(F.col("raw")).alias("has_vietnamese"))

@@ -42,26 +42,26 @@ def words(items) -> str:
     return "(" + ", ".join(lit(w) for w in items) + ")"
 
 
-#: A source file for each document: comments, an import, definitions, strings and names with its whole text.
+#: A source file for each document: comments, an import, definitions, strings and names with its whole text, every character of it
+#: (in comments each line is one; in strings back slashes and quotes are escaped).
 _SNIPPET = (
-    "concat('# coding: ', CASE WHEN doc_id % 2 = 0 THEN 'utf-8' ELSE 'latin-1' END, chr(10), '# ', {s}, chr(10), 'import numpy as ', CASE WHEN doc_id % 3 = 0 THEN 'ten' ELSE 'np' END, chr(10), "
-    "'def so_luong(tenhang, mã_khách):', chr(10), '    x = \"', {s}, '\"', chr(10), '    raise ValueError(\"', {s}, '\")', repeat(chr(10), 6), 'y = 1', chr(10), 'def ten_hang(b):', chr(10), '    \"Docs.\"', chr(10), "
+    "concat('# coding: ', CASE WHEN doc_id % 2 = 0 THEN 'utf-8' ELSE 'latin-1' END, chr(10), '# ', replace({s}, chr(10), concat(chr(10), '# ')), chr(10), 'import numpy as ', CASE WHEN doc_id % 3 = 0 THEN 'ten' ELSE 'np' END, chr(10), "
+    "'def so_luong(tenhang, mã_khách):', chr(10), '    x = \"', {q}, '\"', chr(10), '    raise ValueError(\"', {q}, '\")', repeat(chr(10), 6), 'y = 1', chr(10), 'def ten_hang(b):', chr(10), '    \"Docs.\"', chr(10), "
     "'    danhSach = so_luong + á', chr(10), '    return danhSach', repeat(chr(10), 8), 'GetUser = getUser = nv = sdt0905123456 = FOO_BAR', chr(10), {s}, chr(10))"
 )
-_PIECE = r"[^\p{L}\p{N} ]"
+_QUOTED = "replace(replace({s}, chr(92), concat(chr(92), chr(92))), chr(34), concat(chr(92), chr(34)))"
 
 
 def code_files(docs: DataFrame) -> DataFrame:
-    s = F.regexp_replace(F.coalesce("text", F.lit("")), _PIECE, "")
-    return docs.withColumn("_s", s).select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), F.expr(_SNIPPET.format(s="_s")).alias("source"), F.lit("Python").alias("language"))
+    rows = docs.withColumn("_s", F.coalesce("text", F.lit("")))
+    return rows.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), F.expr(_SNIPPET.format(s="_s", q=_QUOTED.format(s="_s"))).alias("source"), F.lit("Python").alias("language"))
 
 
 def text_files(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), F.col("text").alias("source"), F.lit("Python").alias("language"))
 
 
-_S = f"regexp_replace(coalesce(text, ''), {lit(_PIECE)}, '', 'g')"
-SQL_CODE = f"SELECT doc_id, 'doc' || doc_id || '.py' AS file, {_SNIPPET.format(s='s')} AS source FROM (SELECT doc_id, {_S} AS s FROM documents)"
+SQL_CODE = f"SELECT doc_id, 'doc' || doc_id || '.py' AS file, {_SNIPPET.format(s='s', q=_QUOTED.format(s='s'))} AS source FROM (SELECT doc_id, coalesce(text, '') AS s FROM documents)"
 SQL_TEXT = "SELECT doc_id, 'doc' || doc_id || '.py' AS file, text AS source FROM documents"
 
 
@@ -199,15 +199,31 @@ def f29(spark, sf):
     return names(spark, sf).select("id", T.corpus_label(F.col("id")).cast("int").alias("label"))
 
 
-@query("f20_escape_json", "SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')) AS escaped FROM documents")
+#: All 32 control characters, quotes and back slashes stand in each text's tail, as the tables' texts have few.
+_CONTROL = "array_to_string(list_transform(range(1, 32), lambda i: chr(i::INTEGER)), '')"
+
+
+def _escaped(x: str) -> str:
+    """In SQL: one character at a time, as the format says it."""
+    one = "CASE WHEN c = '\"' THEN '\\\"' WHEN c = chr(92) THEN chr(92) || chr(92) WHEN c = chr(10) THEN '\\n' WHEN c = chr(13) THEN '\\r' WHEN c = chr(9) THEN '\\t' WHEN unicode(c) < 32 THEN '\\u00' || upper(lpad(to_hex(unicode(c)), 2, '0')) ELSE c END"
+    return f"array_to_string(list_transform(string_split({x}, ''), lambda c: {one}), '')"
+
+
+@query("f20_escape_json", f"SELECT doc_id, md5({_escaped('text || ' + _CONTROL)}) AS escaped FROM documents WHERE text IS NOT NULL")
 def f20(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.escape_json(F.col("text"))).alias("escaped"))
+    whole = F.concat("text", F.lit("".join(map(chr, range(1, 32)))))
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.md5(T.escape_json(whole)).alias("escaped"))
+
+
+@query("f23_json_access", "SELECT event_id, (props->>'$.k')::INTEGER AS k, props->>'$.none' IS NULL AS missing FROM events")
+def f23(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.get_json_object("props", "$.none").isNull().alias("missing"))
 
 
-@query("f24_json_access", "SELECT event_id, (props->>'$.k')::INTEGER AS k, lower(lpad(to_hex((props->>'$.k')::INTEGER), 4, '0')) AS hex4 FROM events")
+@query("f24_hex4", "SELECT event_id, h AS text, CASE WHEN regexp_matches(h, '^[0-9A-Fa-f]{4}$') THEN ('0x' || h)::INTEGER END AS code FROM (SELECT event_id, substr(md5(event_id::VARCHAR), 1, 4 + (event_id % 9 = 0)::INTEGER) AS h FROM events)")
 def f24(spark, sf):
-    k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf, "events").select("event_id", k.alias("k"), F.lower(F.lpad(F.hex(k), 4, "0")).alias("hex4"))
+    h = F.expr("substr(md5(cast(event_id as string)), 1, 4 + cast(event_id % 9 = 0 as int))")
+    return table(spark, sf, "events").select("event_id", h.alias("text"), T.hex4(h).alias("code"))
 
 
 # --- S, L: sources and lexing -------------------------------------------------------------------------------------
