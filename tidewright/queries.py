@@ -12,6 +12,7 @@ from .operators import encoding as E
 from .operators import rules as R
 from .operators.lexer import KINDS_OF_COMMENTS, KINDS_OF_NAMES, tokens
 from .plans import engine, history
+from .sources.files import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -53,12 +54,12 @@ _QUOTED = "replace(replace({s}, chr(92), concat(chr(92), chr(92))), chr(34), con
 
 
 def code_files(docs: DataFrame) -> DataFrame:
-    rows = docs.withColumn("_s", F.coalesce("text", F.lit("")))
+    rows = spread(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_s")))
     return rows.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), F.expr(_SNIPPET.format(s="_s", q=_QUOTED.format(s="_s"))).alias("source"), F.lit("Python").alias("language"))
 
 
 def text_files(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), F.col("text").alias("source"), F.lit("Python").alias("language"))
+    return spread(docs.select("doc_id", "text")).select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), F.col("text").alias("source"), F.lit("Python").alias("language"))
 
 
 SQL_CODE = f"SELECT doc_id, 'doc' || doc_id || '.py' AS file, {_SNIPPET.format(s='s', q=_QUOTED.format(s='s'))} AS source FROM (SELECT doc_id, coalesce(text, '') AS s FROM documents)"
@@ -150,7 +151,7 @@ SQL_NAMES = f"SELECT id FROM ({_NAMES_SQL}) UNION SELECT id FROM ({_MADE})"
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct identifiers of all documents and some made ones."""
-    found = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(C.IDENTIFIER), F.lit(0))).alias("id"))
+    found = spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(F.regexp_extract_all("text", F.lit(C.IDENTIFIER), F.lit(0))).alias("id"))
     made = spark.sql("SELECT explode(array" + _MADE.split("unnest(")[1].replace("[", "(").replace("])", "))"))
     return found.union(made.toDF("id")).distinct()
 
@@ -265,13 +266,13 @@ _JS = f"SELECT page_id, unnest(regexp_extract_all(html, {lit(C.JAVASCRIPT)})) AS
 
 @query("l03_tokens_javascript", f"SELECT page_id, count(*) AS n, sum(strlen(raw))::BIGINT AS bytes FROM ({_JS}) WHERE NOT regexp_matches(raw, '^[ \\t\\r\\n\\x0B\\x0C]') GROUP BY page_id")
 def l03(spark, sf):
-    rows = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("file"), F.col("html").alias("source"), F.lit("JavaScript").alias("language"))
+    rows = spread(table(spark, sf, "pages")).select(F.col("page_id").cast("string").alias("file"), F.col("html").alias("source"), F.lit("JavaScript").alias("language"))
     return tokens(rows, end=False).groupBy(F.col("file").cast("long").alias("page_id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes"))
 
 
 @query("l04_tokens_cpp")
 def l04(spark, sf):
-    rows = table(spark, sf, "pages").select(F.col("url").alias("file"), F.col("html").alias("source"), F.lit("Cpp").alias("language"))
+    rows = spread(table(spark, sf, "pages")).select(F.col("url").alias("file"), F.col("html").alias("source"), F.lit("Cpp").alias("language"))
     return tokens(rows).groupBy("file", "kind").count()
 
 

@@ -12,6 +12,13 @@ from ..operators import encoding as E
 EXTENSIONS = "py js mjs cjs ts tsx jsx c h cpp cc cxx hpp hxx".split()
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """The table, its rows dealt to all cores if it has fewer files than they are: a small file is read by one task, and what follows
+    runs where rows are read. Tables of many files stay where they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+
+
 def source_files(spark: SparkSession, folder: str, extensions: list[str] | None = None) -> DataFrame:
     """(file, source, language, encoding) of every file below a folder, bytes detected and converted.
 
