@@ -57,3 +57,15 @@ def normalize(content: Column, encoding: Column) -> Column:
     for charset in C.CHARSETS:
         out = out.when(encoding == charset, convert(content, charset))
     return out
+
+
+#: Names of encodings, by number.
+ENCODINGS = ("utf-8", "utf-8-bom", "tcvn3", "vni", "vps", "viscii", "windows-1258", "iso-8859-1", "ascii", "unknown")
+
+
+def charset_line(path: Column, content: Column) -> Column:
+    """What a look at a file says: path, encoding, confidence and marks."""
+    d = detect(content)
+    return F.concat(
+        path, F.lit(": "), d["encoding"], F.lit(" (confidence="), F.format_number(d["confidence"], 3), F.when(d["has_bom"], ", BOM").otherwise(""), F.when(d["needs_conversion"], ", NEEDS-CONVERSION").otherwise(""), F.lit(")")
+    )

@@ -97,6 +97,25 @@ def parse_config(text: str) -> Project:
     return out
 
 
+#: The file's name and how far up it is looked for.
+FILE_NAME, PARENTS = ".tidewright.toml", 8
+
+
+def find_config(start: str = ".") -> str | None:
+    """The configuration file nearest above a folder of this machine; None without one."""
+    import os
+
+    at = os.path.abspath(start)
+    for _ in range(PARENTS):
+        path = os.path.join(at, FILE_NAME)
+        if os.path.isfile(path):
+            return path
+        if os.path.dirname(at) == at:
+            return None
+        at = os.path.dirname(at)
+    return None
+
+
 def default_config() -> str:
     """The file that a new project starts with."""
     head = ["[project]", 'root = "."', "", "[lint]", "fail_on_warning = false", "max_violations = 0", 'target_encoding = "utf-8"']

@@ -63,7 +63,10 @@ def stats(diagnostics: DataFrame) -> DataFrame:
     )
 
 
-def exit_code(diagnostics: DataFrame) -> DataFrame:
+def exit_code(diagnostics: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """2 for errors, 1 for warnings, else 0; 3 where ``files`` is given and has no row."""
+    if files is not None and files.isEmpty():
+        return diagnostics.sparkSession.sql("SELECT 3 AS exit_code")
     rank = F.when(F.col("severity").isin("error", "fatal"), 2).when(F.col("severity") == "warning", 1).otherwise(0)
     return diagnostics.agg(F.coalesce(F.max(rank), F.lit(0)).alias("exit_code"))
 

@@ -37,3 +37,23 @@ def by_severity(v: DataFrame) -> DataFrame:
 
 def top_files(v: DataFrame, n: int = 20) -> DataFrame:
     return v.groupBy("file_path").agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.desc("cnt"), "file_path").limit(n)
+
+
+def total(v: DataFrame, project: str) -> DataFrame:
+    """(total): violations of a project."""
+    return v.where(F.col("project_id") == project).agg(F.count(F.lit(1)).alias("total"))
+
+
+def projects(rows: DataFrame) -> DataFrame:
+    """Projects (id, name, created_at), newest first."""
+    return rows.orderBy(F.desc("created_at"), "id")
+
+
+def insert_or_ignore(v: DataFrame, new: DataFrame) -> DataFrame:
+    """v with the rows of new whose id is not there; of rows of new that share an id one goes in."""
+    return v.unionByName(new.dropDuplicates(["id"]).join(v.select("id"), "id", "left_anti").select(*v.columns))
+
+
+def delete_project(rows: DataFrame, v: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
+    """(projects, violations) without a project and what belongs to it."""
+    return rows.where(F.col("id") != project), v.where(F.col("project_id") != project)

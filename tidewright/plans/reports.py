@@ -89,3 +89,26 @@ def summary(files: DataFrame, diagnostics: DataFrame) -> DataFrame:
         F.when((F.col("errors") == 0) & (F.col("warnings") == 0), "No violations found"),
     )
     return both.withColumn("text", said)
+
+
+#: Where rules are described.
+BASE_URL = "https://tidewright.invalid/rules/"
+
+
+def text_report(source: bool = True, url: bool = False) -> Column:
+    """The line of a diagnostic, its source line (column ``source``) with a caret, its suggestions, and where its rule is described.
+
+    A line past the end shows the first one."""
+    head = F.format_string("%s:%d:%d: %s [%s]: %s\n", "file", "line", "col", "severity", "rule_id", "message")
+    lines = F.split("source", "\n")
+    shown = F.coalesce(F.when(F.col("line") <= F.size(lines), F.get(lines, F.col("line") - 1)), F.get(lines, F.lit(0)))
+    caret = F.when(F.col("col") > 0, F.concat(F.lit("    | "), F.repeat(F.lit(" "), F.col("col") - 1), F.lit("^\n"))).otherwise("")
+    excerpt = F.when((F.col("source") != "") & (F.col("line") > 0), F.concat(F.lit("    | "), shown, F.lit("\n"), caret)).otherwise("")
+    fixes = F.when(F.size("fixes") > 0, F.concat(F.lit("    suggestion: "), F.array_join("fixes", " or "), F.lit("\n"))).otherwise("")
+    return F.concat(head, *([excerpt] if source else []), fixes, *([F.lit("    see: " + BASE_URL), "rule_id", F.lit("\n")] if url else []))
+
+
+def text_reports(files: DataFrame, diagnostics: DataFrame, url: bool = False) -> DataFrame:
+    """(file, start, rule_id, report) of diagnostics with their files' (file, source) lines."""
+    rows = diagnostics.join(files.select("file", "source"), "file")
+    return rows.select("file", "start", "rule_id", text_report(url=url).alias("report"))

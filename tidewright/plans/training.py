@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,6 +61,35 @@ def report(predicted: DataFrame) -> DataFrame:
     return sums.select("*", ratio("guesses").alias("precision"), ratio("support").alias("recall"))
 
 
+def scores(reported: DataFrame) -> DataFrame:
+    """One row of a report: accuracy, and precision, recall and F1 averaged over classes that have examples or guesses (0 where a ratio is null)."""
+    p, r = F.coalesce("precision", F.lit(0.0)), F.coalesce("recall", F.lit(0.0))
+    f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    return reported.agg((F.sum("hits") / F.sum("support")).alias("accuracy"), F.avg(p).alias("precision"), F.avg(r).alias("recall"), F.avg(f1).alias("f1"))
+
+
+def fold_of(name: Column, folds: int) -> Column:
+    """The fold, 0 to folds-1, of an example by its id, so that reruns agree."""
+    return F.pmod(_drawn(8, name), F.lit(folds)).cast("int")
+
+
+def split(corpus: DataFrame, test_share: float = 0.15) -> tuple[DataFrame, DataFrame]:
+    """(training, test) by ids."""
+    tested = fold_of(F.col("id"), 1000) < int(1000 * test_share)
+    return corpus.where(~tested), corpus.where(tested)
+
+
+def cross_validate(corpus: DataFrame, folds: int = 5, **options) -> tuple[float, float]:
+    """(mean, standard deviation) of macro F1 over folds, a model fitted on the other folds each time."""
+    got = []
+    for k in range(folds):
+        held = fold_of(F.col("id"), folds) == k
+        told = predict(corpus.where(held & F.col("label").between(0, 4)), fit(corpus.where(~held), **options))
+        got.append(scores(report(told)).first()["f1"] or 0.0)
+    mean = sum(got) / folds
+    return mean, (sum((x - mean) ** 2 for x in got) / folds) ** 0.5
+
+
 def _vectors(rows: DataFrame) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
@@ -89,8 +116,16 @@ def predict(rows: DataFrame, model: PipelineModel | None = None) -> DataFrame:
 
 
 def load(path: str) -> PipelineModel | None:
-    """A model saved by ``model.save(path)`` on this machine's view of the path; None where there is none."""
-    return PipelineModel.load(path) if os.path.isdir(path) else None
+    """A model saved by ``model.save(path)``, wherever Spark can read it; None where there is nothing at the path."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import AnalysisException
+
+    try:
+        return PipelineModel.load(path)
+    except (AnalysisException, Py4JJavaError) as e:
+        if any(x in str(e) for x in ("PATH_NOT_FOUND", "does not exist", "InvalidInputException", "FileNotFound")):
+            return None
+        raise
 
 
 def export_features(corpus: DataFrame, path: str) -> None:

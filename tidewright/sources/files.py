@@ -31,7 +31,39 @@ def source_files(spark: SparkSession, folder: str, extensions: list[str] | None
     return found.select(F.col("path").alias("file"), E.normalize(F.col("content"), F.col("encoding")).alias("source"), language_of(F.col("path")).alias("language"), "encoding")
 
 
-def name_lines(spark: SparkSession, path: str) -> DataFrame:
+def named_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, source, language, encoding) of named files, whatever their extension, and of source files below folders; each once.
+    Paths that aren't there are told in a warning and passed over."""
+    import warnings
+
+    fs = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    settings, folders, single = spark._jsc.hadoopConfiguration(), [], []
+    for path in dict.fromkeys(paths):
+        store = fs(path).getFileSystem(settings)
+        if not store.exists(fs(path)):
+            warnings.warn(f"no such file: {path}", stacklevel=2)
+        else:
+            (folders if store.getFileStatus(fs(path)).isDirectory() else single).append(path)
+    parts = [source_files(spark, folder) for folder in folders]
+    if single:
+        raw = spark.read.format("binaryFile").load(single).select("path", "content", E.detect(F.col("content"))["encoding"].alias("encoding"))
+        parts.append(raw.select(F.col("path").alias("file"), E.normalize(F.col("content"), F.col("encoding")).alias("source"), language_of(F.col("path")).alias("language"), "encoding"))
+    if not parts:
+        return spark.createDataFrame([], "file string, source string, language string, encoding string")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.dropDuplicates(["file"]) if len(parts) > 1 else out
+
+
+def request_bodies(lines: DataFrame) -> DataFrame:
+    """(file, source, language) of requests, JSON with source and filename (``input.py`` without one) a line (value); no source, no row."""
+    r = F.from_json("value", "source string, filename string")
+    rows = lines.select(r.alias("r")).where("r.source is not null").select(F.coalesce("r.filename", F.lit("input.py")).alias("file"), F.col("r.source").alias("source"))
+    return rows.withColumn("language", language_of(F.col("file")))
+
+
+def name_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(id): a name a line, empty lines passed over."""
     return spark.read.text(path).where("value <> ''").select(F.col("value").alias("id"))
 

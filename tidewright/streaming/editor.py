@@ -24,7 +24,7 @@ OPEN, CHANGE, CLOSE = "textDocument/didOpen", "textDocument/didChange", "textDoc
 #: Methods answered, and the protocol's error codes.
 REQUESTS = ("initialize", "shutdown", "textDocument/codeAction", "textDocument/hover", "textDocument/completion", "textDocument/formatting")
 NOTES = ("initialized", "exit", OPEN, CHANGE, CLOSE)
-PARSE_ERROR, INVALID_REQUEST, METHOD_NOT_FOUND = -32700, -32600, -32601
+PARSE_ERROR, INVALID_REQUEST, METHOD_NOT_FOUND, NOT_INITIALIZED, INTERNAL_ERROR = -32700, -32600, -32601, -32002, -32603
 
 
 def messages(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -39,6 +39,31 @@ def messages(raw: DataFrame, column: str = "value") -> DataFrame:
     return read.select("seq", "_m.id", "_m.method", "_m.params", error.alias("error"))
 
 
+def gated(read: DataFrame, session: str) -> DataFrame:
+    """Messages (session, seq, ...) of a batch, requests before their session's initialize marked as an error; notifications
+    before it go, but for exit. One window a session."""
+    from pyspark.sql import Window
+
+    hello = F.min(F.when((F.col("method") == "initialize") & F.col("error").isNull(), F.col("seq"))).over(Window.partitionBy(session))
+    early = F.coalesce(F.col("seq") < F.col("_hello"), F.lit(True)) & F.col("method").isNotNull() & (F.col("method") != "initialize")
+    rows = read.withColumn("_hello", hello).withColumn("_early", early)
+    rows = rows.where(~F.col("_early") | F.col("id").isNotNull() | (F.col("method") == "exit"))
+    return rows.withColumn("error", F.when(F.col("_early") & F.col("id").isNotNull(), NOT_INITIALIZED).otherwise(F.col("error"))).drop("_hello", "_early")
+
+
+def frame_of(body: Column) -> Column:
+    """A message as it goes over a pipe: its length in bytes, an empty line, itself."""
+    return F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body)
+
+
+def body_of(frame: Column) -> Column:
+    """The message of one frame (header lines in any order, ends of line with or without a return); null without a length or with fewer bytes."""
+    head = F.regexp_extract(frame, r"(?s)^(.*?\r?\n)\r?\n", 1)
+    length = F.regexp_extract(head, r"(?m)^Content-Length: ([0-9]+)", 1).try_cast("int")
+    rest = F.encode(F.regexp_replace(frame, r"(?s)^.*?\r?\n\r?\n", ""), "UTF-8")
+    return F.when((length > 0) & (F.octet_length(rest) >= length), F.decode(F.substring(rest, F.lit(1), length), "UTF-8"))
+
+
 def offset_of(text: str, line: int, character: int) -> int:
     """The place of a line and a character in it, both from 0; characters past the line's end stop there."""
     at = 0
