@@ -331,16 +331,6 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(table.limit(0)).count() == 0
 
 
-def test_likely_pairs_reach_below_the_mean_of_similar_texts():
-    a = np.arange(80, dtype=np.uint32)
-    rows = {"rep": [1, 2, 3], "component": [1, 2, 3], "left": [True] * 3, "right": [True] * 3, "minor": [True] * 3, "band": [0] * 3}
-    b, c = a.copy(), a.copy()
-    b[52:] += 1000  # 52 of 80 agree: 0.05 % of pairs at 0.8 have fewer
-    c[40:] += 2000
-    got = minhash.likely_pairs(pa.table(rows | {"sig": [x.tobytes() for x in (a, b, c)]}))
-    assert got.to_pydict() == {"a": [1], "b": [2]}
-
-
 def test_components_and_languages(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(50, 40), (40, 50), (7, 7)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(edges).collect()}

@@ -83,6 +83,12 @@ def test_stages_of_documents(stages):
     assert sum("[SECRET]" in r[1] for r in want) == 13 and sorted(stages["secrets"]) == sorted(want)
 
 
+def test_run_writes_and_reads_its_stages(spark, tmp_path):
+    spark.createDataFrame(planted(), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 60
+
+
 def test_mixing_stage(stages):
     target, taken, biggest = brute_mix(stages["secrets"]), Counter(), Counter()
     assert set(stages["mixing"]) <= set(stages["secrets"]) and max(Counter(stages["mixing"]).values()) <= 3
