@@ -47,13 +47,23 @@ def op10_secrets(spark, sf_dir):
     return secrets.scan_documents(read_table(spark, sf_dir, "documents"))
 
 
+def winnow_edits(spark, sf_dir):
+    """The part of op8 that SQL can say: the next document and the edited text."""
+    return op8_winnowing(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def secret_base_spans(spark, sf_dir):
+    """The part of op10 that SQL can say: the spans of the base patterns."""
+    return op10_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_jump_shards, op3_toxicity, op4_language, op5_token_counts, op6_mixing, op7_packing, op8_winnowing, op9_embeddings, op10_secrets, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_jump_shards, op3_toxicity, op4_language, op5_token_counts, op6_mixing, op7_packing, op8_winnowing, op9_embeddings, op10_secrets, winnow_edits, secret_base_spans, pipeline)}
 
 #: The first hexadecimal digits of an md5 as a number.
 _MD5 = "('0x' || substr(md5({text}), 1, {digits}))::BIGINT"
@@ -82,7 +92,61 @@ bytes AS (
 ),
 crcs AS (SELECT text, xor(list_reduce(x, lambda c, v: xor(c >> 8, l[(xor(c, v) & 255) + 1])), 4294967295)::BIGINT AS crc FROM bytes, poly)"""
 
+#: The base kinds as SQL patterns, ASCII letters of either case spelled out, and the least length of the group that counts (0: all of the match).
+_KINDS = {
+    "assign": (
+        "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else "_?" for c in w) for w in "password passwd secret token api_key".split()) + """)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        2, 12,
+    ),
+    "access": ("AKIA[A-Z0-9]+", 0, 18),
+    "hex": ("[0-9a-f]+", 0, 16),
+}
+
+
+def _spans(kind: str, at: int) -> str:
+    """doc_id, kind and [start, end) of the matches of one kind: they are framed by two noncharacters (no text holds U+EFFFE or U+EFFFF), and cut apart there."""
+    pattern, group, least = _KINDS[kind]
+    pattern = pattern.replace("'", "''")
+    framed = f"string_split(regexp_replace(text, '({pattern})', chr(983038) || '\\1' || chr(983039), 'g'), chr(983038))"
+    return f"""
+  SELECT doc_id, '{kind}' AS kind, {at} AS place, start, start + length(m) AS stop FROM (
+    SELECT doc_id, string_split(part, chr(983039))[1] AS m, i, sum(length(part) - CASE WHEN i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) - length(part) + 1 AS start
+    FROM (SELECT doc_id, unnest({framed}) AS part, generate_subscripts({framed}, 1) AS i FROM documents)
+  ) WHERE i > 1 AND length(regexp_extract(m, '{pattern}', {group})) >= {least}"""
+
+
 ORACLE_SQL = {
+    "op9_embeddings": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+good AS (
+  SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS norm FROM v
+  WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_dot_product(x, x) > 0
+),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.98
+),
+reach(id, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r),
+least AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN least ON id = vec_id LEFT JOIN counts ON a = vec_id
+""",
+    "winnow_edits": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS u FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 2) || substr(u, 1, length(t) // 2)) AS edited_sha256 FROM n
+""",
+    "secret_base_spans": f"""
+WITH spans AS ({" UNION ALL ".join(_spans(k, i) for i, k in enumerate(_KINDS))}),
+told AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, place) AS s
+  FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(s, '')) AS base_sha256
+FROM documents d LEFT JOIN told t ON t.doc_id = d.doc_id
+""",
     "op2_jump_shards": f"""
 WITH {_CRC},
 now AS ({_jump(8)}),
