@@ -295,6 +295,25 @@ def test_winnowing(spark, few):
     assert winnow.fingerprint_documents(few.limit(0)).count() == 0
 
 
+def test_next_of_repeated_and_missing_ids(spark):
+    rng = random.Random(8)
+    rows = [(i, words(rng, 6)) for i in range(-5, 15)] + [(7, words(rng, 6)) for _ in range(90)] + [(None, words(rng, 6)) for _ in range(90)]
+    rows += [(14, words(rng, 3)), (14, "x"), (14, "x"), (-(1 << 63), "least"), (None, None), (None, "")]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    tie = {r["t"]: r["h"] for r in table.selectExpr("coalesce(text, '') t", f"pmod(xxhash64(coalesce(text, '')), {winnow.TIES}) h").collect()}
+    order = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]], r[1]))
+    want = []
+    for i, (d, t) in enumerate(order):
+        half = len(t) // 2
+        want.append((str(d), hashlib.sha256((t[: len(t) - half] + order[(i + 1) % len(order)][1][:half]).encode()).hexdigest()))
+    for parts in (1, 2, 12):
+        got = winnow.fingerprint_documents(table, parts).collect()
+        assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in got) == sorted(want)
+    ranges = winnow.in_ranges(table, 12)[0].groupBy("_g", "_s").agg({"*": "count"}).collect()
+    assert 12 <= len(ranges) <= 36 and max(r[2] for r in ranges) < 40
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     base = rng.standard_normal((60, 16))

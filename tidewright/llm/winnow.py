@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ K, W = 4, 8
 PRIME, BASE = 2147483647, 1000003
 #: A word is a run of letters, marks and digits, or any other visible character.
 WORD = r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]"
+#: Hashes of texts that order the rows of one id, and the least id.
+TIES, LEAST_ID = 1 << 16, -(1 << 63)
 #: Room for a position beside a hash in one long.
 PLACES = 1 << 32
 
@@ -78,33 +82,53 @@ def likeness(a: str, b: str) -> Column:
     return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(hashes(a), hashes(b))) / either)
 
 
-def with_next(docs: DataFrame, columns, parts: int | None = None) -> DataFrame:
-    """docs (doc_id, text) with ``columns(df)`` applied, and next_<c> of each added column and of text.
+def in_ranges(docs: DataFrame, parts: int) -> tuple[DataFrame, list[int]]:
+    """(doc_id, text, _b, _g, _s) of all rows, and the greatest id of each range that has ids.
 
-    Next is the document that follows by descending doc_id (null ids last, equal ids by
-    text), after the last the first. Ids are cut into ranges by quantiles (``parts``, four
-    times the shuffle partitions unless given: all that the driver sees); a range is one
-    window, with the first document of the range below it as its last row. So texts are
-    shuffled once and no task holds all of them.
+    Rows stand by descending doc_id (null ids last), those of one id by _b, a hash of the text, then by text. Ids are
+    cut into ranges _g by ``parts`` quantiles; an id that fills several of them, and the rows
+    without an id (_g = -1), are cut further (_s) along _b, into as many pieces as their share of the
+    rows asks for. So a piece holds about a part of the rows whatever ids repeat, and there are 3 * parts pieces at most.
     """
-    spark = docs.sparkSession
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cuts = F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts) if parts > 1 else F.array().cast("array<bigint>")
-    bounds = sorted(set(docs.agg(cuts.alias("b")).first()["b"] or []))
+    seen = docs.agg(cuts.alias("b"), F.count("doc_id").alias("ids"), F.count(F.lit(1)).alias("n")).first()
+    share = Counter(seen["b"] or [])
+    bounds = sorted({*share, *(b - 1 for b, n in share.items() if n > 1 and b > LEAST_ID)})
     group = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
     group = F.when(F.col("doc_id").isNull(), -1).otherwise(group)
-    tops = sorted((r["g"], r["top"]) for r in docs.select("doc_id").groupBy(group.alias("g")).agg(F.max("doc_id").alias("top")).collect())
-    # above each range stands the next one: there the top of this range is the last row; above the highest, the lowest
-    above = [(tops[(i + 1) % len(tops)][0], top) for i, (_, top) in enumerate(tops)]
-    firsts = spark.createDataFrame(above, "_g int, doc_id long").alias("f")
-    wanted = [top for _, top in tops if top is not None]
-    edge = rows.where(F.col("doc_id").isin(wanted) | F.col("doc_id").isNull()).groupBy("doc_id").agg(F.min("text").alias("text"))
-    edge = edge.join(F.broadcast(firsts), edge["doc_id"].eqNullSafe(F.col("f.doc_id"))).select(edge["doc_id"], "text", "_g", F.lit(1).alias("_last"))
-    full = columns(rows.withColumn("_g", group).withColumn("_last", F.lit(0)).unionByName(edge))
-    after = Window.partitionBy("_g").orderBy("_last", F.col("doc_id").desc_nulls_last(), "text")
-    added = [c for c in full.columns if c not in ("doc_id", "_g", "_last")]
-    return full.select("*", *(F.lead(c).over(after).alias(f"next_{c}") for c in added)).where("_last = 0").drop("_g", "_last")
+    pieces = {bounds.index(b): n + 1 for b, n in share.items() if n > 1}
+    pieces[-1] = 1 + parts * (seen["n"] - seen["ids"]) // max(seen["n"], 1)
+    many = F.element_at(F.create_map(*(F.lit(x) for pair in pieces.items() for x in pair)), F.col("_g"))
+    rows = rows.withColumn("_g", group).withColumn("_b", F.pmod(F.xxhash64("text"), F.lit(TIES)).cast("int"))
+    rows = rows.withColumn("_s", F.floor(F.col("_b") * F.coalesce(many, F.lit(1)).cast("long") / TIES).cast("int"))
+    tops = docs.where("doc_id is not null").groupBy(group.alias("g")).agg(F.max("doc_id").alias("top")).collect()
+    return rows, sorted(r["top"] for r in tops)
+
+
+def with_next(docs: DataFrame, columns, parts: int | None = None) -> DataFrame:
+    """docs (doc_id, text) with ``columns(df)`` applied, and next_<c> of each added column and of text.
+
+    Next is the document that follows by descending doc_id (null ids last, equal ids by a hash
+    of the text, then by text), after the last the first. Every piece of in_ranges (``parts``: four times
+    the shuffle partitions unless given; the driver sees a row a piece) is one window, with the first
+    document of the piece after it as its last row. So texts are shuffled once and no task
+    holds all of them, nor all rows of an id or without one; only rows that equal in id and text stay together.
+    """
+    spark = docs.sparkSession
+    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, wanted = in_ranges(docs, parts)
+    ends = rows.where(F.col("doc_id").isin(wanted) | F.col("doc_id").isNull())
+    heads = ends.groupBy("_g", "_s").agg(F.min("_b").alias("b")).collect()
+    heads = sorted(((r["_g"], r["_s"], r["b"]) for r in heads), key=lambda r: (-r[0], r[1]))
+    after = [(g, s, b, *heads[i - 1][:2]) for i, (g, s, b) in enumerate(heads)]
+    firsts = spark.createDataFrame(after, "_g int, _s int, _b int, g int, s int")
+    edge = ends.join(F.broadcast(firsts), ["_g", "_s", "_b"]).groupBy("doc_id", "g", "s", "_b").agg(F.min("text").alias("text"))
+    edge = edge.select("doc_id", "text", F.col("g").alias("_g"), "_b", F.col("s").alias("_s"), F.lit(1).alias("_last"))
+    full = columns(rows.withColumn("_last", F.lit(0)).unionByName(edge))
+    order = Window.partitionBy("_g", "_s").orderBy("_last", F.col("doc_id").desc_nulls_last(), "_b", "text")
+    added = [c for c in full.columns if c not in ("doc_id", "_g", "_s", "_b", "_last")]
+    return full.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in added)).where("_last = 0").drop("_g", "_s", "_b", "_last")
 
 
 def fingerprint_documents(docs: DataFrame, parts: int | None = None) -> DataFrame:
