@@ -65,7 +65,7 @@ def sample_rows(docs: DataFrame, label: str, most: int, total: int = 1 << 30) ->
     h = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long")
     counts = named.groupBy("label").agg(((2 * most + 10) / F.count(F.lit(1)) * float(1 << 32)).alias("share"))
     order = Window.partitionBy("label").orderBy("h", "doc_id")
-    near = named.withColumn("h", h).join(counts, "label").where("h <= share")
+    near = named.withColumn("h", h).join(F.broadcast(counts), "label").where("h <= share")  # a row a label, of which the driver gets ids anyway
     ranked = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("doc_id", "label", "n").collect()
     fair = max(2, min(most, total // max(1, len({r["label"] for r in ranked}))))
     picked = [r["doc_id"] for r in ranked if r["n"] <= fair]
