@@ -164,3 +164,16 @@ def test_clusters_must_name_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.checkpoint_folder(Session)
+
+
+def test_hot_texts_get_the_classes_of_others(spark, monkeypatch):
+    """Rows joined as hot ones (all, in a small table), as others, and of both kinds have the same classes."""
+    words = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(6)]
+    texts = [words[0]] * 20 + [words[0] + " more"] * 3 + words[1:] + [None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = []
+    for hot in (minhash.HOT, 1, 2):
+        monkeypatch.setattr(minhash, "HOT", hot)
+        found.append(sorted(map(tuple, minhash.near_duplicates(docs).collect())))
+    assert found[0] == found[1] == found[2]
+    assert [c for _, c, _ in found[0]] == [0] * 23 + list(range(23, 30))
