@@ -122,8 +122,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, names
     """The columns ``keep`` of docs (doc_id if None), and the language and its score under ``names`` (which keep
     must not hold), from the whole text alone.
 
-    Texts that are null or have no letter are 'und' with score 0, as is all when nothing
-    was learned. A row a row, in place, repeats and null ids included; an empty table gives no rows; no shuffle; the model is a few hundred KB.
+    Texts that are null or have no letter (digits, signs and marks alone) are 'und' with score 0, as is all when nothing
+    was learned. Very long texts are read whole, a block at a time. A row a row, in place, repeats and null ids included; an empty table gives no rows; no shuffle; the model is a few hundred KB.
     """
     arrow_rows(docs.sparkSession)
     keep = keep or ["doc_id"]

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import alone, arrow_rows, blocks
 
-#: Runs of letters with their marks.
-WORDS = regex.compile(r"[\p{L}\p{M}]+")
+#: Letters with the letters and marks that follow; marks that follow no letter are no word.
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Words that a worker remembers, and the longest that it remembers.
 MEMORY_WORDS, MEMORY_CHARS = 150_000, 32
 
@@ -29,7 +29,8 @@ def grams(words: list[str], least: int, most: int, dims: int) -> tuple[np.ndarra
     out, h = [], np.zeros(len(points), np.uint64)
     for n in range(1, most + 1):
         h = h * np.uint64(0x9E3779B97F4A7C15)
-        h[: len(points) - n + 1] += points[n - 1 :]
+        m = max(0, len(points) - n + 1)  # few short words have fewer letters than n
+        h[:m] += points[n - 1 : n - 1 + m]
         if n >= least:
             mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * n)
             out.append((((mixed >> np.uint64(33)) % np.uint64(dims)).astype(np.int64), left >= n))

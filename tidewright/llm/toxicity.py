@@ -100,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     named = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # only ids and labels are sorted out first; then the texts of those ids
     picked = sample_rows(named, "toxic", sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     return Model(sample_features(rows, "toxic", LEAST, MOST, DIMS))
 
 
@@ -128,8 +128,9 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """score_toxicity of docs by a model fitted on those that labels (doc_id, toxic) names (see fit).
 
-    Labels that are null or name no document teach nothing; of several for one id the highest counts, and of rows that repeat an id one
-    teaches. Every row of docs is scored, repeats and null ids included; other columns are not read; an empty table
+    Labels that are null or name no document teach nothing; of several for one id the highest counts, and of rows that repeat an id the one
+    with the least text teaches. Words of one or two letters have the n-grams that fit between their edges; one
+    word of a letter may have none. Every row of docs is scored, repeats and null ids included; other columns are not read; an empty table
     gives no rows, and without labels of both classes all score 0.
     """
     return score_toxicity(docs, fit(docs, labels, sample))
