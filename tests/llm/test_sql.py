@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "labels"):
         con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)

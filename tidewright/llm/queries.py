@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embed, langid, minhash, mixing, packing, secrets, sharding, tokens, toxicity, winnow
+from . import embed, fim, langid, minhash, mixing, packing, periodic, quality, secrets, sharding, tokens, toxicity, winnow
 from .common import read_table
 
 
@@ -47,6 +47,23 @@ def op10_secrets(spark, sf_dir):
     return secrets.scan_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return periodic.periodic_documents(read_table(spark, sf_dir, "documents"), plant=True)
+
+
+def op12_quality_rules(spark, sf_dir):
+    return quality.quality_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    return fim.fill_in_middle(read_table(spark, sf_dir, "documents"))
+
+
+def quality_base(spark, sf_dir):
+    """The part of op12 that SQL can say: what the base rules count and decide."""
+    return op12_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def winnow_edits(spark, sf_dir):
     """The part of op8 that SQL can say: the next document and the edited text."""
     return op8_winnowing(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -63,7 +80,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_jump_shards, op3_toxicity, op4_language, op5_token_counts, op6_mixing, op7_packing, op8_winnowing, op9_embeddings, op10_secrets, winnow_edits, secret_base_spans, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_jump_shards, op3_toxicity, op4_language, op5_token_counts, op6_mixing, op7_packing, op8_winnowing, op9_embeddings, op10_secrets, op11_periodic_runs, op12_quality_rules, op13_fill_in_middle, quality_base, winnow_edits, secret_base_spans, pipeline)}
 
 #: The first hexadecimal digits of an md5 as a number.
 _MD5 = "('0x' || substr(md5({text}), 1, {digits}))::BIGINT"
@@ -131,6 +148,42 @@ least AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
 counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM v JOIN least ON id = vec_id LEFT JOIN counts ON a = vec_id
+""",
+    "op13_fill_in_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS l
+  FROM documents
+),
+e AS (
+  SELECT *, len(l) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(l) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(l) + 1) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+),
+parts AS (
+  SELECT *, array_to_string(l[1:least(a, b)], '') AS prefix, array_to_string(l[least(a, b) + 1:greatest(a, b)], '') AS middle, array_to_string(l[greatest(a, b) + 1:], '') AS suffix FROM e
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+""",
+    "quality_base": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS i
+  FROM (SELECT doc_id, list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) AS s FROM d)
+),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) r(k) GROUP BY doc_id),
+counts AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS lines,
+         len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS others, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN repeats ON repeats.doc_id = d.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, (lines - others)::BIGINT AS n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts
 """,
     "winnow_edits": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
