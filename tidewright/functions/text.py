@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as C
+from .arrays import running
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -153,21 +154,16 @@ def is_valid_utf8(content: Column) -> Column:
 
 def code_points(s: Column) -> Column:
     """array of struct(codepoint, byte_offset, byte_length, is_vietnamese, is_id_start, is_id_continue), offsets from 0."""
-    chars = F.filter(F.split(s, ""), lambda c: c != "")
     start = lambda c: c.rlike(r"[A-Za-z_]|[^\x00-\x7F]")
-    kind = "array<struct<codepoint: int, byte_offset: int, byte_length: int, is_vietnamese: boolean, is_id_start: boolean, is_id_continue: boolean>>"
+    kind = "struct<codepoint: int, byte_offset: int, byte_length: int, is_vietnamese: boolean, is_id_start: boolean, is_id_continue: boolean>"
 
     def step(at, c):
         one = F.struct(
             F.ascii(c).alias("codepoint"), at["at"].alias("byte_offset"), F.octet_length(c).alias("byte_length"), c.rlike(C.EXACT).alias("is_vietnamese"), start(c).alias("is_id_start"), (start(c) | c.rlike("[0-9]")).alias("is_id_continue")
         )
-        return F.struct(F.concat(at["done"], F.array(one)).alias("done"), (at["at"] + F.octet_length(c)).alias("at"))
+        return F.when(c != "", one), {"at": at["at"] + F.octet_length(c)}
 
-    def block(at, b):  # 64 at a time, so that long arrays are not copied for each character
-        inner = F.aggregate(F.slice(chars, b * 64 + 1, F.lit(64)), F.struct(F.array().cast(kind).alias("done"), at["at"].alias("at")), step)
-        return F.get(F.transform(F.array(inner), lambda x: F.struct(F.concat(at["done"], x["done"]).alias("done"), x["at"].alias("at"))), F.lit(0))
-
-    return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(chars) / 64).cast("int")), F.struct(F.array().cast(kind).alias("done"), F.lit(0).alias("at")), block, lambda at: at["done"])
+    return running(F.split(s, ""), kind, {"at": (F.lit(0), "int")}, step, lambda at, part: {"at": at["at"] + F.octet_length(F.array_join(part, ""))})
 
 
 def position_of(source: Column, offset: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..functions.arrays import running
 from ..functions.text import has_vietnamese
 
 KINDS_OF_NAMES = ("Identifier", "VietnameseIdentifier", "MixedIdentifier")
@@ -53,36 +54,27 @@ def token_kind(raw: Column, pos: Column, language: Column) -> Column:
     )
 
 
-#: Pieces that one inner sum takes, so that arrays are copied a block at a time.
-BLOCK = 64
-_TOKEN = "array<struct<pos: int, raw: string, start: int, line: int, col: int>>"
+_TOKEN = "struct<pos: int, raw: string, start: int, line: int, col: int>"
 
 
 def placed(found: Column, keep_space: bool) -> Column:
-    """The pieces that are kept, with their places: a running sum over the array, block by block, blanks dropped on the way."""
+    """The pieces that are kept, with their places: running sums over the array, blanks dropped on the way."""
 
-    def step(at: Column, piece: Column) -> Column:
-        raw = piece["raw"]
-        token = F.struct(piece["pos"].alias("pos"), raw.alias("raw"), at["start"].alias("start"), at["line"].alias("line"), (at["start"] - at["from"] + 1).alias("col"))
-        more = F.concat(at["done"], F.array(token))
-        done = more if keep_space else F.when((raw == "\n") | raw.rlike(BLANK), at["done"]).otherwise(more)
+    def after(at: Column, raw: Column) -> dict[str, Column]:
         end = at["start"] + F.octet_length(raw)
         broken = F.instr(raw, "\n") > 0
-        return F.struct(
-            done.alias("done"),
-            end.alias("start"),
-            F.when(broken, at["line"] + F.size(F.split(raw, "\n")) - 1).otherwise(at["line"]).alias("line"),
-            F.when(broken, end - F.octet_length(F.substring_index(raw, "\n", -1))).otherwise(at["from"]).alias("from"),
-        )
-
-    def block(at: Column, b: Column) -> Column:
-        part = F.transform(F.slice(found, b * BLOCK + 1, F.lit(BLOCK)), lambda raw, i: F.struct(raw.alias("raw"), (i + b * BLOCK).alias("pos")))
-        zero = F.struct(F.array().cast(_TOKEN).alias("done"), at["start"].alias("start"), at["line"].alias("line"), at["from"].alias("from"))
-        inner = F.aggregate(part, zero, step)
-        return F.get(F.transform(F.array(inner), lambda x: F.struct(F.concat(at["done"], x["done"]).alias("done"), x["start"].alias("start"), x["line"].alias("line"), x["from"].alias("from"))), F.lit(0))
-
-    zero = F.struct(F.array().cast(_TOKEN).alias("done"), F.lit(0).alias("start"), F.lit(1).alias("line"), F.lit(0).alias("from"))
-    return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), zero, block, lambda at: at["done"])
+        return {
+            "start": end,
+            "line": F.when(broken, at["line"] + F.regexp_count(raw, F.lit("\n"))).otherwise(at["line"]),
+            "from": F.when(broken, end - F.octet_length(F.substring_index(raw, "\n", -1))).otherwise(at["from"]),
+        }
+
+    def step(at: Column, raw: Column) -> tuple[Column, dict[str, Column]]:
+        token = F.struct(at["pos"].alias("pos"), raw.alias("raw"), at["start"].alias("start"), at["line"].alias("line"), (at["start"] - at["from"] + 1).alias("col"))
+        return token if keep_space else F.when(~((raw == "\n") | raw.rlike(BLANK)), token), {"pos": at["pos"] + 1, **after(at, raw)}
+
+    whole = lambda at, part: {"pos": at["pos"] + F.size(part), **after(at, F.array_join(part, ""))}
+    return running(found, _TOKEN, {"pos": (F.lit(0), "int"), "start": (F.lit(0), "int"), "line": (F.lit(1), "int"), "from": (F.lit(0), "int")}, step, whole)
 
 
 def tokens(sources: DataFrame, keep_space: bool = False, end: bool = True) -> DataFrame:

@@ -127,7 +127,7 @@ def sql_tokens(source: str) -> str:
     )
     return f"""
 WITH src AS ({source}),
-lists AS (SELECT file, list_append(regexp_extract_all(coalesce(source, ''), {lit(C.PYTHON)}), '') AS l FROM src),
+lists AS (SELECT file, list_append(regexp_extract_all(coalesce(source, ''), {lit(C.SQL_PYTHON)}), '') AS l FROM src),
 parts AS (SELECT file, unnest(l) AS raw, unnest(range(len(l)))::INTEGER AS pos FROM lists),
 sums AS (
   SELECT *, coalesce(sum(strlen(raw)) OVER b, 0)::INTEGER AS start, (1 + coalesce(sum(length(raw) - length(replace(raw, chr(10), ''))) OVER b, 0))::INTEGER AS line
@@ -261,7 +261,7 @@ def l02b(spark, sf):
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"), F.sum("line").alias("lines"), F.sum("col").alias("cols"))
 
 
-_JS = f"SELECT page_id, unnest(regexp_extract_all(html, {lit(C.JAVASCRIPT)})) AS raw FROM pages"
+_JS = f"SELECT page_id, unnest(regexp_extract_all(html, {lit(C.SQL_JAVASCRIPT)})) AS raw FROM pages"
 
 
 @query("l03_tokens_javascript", f"SELECT page_id, count(*) AS n, sum(strlen(raw))::BIGINT AS bytes FROM ({_JS}) WHERE NOT regexp_matches(raw, '^[ \\t\\r\\n\\x0B\\x0C]') GROUP BY page_id")
