@@ -1,7 +1,6 @@
 """The editor protocol as a stream: messages to document state to published diagnostics.
 
-Messages are JSON rows. State is one document a uri, kept by Spark and updated by
-``applyInPandasWithState``; what comes out is the text to lint, which a batch of the lint
+Messages are JSON rows. State is one document a uri, kept by Spark (see ``state``); what comes out is the text to lint, which a batch of the lint
 plan then reads (see ``publish``).
 """
 
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import language_of
 from ..plans import engine, reports
+from .state import documents, session_messages
 
 MESSAGE = (
     "jsonrpc string, id string, method string, params struct<textDocument: struct<uri: string, languageId: string, version: int, text: string>, "
@@ -23,12 +23,15 @@ MESSAGE = (
 OPEN, CHANGE, CLOSE = "textDocument/didOpen", "textDocument/didChange", "textDocument/didClose"
 #: Methods answered, and the protocol's error codes.
 REQUESTS = ("initialize", "shutdown", "textDocument/codeAction", "textDocument/hover", "textDocument/completion", "textDocument/formatting")
+DOCUMENT_REQUESTS = ("textDocument/codeAction", "textDocument/hover", "textDocument/completion", "textDocument/formatting")
 NOTES = ("initialized", "exit", OPEN, CHANGE, CLOSE)
 PARSE_ERROR, INVALID_REQUEST, METHOD_NOT_FOUND, NOT_INITIALIZED, INTERNAL_ERROR = -32700, -32600, -32601, -32002, -32603
+ERRORS = {PARSE_ERROR: "Parse error", INVALID_REQUEST: "Invalid Request", METHOD_NOT_FOUND: "Method not found", NOT_INITIALIZED: "Server not initialized", INTERNAL_ERROR: "Internal error"}
 
 
-def messages(raw: DataFrame, column: str = "value") -> DataFrame:
-    """seq and the message's fields; ``error`` is the protocol's code where a row is none or has no known method.
+def messages(raw: DataFrame, column: str = "value", keep: tuple[str, ...] = (), told: str | None = None) -> DataFrame:
+    """seq, the columns ``keep`` and the message's fields; ``error`` is the protocol's code where a row is none or has no known method, or where the column
+    ``told`` has one already. A request of a document that names none can't be handled and is an internal error.
 
     Unknown notifications (no id) are passed over, as the protocol asks.
     """
@@ -36,7 +39,9 @@ def messages(raw: DataFrame, column: str = "value") -> DataFrame:
     read = raw.withColumn("_m", m).withColumn("_ok", F.try_parse_json(column).isNotNull())
     known = F.col("_m.method").isin(*REQUESTS, *NOTES)
     error = F.when(~F.col("_ok"), PARSE_ERROR).when(F.col("_m.method").isNull(), INVALID_REQUEST).when(~known & F.col("_m.id").isNotNull(), METHOD_NOT_FOUND)
-    return read.select("seq", "_m.id", "_m.method", "_m.params", error.alias("error"))
+    of_document = F.col("_m.method").isin(*DOCUMENT_REQUESTS) & F.col("_m.id").isNotNull() & F.col("_m.params.textDocument.uri").isNull()
+    error = F.coalesce(F.col(told) if told else F.lit(None).cast("int"), error, F.when(of_document, INTERNAL_ERROR))
+    return read.select("seq", *keep, "_m.id", "_m.method", "_m.params", error.alias("error"))
 
 
 def gated(read: DataFrame, session: str) -> DataFrame:
@@ -104,33 +109,10 @@ def _edits(messages_df: DataFrame) -> DataFrame:
     ).where("uri is not null")
 
 
-def document_states(messages_df: DataFrame) -> DataFrame:
-    """(uri, version, text, open) after each trigger for every uri that it touched; closed ones come once, with empty text.
-
-    Works on streams only: state is Spark's, keyed by uri, checkpointed with the query.
-    """
-
-    def step(key, frames, state):
-        import pandas as pd
-
-        held = tuple(state.get) if state.exists else None
-        rows = sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: r.seq)
-        touched = False
-        for r in rows:
-            before = held
-            held = apply_message(held, r.method, json.loads(r.document), json.loads(r.changes) if r.changes else [])
-            touched |= held is not None or before is not None
-        if held is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(held)
-        if touched:
-            yield pd.DataFrame({"uri": [key[0]], "version": [held[2] if held else None], "text": [held[0] if held else ""], "open": [held is not None]}).astype({"version": "Int32"})
-
-    return _edits(messages_df).groupBy("uri").applyInPandasWithState(
-        step, "uri string, version int, text string, open boolean", "text string, language string, version int", "update", "NoTimeout"
-    )
+def document_states(messages_df: DataFrame, quiet_ms: int = 0) -> DataFrame:
+    """(uri, version, text, open) of every document that messages touch, its latest version once it was left alone for quiet_ms; closed ones come
+    once, with empty text. See state.documents."""
+    return documents(_edits(messages_df), quiet_ms)
 
 
 def sources_of(states: DataFrame) -> DataFrame:
@@ -149,13 +131,27 @@ def publish(states: DataFrame, config: engine.Config | None = None) -> DataFrame
     return rows.select("uri", F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.lit("textDocument/publishDiagnostics").alias("method"), params.alias("params"))).alias("message"))
 
 
-def start(raw_stream: DataFrame, sink, checkpoint: str, config: engine.Config | None = None, **trigger):
-    """Run the stream: ``sink(df, batch_id)`` gets the messages to publish. Returns the query."""
+def start(raw_stream: DataFrame, sink, checkpoint: str, config: engine.Config | None = None, quiet_ms: int = 0, **trigger):
+    """Run the stream of messages (seq, value): ``sink(df, batch_id)`` gets the messages to publish. Returns the query."""
 
     def batch(states: DataFrame, batch_id: int) -> None:
         sink(publish(states, config), batch_id)
 
-    writer = document_states(messages(raw_stream)).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(batch)
+    writer = document_states(messages(raw_stream), quiet_ms).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(batch)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def start_sessions(chunks: DataFrame, folder: str, sink, checkpoint: str, **trigger):
+    """Run the stream of bytes (session, seq, chunk): messages that pass the gate are written below ``folder`` as Parquet (seq, value), for start to read, and
+    ``sink(df, batch_id)`` gets (session, n, id, reply). Returns the query."""
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        read = messages(rows.withColumnRenamed("n", "seq"), keep=("session",), told="error")
+        kept = rows.where("error is null").select((F.lit(batch_id).cast("long") * (1 << 40) + F.col("n")).alias("seq"), "value")
+        kept.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")  # a batch that runs again replaces itself
+        sink(replies(read, keep=("session",)), batch_id)
+
+    writer = session_messages(chunks).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(batch)
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
@@ -192,14 +188,14 @@ CAPABILITIES = {
 }
 
 
-def replies(read: DataFrame) -> DataFrame:
-    """(seq, id, reply) to messages that need no document: initialize, shutdown, completion, formatting, and errors."""
+def replies(read: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(seq, the columns keep, id, reply) to messages that need no document: initialize, shutdown, completion, formatting, and errors."""
     method = F.col("method")
     hello = json.dumps({"capabilities": CAPABILITIES, "serverInfo": {"name": "tidewright", "version": "1.0.0"}})
     result = F.when(method == "initialize", hello).when(method == "textDocument/completion", "[]").when(method.isin("shutdown", "textDocument/formatting"), "null")
-    text = F.when(F.col("error") == PARSE_ERROR, "Parse error").when(F.col("error") == INVALID_REQUEST, "Invalid request").otherwise("Method not found")
+    text = F.element_at(F.create_map(*[F.lit(x) for kv in ERRORS.items() for x in kv]), F.col("error"))
     body = F.when(F.col("error").isNotNull(), F.concat(F.lit('"error":'), F.to_json(F.struct(F.col("error").alias("code"), text.alias("message"))))).otherwise(F.concat(F.lit('"result":'), result))
     # a number stays a number; anything else is a string
     name = F.when(F.col("id").rlike("^-?[0-9]+$"), F.col("id")).otherwise(F.coalesce(F.concat(F.lit('"'), F.col("id"), F.lit('"')), F.lit("null")))
     reply = F.concat(F.lit('{"jsonrpc":"2.0","id":'), name, F.lit(","), body, F.lit("}"))
-    return read.select("seq", "id", reply.alias("reply")).where(F.col("reply").isNotNull())
+    return read.select("seq", *keep, "id", reply.alias("reply")).where(F.col("reply").isNotNull())
