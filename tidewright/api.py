@@ -63,6 +63,11 @@ def feature_table(names: DataFrame) -> DataFrame:
     return rows.select(*names.columns, *[F.get("_f", F.lit(i)).alias(n) for i, n in enumerate(FEATURE_NAMES)])
 
 
+def _language_sql() -> str:
+    cases = (("Python", "py"), ("JavaScript", "js mjs cjs"), ("TypeScript", "ts tsx"), ("C", "c h"), ("Cpp", "cpp cxx cc hpp hxx"))
+    return "CASE regexp_extract(s, r'\\.([^.]*)$', 1) " + " ".join(f"WHEN '{e}' THEN '{name}'" for name, es in cases for e in es.split()) + " ELSE 'Unknown' END"
+
+
 def register(spark: SparkSession) -> list[str]:
     """Temporary SQL functions over strings, as SQL expressions that the optimizer sees into; their names."""
     quoted = lambda p: "r'" + p + "'"
@@ -72,6 +77,33 @@ def register(spark: SparkSession) -> list[str]:
         "tw_count_vietnamese": ("INT", f"CASE WHEN s RLIKE {quoted(C.FAST)} THEN regexp_count(s, {quoted(C.EXACT)}) ELSE 0 END"),
         "tw_ascii_name": ("STRING", f"regexp_replace(translate(s, '{C.STRIPPED}', '{C.BASES}'), r'[^\\x00-\\x7F]', '?')"),
     }
+    word_list = lambda words: ", ".join(f"'{w}'" for w in words)
+    low = f"translate(s, '{T.UPPER}', '{T.LOWER}')"
+    parts = f"filter(split(regexp_replace({low}, '^_+|_+$', ''), '_'), p -> p <> '')"
+    plain, letters = made["tw_ascii_name"][1], "length(translate(s, '_-', ''))"
+    marked = f"regexp_count(s, {quoted(C.EXACT)})"
+    made |= {
+        "tw_count_marked": ("INT", marked),
+        "tw_ratio": ("DOUBLE", f"CASE WHEN {letters} = 0 THEN 0D ELSE {marked} / {letters} END"),
+        "tw_style": (
+            "STRING",
+            "CASE WHEN s = '' THEN 'Unknown' WHEN octet_length(s) = 1 THEN 'SingleLetter' WHEN instr(s, '-') > 0 THEN 'KebabCase' WHEN instr(s, '_') > 0 AND NOT s RLIKE '[a-z]' THEN 'ScreamingSnake' WHEN instr(s, '_') > 0 THEN 'SnakeCase' "
+            "WHEN s RLIKE '^[A-Z]' AND s RLIKE '[a-z]' THEN 'PascalCase' WHEN s RLIKE '^[a-z]' AND s RLIKE '[A-Z]' THEN 'CamelCase' ELSE 'Unknown' END",
+        ),
+        "tw_is_transliteration": (
+            "BOOLEAN",
+            f"regexp_replace({low}, '^_+|_+$', '') IN ({word_list(C.WORDS)}) OR (size({parts}) >= 2 AND forall({parts}, p -> array_contains(array({word_list(C.WORDS)}), p)))",
+        ),
+        "tw_snake_name": ("STRING", f"translate(regexp_replace({plain}, '([^A-Z])([A-Z])', '$1_$2'), '{T.UPPER}', '{T.LOWER}')"),
+        "tw_camel_name": ("STRING", f"concat(translate(substr({plain}, 1, 1), '{T.UPPER}', '{T.LOWER}'), substr({plain}, 2))"),
+        "tw_language": ("STRING", _language_sql()),
+    }
+    made["tw_class"] = (
+        "STRING",
+        f"CASE WHEN s IN ({word_list(C.ABBREVIATIONS)}) THEN 'Abbreviation' WHEN {marked} = 0 AND ({made['tw_is_transliteration'][1]}) THEN 'TransliteratedViet' WHEN {marked} = 0 THEN 'PureASCII' "
+        f"WHEN {marked} * 10 >= {letters} * 9 THEN 'PureVietnamese' ELSE 'MixedVietnamese' END",
+    )
+    made["tw_confidence"] = ("DOUBLE", "CASE s " + " ".join(f"WHEN '{k}' THEN {v}D" for k, v in T.CONFIDENCE.items()) + " END")
     for name, (kind, body) in made.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(s STRING) RETURNS {kind} RETURN {body}")
     return list(made)

@@ -24,7 +24,9 @@ def arguments() -> argparse.ArgumentParser:
     lint.add_argument("files", nargs="*", default=["."])
     lint.add_argument("--config")
     lint.add_argument("--format", choices=sorted(api.FORMATS), default="text")
-    lint.add_argument("--max-violations", type=int, default=0)
+    lint.add_argument("--max-violations", type=int, default=0, help="per source; counts where no configuration file is found")
+    lint.add_argument("--include", action="append", default=[], help="a pattern of paths below folders")
+    lint.add_argument("--exclude", action="append", default=[], help="a pattern of paths to leave out")
     lint.add_argument("--fix", action="store_true", help="write fixed sources")
     lint.add_argument("--fix-style", choices=("snake", "camel"), default="snake")
     modes.add_parser("classify", help="classes of names, a name a line").add_argument("files", nargs="+")
@@ -39,7 +41,7 @@ def _lint(spark: SparkSession, args) -> int:
     project = config.parse_config(open(path, encoding="utf-8").read()) if path else config.Project()
     if not path:  # a configuration file says how many
         project.lint.max_violations = args.max_violations
-    sources = files.named_files(spark, args.files).cache()
+    sources = files.named_files(spark, args.files, project.include + args.include, project.exclude + args.exclude).cache()
     found = engine.without_doubles(engine.lint(sources, project.lint)).cache()
     lines = found.orderBy("file", "start", "rule_id").select(api.FORMATS[args.format]().alias("out"))
     for row in lines.toLocalIterator():

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import api
 from .functions import text as T
 from .operators.lexer import tokens
 from .plans import corpus, engine, history, reports, training
-from .queries import _ALL, ORACLE_SQL, SQL_CODE, SQL_HISTORY, SQL_NAMES, _history, code_files, names, query, table
+from .queries import _ALL, ORACLE_SQL, SQL_CODE, SQL_HISTORY, SQL_NAMES, _history, code_files, query, table
 from .sources import files
 from .sources.files import spread
 from .streaming import editor
@@ -170,9 +169,3 @@ def text_reports(spark, sf):
 def report_scores(spark, sf):
     got = training.scores(training.report(training.predict(_corpus(spark, sf))))
     return got.select(*[F.round(c, 9).alias(c) for c in got.columns])
-
-
-@query("x18_classify", "SELECT count(*) AS n FROM (" + SQL_NAMES + ")")
-def api_classify(spark, sf):
-    """How many names the public API classifies."""
-    return api.classify(names(spark, sf)).where("class is not null and confidence > 0").agg(F.count(F.lit(1)).alias("n"))

@@ -83,10 +83,12 @@ def identifier_class(s: Column) -> Column:
     )
 
 
+#: The trust in each class.
+CONFIDENCE = {"Abbreviation": 0.85, "TransliteratedViet": 0.72, "PureASCII": 0.95, "PureVietnamese": 0.88, "MixedVietnamese": 0.80}
+
+
 def class_confidence(cls: Column) -> Column:
-    return F.element_at(
-        F.create_map(*[F.lit(x) for kv in {"Abbreviation": 0.85, "TransliteratedViet": 0.72, "PureASCII": 0.95, "PureVietnamese": 0.88, "MixedVietnamese": 0.80}.items() for x in kv]), cls
-    )
+    return F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), cls)
 
 
 def ascii_name(s: Column) -> Column:

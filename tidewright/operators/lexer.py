@@ -82,10 +82,11 @@ def tokens(sources: DataFrame, keep_space: bool = False, end: bool = True) -> Da
 
     Byte offsets from 0, lines and byte columns from 1; blanks are dropped after they have
     been counted, an EndOfFile row closes each file; null sources are empty. Nothing is shuffled: places are summed within
-    the source's row, and ``row`` numbers rows of sources, so that files of equal or null name stay apart.
+    the source's row, and ``row`` numbers rows of sources (or is the caller's key, where sources have that column), so that files of equal or null name stay apart.
     """
     text = F.coalesce("source", F.lit(""))
-    rows = sources.select(F.monotonically_increasing_id().alias("row"), "file", "language", F.concat(pieces(text, F.col("language")), F.array(F.lit(""))).alias("_pieces"))
+    row = F.col("row") if "row" in sources.columns else F.monotonically_increasing_id()
+    rows = sources.select(row.alias("row"), "file", "language", F.concat(pieces(text, F.col("language")), F.array(F.lit(""))).alias("_pieces"))
     rows = rows.select("row", "file", "language", F.explode(placed(F.col("_pieces"), keep_space)).alias("t")).select("row", "file", "language", "t.*")
     kind = F.when(F.col("raw") == "", "EndOfFile").otherwise(token_kind(F.col("raw"), F.col("pos"), F.col("language")))
     if not end:

@@ -11,7 +11,7 @@ from ..functions import constants as C
 from ..functions import text as T
 from .lexer import KINDS_OF_COMMENTS, KINDS_OF_NAMES
 
-OUT = ["file", "source_rule", "rule_id", "severity", "message", "identifier", "line", "col", "start", "end", "fixes"]
+OUT = ["row", "file", "source_rule", "rule_id", "severity", "message", "identifier", "line", "col", "start", "end", "fixes"]
 NO_FIX = "cast(array() as array<string>)"
 
 
@@ -164,4 +164,4 @@ def run_rules(tokens: DataFrame, rules: list[str] | tuple[str, ...] = BUILT_IN)
     if not found:  # all rules are off
         found = [F.when(F.lit(False), _finding("", "", "", F.lit("")))]
     hit = F.explode(F.filter(F.array(*found), lambda x: x.isNotNull()))
-    return rows.withColumn("_f", hit).select("file", "_f.*", "line", "col", "start", "end").select(*OUT)
+    return rows.withColumn("_f", hit).select("row", "file", "_f.*", "line", "col", "start", "end").select(*OUT)

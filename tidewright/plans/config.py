@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from .engine import Config
@@ -28,6 +29,8 @@ class Project:
     model: str = ""
     fail_on_warning: bool = False
     params: dict[str, dict[str, str]] = field(default_factory=dict)
+    include: list[str] = field(default_factory=list)
+    exclude: list[str] = field(default_factory=list)
 
     def param(self, rule: str, key: str, default: str = "") -> str:
         return self.params.get(rule, {}).get(key, default)
@@ -94,6 +97,8 @@ def parse_config(text: str) -> Project:
                 out.target_encoding = _bare(value)
             elif key == "model":
                 out.model = _bare(value)
+            elif key in ("include", "exclude"):
+                getattr(out, key).extend(re.findall(r'"([^"]*)"', value))
     return out
 
 

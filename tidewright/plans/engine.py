@@ -35,26 +35,48 @@ def configured(found: DataFrame, config: Config) -> DataFrame:
 
 
 def limited(found: DataFrame, most: int) -> DataFrame:
-    """Rules in order of id, file by file, until one brings the file's total to ``most``: later rules are cut off."""
+    """Rules in order of id, source by source, until one brings the source's total to ``most``: later rules are cut off. Sources are told apart by
+    ``row``, so that those of one name, or of none, have a limit each."""
     if most <= 0:
         return found
-    counts = found.groupBy("file", "source_rule").count()
-    sofar = F.coalesce(F.sum("count").over(Window.partitionBy("file").orderBy("source_rule").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = counts.withColumn("_b", sofar).where(F.col("_b") < most).select("file", "source_rule")
-    return found.join(kept, ["file", "source_rule"], "left_semi")
+    counts = found.groupBy("row", "source_rule").count()
+    sofar = F.coalesce(F.sum("count").over(Window.partitionBy("row").orderBy("source_rule").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = counts.withColumn("_b", sofar).where(F.col("_b") < most).select("row", "source_rule")
+    return found.join(kept, ["row", "source_rule"], "left_semi").select(*found.columns)
 
 
-def lint(sources: DataFrame, config: Config | None = None) -> DataFrame:
-    """Diagnostics of (file, source, language)."""
+#: Bytes of a source that is linted at most; a longer one is told as broken.
+LONGEST = 1 << 28
+
+
+def broken(sources: DataFrame, longest: int = LONGEST) -> Column:
+    """Why a source can't be lexed; null where it can. A source that could not be decoded is null."""
+    return F.when(F.col("source").isNull(), "source cannot be decoded").when(F.octet_length("source") > longest, "source is too long")
+
+
+def lint(sources: DataFrame, config: Config | None = None, longest: int = LONGEST) -> DataFrame:
+    """Diagnostics of (file, source, language), with the source's ``row``: a key of the caller's if sources have that column, else a number of this run.
+
+    Sources that are null or longer than ``longest`` give one VL000 each, whatever the configuration says, and the others are linted as ever.
+    """
     config = config or Config()
-    return limited(configured(run_rules(tokens(sources), config.enabled()), config), config.max_violations)
+    keyed = sources if "row" in sources.columns else sources.withColumn("row", F.monotonically_increasing_id())
+    why = broken(keyed, longest)
+    whole = keyed.withColumn("_why", why).withColumn("source", F.when(F.col("_why").isNull(), F.col("source")).otherwise(""))
+    found = run_rules(tokens(whole.drop("_why")), config.enabled())
+    none = F.lit(0)
+    bad = keyed.select(
+        "row", "file", F.lit("VL000").alias("source_rule"), F.lit("VL000").alias("rule_id"), F.lit("error").alias("severity"), F.concat(F.lit("Lexer error: "), why).alias("message"), F.lit("").alias("identifier"),
+        F.lit(1).alias("line"), F.lit(1).alias("col"), none.alias("start"), none.alias("end"), F.array().cast("array<string>").alias("fixes"),
+    ).where("message is not null")
+    told = limited(configured(found, config), config.max_violations)
+    return told.unionByName(bad.withColumn("rule_name", F.lit("")))
 
 
 def without_doubles(diagnostics: DataFrame) -> DataFrame:
-    """Drop VL003 where a VL004 starts at the same place."""
-    same = diagnostics.where("rule_id = 'VL004'").select("file", "start").distinct().withColumn("_x", F.lit("VL003"))
-    on = (diagnostics["file"] == same["file"]) & (diagnostics["start"] == same["start"]) & (diagnostics["rule_id"] == same["_x"])
-    return diagnostics.join(same, on, "left_anti")
+    """Drop VL003 where a VL004 of the same source starts at the same place."""
+    same = diagnostics.where("rule_id = 'VL004'").select(F.col("row").alias("_row"), F.col("start").alias("_start")).distinct()
+    return diagnostics.join(same, (F.col("row") == F.col("_row")) & (F.col("start") == F.col("_start")) & (F.col("rule_id") == "VL003"), "left_anti")
 
 
 def stats(diagnostics: DataFrame) -> DataFrame:
@@ -72,11 +94,16 @@ def exit_code(diagnostics: DataFrame, files: DataFrame | None = None) -> DataFra
 
 
 def apply_fixes(sources: DataFrame, diagnostics: DataFrame, camel: bool = False) -> DataFrame:
-    """(file, fixed): one fix a place (the least rule id), spliced into the source's bytes from left to right."""
-    one = Window.partitionBy("file", "start").orderBy("rule_id", "end")
+    """(file, fixed), and row if sources have it: one fix a place (the least rule id), spliced into the source's bytes from left to right.
+
+    Sources and diagnostics are matched by ``row`` where sources have that column (lint keeps it), so that sources of one name are fixed apart; else by
+    name, null being one, and names must tell the sources apart.
+    """
+    by = ["row"] if "row" in sources.columns else ["file"]
+    one = Window.partitionBy(*by, "start").orderBy("rule_id", "end")
     fixable = diagnostics.where((F.size("fixes") > 0) & (F.col("start") < F.col("end")))
     fix = F.when(F.lit(camel) & (F.size("fixes") > 1), F.get("fixes", F.lit(1))).otherwise(F.get("fixes", F.lit(0)))
-    chosen = fixable.withColumn("_n", F.row_number().over(one)).where("_n = 1").groupBy("file").agg(F.sort_array(F.collect_list(F.struct("start", "end", fix.alias("fix")))).alias("edits"))
+    chosen = fixable.withColumn("_n", F.row_number().over(one)).where("_n = 1").groupBy(F.col(by[0]).alias("_by")).agg(F.sort_array(F.collect_list(F.struct("start", "end", fix.alias("fix")))).alias("edits"))
     raw = F.decode(F.encode("source", "UTF-8"), "ISO-8859-1")  # a character a byte, so that offsets hold
     zero = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
 
@@ -86,9 +113,9 @@ def apply_fixes(sources: DataFrame, diagnostics: DataFrame, camel: bool = False)
         return F.when(e["start"] >= acc["at"], F.struct(piece.alias("done"), e["end"].alias("at"))).otherwise(acc)
 
     whole = lambda acc: F.concat(acc["done"], F.substring(F.col("_raw"), acc["at"] + 1, F.lit(1 << 30)))
-    joined = sources.join(chosen, "file", "left").withColumn("_raw", raw)
+    joined = sources.join(chosen, F.col(by[0]).eqNullSafe(F.col("_by")), "left").withColumn("_raw", raw)
     fixed = F.decode(F.encode(F.aggregate("edits", zero, splice, whole), "ISO-8859-1"), "UTF-8")
-    return joined.select("file", F.coalesce(fixed, F.col("source")).alias("fixed"))
+    return joined.select(*dict.fromkeys((*by, "file")), F.coalesce(fixed, F.col("source")).alias("fixed"))
 
 
 def text_line() -> Column:

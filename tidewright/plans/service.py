@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from . import reports
 
 RuleFn = Callable[[DataFrame], DataFrame]
@@ -50,22 +51,43 @@ def counts(diagnostics: DataFrame) -> DataFrame:
     )
 
 
+def _gathered(files: DataFrame, diagnostics: DataFrame, ordered_by: tuple[str, ...]) -> DataFrame:
+    """(file, l, errors, warnings, infos) of every file: its records in order and its counts, of one pass over the diagnostics."""
+    row = F.struct(*ordered_by, reports.json_record().alias("r"))
+    n = lambda *of: F.count_if(F.col("severity").isin(*of))
+    each = diagnostics.groupBy(F.col("file").alias("_file")).agg(F.sort_array(F.collect_list(row)).alias("l"), n("error", "fatal").alias("errors"), n("warning").alias("warnings"), n("info").alias("infos"))
+    return files.select("file").join(each, F.col("file").eqNullSafe(F.col("_file")), "left").drop("_file").fillna(0, ["errors", "warnings", "infos"])
+
+
 def event_stream(files: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """(file, done, start, event): server-sent events, one a diagnostic, and one with the file's own counts when it is done.
 
     A client reads a file's events in order of done, start; a file without diagnostics has its last event all the same.
     """
     line = lambda c: F.concat(F.lit("data: "), c, F.lit("\n\n"))
-    each = diagnostics.select("file", F.lit(False).alias("done"), "start", line(reports.json_record()).alias("event"))
-    n = files.select("file").join(counts(diagnostics), "file", "left").fillna(0, ["errors", "warnings", "infos"])
+    event = lambda done, start, text: F.struct(F.lit(done).alias("done"), start.cast("int").alias("start"), line(text).alias("event"))
     last = F.to_json(F.struct(F.lit(True).alias("done"), F.struct("errors", "warnings", "infos").alias("stats")))
-    return each.unionByName(n.select("file", F.lit(True).alias("done"), F.lit(None).cast("int").alias("start"), line(last).alias("event")))
+    events = F.concat(F.coalesce(F.transform("l", lambda x: event(False, x["start"], x["r"])), F.array().cast("array<struct<done: boolean, start: int, event: string>>")), F.array(event(True, F.lit(None), last)))
+    return _gathered(files, diagnostics, ("start", "rule_id")).select("file", F.explode(events).alias("e")).select("file", "e.*")
 
 
 def answers(diagnostics: DataFrame, files: DataFrame) -> DataFrame:
     """(file, body): one JSON reply a file, with its diagnostics in order and its counts."""
-    row = F.struct("line", "col", "rule_id", reports.json_record().alias("r"))
-    lists = diagnostics.groupBy("file").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["r"]).alias("l"))
-    n = files.select("file").join(counts(diagnostics), "file", "left").join(lists, "file", "left").fillna(0, ["errors", "warnings", "infos"])
-    body = F.concat(F.lit('{"diagnostics":['), F.array_join(F.coalesce("l", F.array().cast("array<string>")), ","), F.lit('],"stats":'), F.to_json(F.struct("errors", "warnings", "infos")), F.lit("}"))
-    return n.select("file", body.alias("body"))
+    records = F.coalesce(F.transform("l", lambda x: x["r"]), F.array().cast("array<string>"))
+    body = F.concat(F.lit('{"diagnostics":['), F.array_join(records, ","), F.lit('],"stats":'), F.to_json(F.struct("errors", "warnings", "infos")), F.lit("}"))
+    return _gathered(files, diagnostics, ("line", "col", "rule_id")).select("file", body.alias("body"))
+
+
+def find(rule_id: str) -> dict[str, str] | None:
+    """A rule of the catalog by its id; None where there is none."""
+    return next((dict(zip(("rule_id", "name", "description", "category", "severity"), r, strict=True)) for r in C.RULES if r[0] == rule_id), None)
+
+
+def rules_by_category(category: str) -> list[str]:
+    """Ids of the catalog's rules of a category, in its order."""
+    return [r[0] for r in C.RULES if r[3] == category]
+
+
+def added_since(before: list[str]) -> list[str]:
+    """Rules that are registered now and were not before: what a plugin brought."""
+    return sorted(set(registered()) - set(before))

@@ -394,12 +394,6 @@ def c09(spark, sf):
     return engine.stats(_lint(spark, sf))
 
 
-@query("c07_apply_fix")
-def c07(spark, sf):
-    files = code_files(table(spark, sf, "documents"))
-    return engine.apply_fixes(files, engine.lint(files))
-
-
 @query("c11_rule_catalog", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(lit(x) for x in r) + ")" for r in C.RULES) + ") t(rule_id, name, description, category, severity)")
 def c11(spark, sf):
     return spark.createDataFrame(C.RULES, "rule_id string, name string, description string, category string, severity string")

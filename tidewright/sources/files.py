@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import language_of
 from ..operators import encoding as E
+from .patterns import selected
 
 #: Extensions that a scan of a folder keeps.
 EXTENSIONS = "py js mjs cjs ts tsx jsx c h cpp cc cxx hpp hxx".split()
@@ -19,32 +22,40 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if len(table.inputFiles()) < cores else table
 
 
-def source_files(spark: SparkSession, folder: str, extensions: list[str] | None = None) -> DataFrame:
-    """(file, source, language, encoding) of every file below a folder, bytes detected and converted.
+def source_files(spark: SparkSession, folder: str, extensions: list[str] | None = None, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """(file, source, language, encoding) of every file below a folder that its extension, include and exclude (see patterns.selected; paths from the
+    folder on) take, bytes detected and converted.
 
-    The extensions are a filter on listed paths, so other files are not read. Bytes
-    in an encoding without a conversion give a null source.
+    Paths are held against them when files are listed, so that no byte of another file is read. Bytes in an encoding without a conversion give a null source.
     """
     kept = "|".join(extensions or EXTENSIONS)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("path").rlike(rf"\.({kept})$"))
+    path = F.col("_metadata.file_path")
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().toString().rstrip("/") + "/"
+    scheme = "^[a-z0-9+.-]+:/*"  # written with one slash or three
+    bare = F.regexp_replace(path, scheme, "")
+    below = F.url_decode(F.replace(F.substring(bare, F.lit(len(re.sub(scheme, "", full)) + 1), F.length(bare)), F.lit("+"), F.lit("%2B")))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(path.rlike(rf"\.({kept})$"))
+    if include or exclude:
+        raw = raw.where(selected(below, include, exclude))
     found = raw.select("path", "content", E.detect(F.col("content"))["encoding"].alias("encoding"))
     return found.select(F.col("path").alias("file"), E.normalize(F.col("content"), F.col("encoding")).alias("source"), language_of(F.col("path")).alias("language"), "encoding")
 
 
-def named_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, source, language, encoding) of named files, whatever their extension, and of source files below folders; each once.
+def named_files(spark: SparkSession, paths: list[str], include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """(file, source, language, encoding) of named files, whatever their extension, and of source files below folders that the patterns take; each once.
     Paths that aren't there are told in a warning and passed over."""
     import warnings
 
     fs = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
     settings, folders, single = spark._jsc.hadoopConfiguration(), [], []
-    for path in dict.fromkeys(paths):
+    for path in sorted(set(paths)):
         store = fs(path).getFileSystem(settings)
         if not store.exists(fs(path)):
             warnings.warn(f"no such file: {path}", stacklevel=2)
         else:
             (folders if store.getFileStatus(fs(path)).isDirectory() else single).append(path)
-    parts = [source_files(spark, folder) for folder in folders]
+    parts = [source_files(spark, folder, None, include, exclude) for folder in folders]
     if single:
         raw = spark.read.format("binaryFile").load(single).select("path", "content", E.detect(F.col("content"))["encoding"].alias("encoding"))
         parts.append(raw.select(F.col("path").alias("file"), E.normalize(F.col("content"), F.col("encoding")).alias("source"), language_of(F.col("path")).alias("language"), "encoding"))

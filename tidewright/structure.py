@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions import constants as C
 from .operators.declarations import declarations
 from .operators.lexer import tokens
 from .operators.trees import numbered, unified_tokens, walked
-from .queries import _NAME, SQL_TEXT, query, sql_tokens, table, text_files
+from .plans import engine, names, runs
+from .queries import _ALL, _NAME, ORACLE_SQL, SQL_HISTORY, SQL_NAMES, SQL_TEXT, _history, camel, cls, code_files, count, lit, plain, query, snake, sql_tokens, style, table, text_files
+from .queries import names as distinct_names
+from .sources.patterns import glob_regex, selected
+from .streaming import editor, state
 
 # --- trees made of the documents' own tokens ------------------------------------------------------------------------
 
@@ -86,3 +91,130 @@ def declared(spark, sf):
     rows = text_files(table(spark, sf, "documents")).select("doc_id", F.col("source").alias("text")).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".cpp")).alias("file"), F.expr(source).alias("source"))
     found = declarations(rows).groupBy(F.regexp_extract("file", "[0-9]+", 0).cast("long").alias("doc_id"), "decl_kind")
     return found.agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("qualified_name")), ",")).alias("names"))
+
+
+# --- fixes, broken sources ------------------------------------------------------------------------------------------
+
+ORACLE_SQL["c07_apply_fix"] = (
+    _ALL + """, chosen AS (SELECT file, start, arg_min(string_split(fixes, '|')[1], (rule_id, "end")) AS fix FROM found WHERE fixes <> '' AND start < "end" GROUP BY file, start)
+SELECT e.file, string_agg(coalesce(fix, raw), '' ORDER BY pos) AS fixed FROM every e LEFT JOIN chosen c ON c.file = e.file AND c.start = e.start AND e.raw <> '' GROUP BY e.file"""
+)
+
+
+@query("c07_apply_fix", ORACLE_SQL["c07_apply_fix"])
+def apply_fix(spark, sf):
+    """Fixed sources, matched to their diagnostics by the document's id."""
+    rows = code_files(table(spark, sf, "documents")).withColumn("row", F.col("doc_id"))
+    return engine.apply_fixes(rows, engine.lint(rows)).select("file", "fixed")
+
+
+@query(
+    "r00_broken_sources",
+    "SELECT doc_id AS row, 'VL000' AS rule_id, 'error' AS severity, 'Lexer error: source ' || CASE WHEN text IS NULL OR doc_id % 5 = 0 THEN 'cannot be decoded' ELSE 'is too long' END AS message, count(*) AS n "
+    "FROM documents WHERE text IS NULL OR doc_id % 5 = 0 OR strlen(text) > 3000 GROUP BY ALL",
+)
+def broken_sources(spark, sf):
+    """Sources of which a fifth cannot be decoded, some are longer than is allowed, and the others are linted as ever."""
+    docs = table(spark, sf, "documents")
+    rows = text_files(docs).withColumn("row", F.col("doc_id")).withColumn("source", F.when(F.col("doc_id") % 5 != 0, F.col("source")))
+    found = engine.lint(rows, engine.Config(rules={r: (False, "info") for r in engine.BUILT_IN}), longest=3000)
+    return found.groupBy("row", "rule_id", "severity", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- names ----------------------------------------------------------------------------------------------------------
+
+_EVERY = f"SELECT unnest(regexp_extract_all(coalesce(text, ''), {lit(C.IDENTIFIER)})) AS id FROM documents"
+_CONFIDENCE = "CASE class WHEN 'Abbreviation' THEN 0.85 WHEN 'TransliteratedViet' THEN 0.72 WHEN 'PureASCII' THEN 0.95 WHEN 'PureVietnamese' THEN 0.88 ELSE 0.80 END::DOUBLE"
+
+
+@query(
+    "f15_classify_batch",
+    f"SELECT class, style, count(*) AS n, count(DISTINCT id) AS names, round(sum(confidence), 6) AS confidence FROM (SELECT *, {_CONFIDENCE} AS confidence FROM (SELECT id, {cls('id')} AS class, {style('id')} AS style FROM ({_EVERY}))) GROUP BY class, style",
+)
+def classify_batch(spark, sf):
+    """Every name of all documents, each distinct one classified once."""
+    docs = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(C.IDENTIFIER), F.lit(0))).alias("id"))
+    return names.classify_batch(docs).groupBy("class", "style").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("names"), F.round(F.sum("confidence"), 6).alias("confidence"))
+
+
+@query(
+    "x18_classify",
+    f"SELECT id, class, style, round(CASE WHEN letters = 0 THEN 0 ELSE marked::DOUBLE / letters::DOUBLE END, 9) AS ratio, {_CONFIDENCE} AS confidence FROM "
+    f"(SELECT id, {cls('id')} AS class, {style('id')} AS style, {count('id', C.EXACT)} AS marked, length(translate(id, '_-', '')) AS letters FROM ({SQL_NAMES}))",
+)
+def api_classify(spark, sf):
+    """What the public API says of every name."""
+    from . import api
+
+    return api.classify(distinct_names(spark, sf)).select("id", "class", "style", F.round("ratio", 9).alias("ratio"), "confidence")
+
+
+@query("x18_sql_functions", f"SELECT id, {cls('id')} AS class, {style('id')} AS style, {snake('id')} AS snake, {camel('id')} AS camel, {plain('id')} AS plain, {count('id', C.EXACT)}::INTEGER AS marked FROM ({SQL_NAMES})")
+def sql_functions(spark, sf):
+    """The registered SQL functions over every name."""
+    from . import api
+
+    api.register(spark)
+    return distinct_names(spark, sf).selectExpr("id", "tw_class(id) AS class", "tw_style(id) AS style", "tw_snake_name(id) AS snake", "tw_camel_name(id) AS camel", "tw_ascii_name(id) AS plain", "tw_count_marked(id) AS marked")
+
+
+# --- runs, paths, byte streams ---------------------------------------------------------------------------------------
+
+_RUNS_SQL = f"SELECT *, 'r' || (id % 7) AS run_id FROM ({SQL_HISTORY})"
+
+
+def _run_history(spark, sf):
+    v = _history(spark, sf)
+    return v.withColumn("run_id", F.concat(F.lit("r"), (F.col("id") % 7).cast("string")))
+
+
+@query("s12_rule_stats", f"SELECT project_id, rule_id, count(*) AS total_count, max(created_at) AS last_seen FROM ({_RUNS_SQL}) GROUP BY project_id, rule_id")
+def rule_stats(spark, sf):
+    """Statistics merged from the runs' partial counts."""
+    return runs.rule_stats(runs.partials(_run_history(spark, sf)))
+
+
+@query(
+    "s12_scan_runs",
+    f"SELECT run_id AS id, project_id, count(DISTINCT file_path) AS files_count, count(*) FILTER (severity = 'error') AS error_count, count(*) FILTER (severity = 'warning') AS warning_count, count(*) FILTER (severity = 'info') AS info_count, 'api' AS triggered_by FROM ({_RUNS_SQL}) GROUP BY run_id, project_id",
+)
+def scan_runs(spark, sf):
+    v = _run_history(spark, sf)
+    found = v.groupBy("project_id", F.col("run_id").alias("id")).agg(F.min("created_at").alias("started_at"), F.max("created_at").alias("finished_at"), F.countDistinct("file_path").alias("files_count"), F.lit(None).cast("string").alias("triggered_by"))
+    return runs.scan_runs(v.unionByName(v), found).drop("started_at", "finished_at")
+
+
+_TAKE, _LEAVE = ["src/**/*.py", "lib/{a,b}/", "*.[ch]", "!src/tmp/**"], ["**/gen_*/**", "file?7.py", "!**/gen_2/file17.py"]
+_PATHS = "array_to_string(['src', 'lib', 'src/tmp', 'doc'][(user_id % 4)::INTEGER + 1:(user_id % 4)::INTEGER + 1], '') || '/' || ['a', 'b', 'gen_1', 'gen_2', 'x/y'][(event_id % 5)::INTEGER + 1] || '/file' || (event_id % 30) || ['.py', '.c', '.h', '.txt'][(event_id % 4)::INTEGER + 1]"
+
+
+def _matches(p: str) -> str:
+    return f"regexp_matches(path, {lit(glob_regex(p.lstrip('!')))})"
+
+
+@query(
+    "z02_path_patterns",
+    f"SELECT event_id, path, CASE WHEN {_matches(_TAKE[3])} THEN false ELSE {' OR '.join(map(_matches, _TAKE[:3]))} END AND NOT CASE WHEN {_matches(_LEAVE[2])} THEN false ELSE {' OR '.join(map(_matches, _LEAVE[:2]))} END AS taken FROM (SELECT event_id, {_PATHS} AS path FROM events)",
+)
+def path_patterns(spark, sf):
+    path = F.expr("concat(array('src', 'lib', 'src/tmp', 'doc')[cast(user_id % 4 as int)], '/', array('a', 'b', 'gen_1', 'gen_2', 'x/y')[cast(event_id % 5 as int)], '/file', event_id % 30, array('.py', '.c', '.h', '.txt')[cast(event_id % 4 as int)])")
+    return table(spark, sf, "events").select("event_id", path.alias("path")).select("event_id", "path", selected(F.col("path"), _TAKE, _LEAVE).alias("taken"))
+
+
+_HELLO = '{"id": 0, "method": "initialize"}'
+
+
+@query(
+    "s13_byte_stream",
+    f"SELECT conv_id::VARCHAR AS session, n, md5(value) AS value, error FROM (SELECT DISTINCT conv_id, 0::BIGINT AS n, '{_HELLO}' AS value, NULL::INTEGER AS error FROM conversations UNION ALL "
+    "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text), nullif(coalesce(text, ''), ''), CASE WHEN coalesce(text, '') = '' THEN -32600 END FROM conversations)",
+)
+def byte_stream(spark, sf):
+    """Conversations as byte streams in pieces of 97 bytes, put together again."""
+    said = table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    hello = said.select("conv_id", F.lit(-1).alias("turn"), F.lit(_HELLO).alias("text")).distinct()
+    each = said.unionByName(hello).groupBy("conv_id").agg(F.encode(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: editor.frame_of(t["text"])), ""), "UTF-8").alias("bytes"))
+    pieces = each.select(F.col("conv_id").cast("string").alias("session"), "bytes", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("bytes") - 1) / 97))).alias("seq"))
+    chunks = pieces.select("session", "seq", F.expr("substring(bytes, cast(seq * 97 + 1 as int), 97)").alias("chunk"))
+    return state.session_messages(chunks).select("session", "n", F.md5("value").alias("value"), "error")
+
