@@ -15,13 +15,16 @@ def _quoted(q: str, keep: str) -> str:
     return rf"{q}[^{q}\\]*{keep}(?:\\(?s:.)[^{q}\\]*{keep})*{keep}(?:{q}|\\?\z)"
 
 
+RAW_STRING = r'R"([^(]*)\((?s:.*?)\)\1"'
+
+
 def _patterns(keep: str) -> tuple[str, str, str]:
     """Total token patterns of Python, JavaScript and C++: their matches tile any source. With ``keep`` as the sign + they give back nothing
     that they have matched: the same tokens, but a long literal takes no stack. SQL engines without that sign take the others."""
     python = ["#[^\\n]*", '"""(?s:.*?)"""', "'''(?s:.*?)'''", '"""(?s:.*)', "'''(?s:.*)", _quoted('"', keep), _quoted("'", keep), _ID, _WS, "[0-9][0-9A-Za-z._]*", "@[A-Za-z0-9_.]*", "(?s:.)"]
     script = ["//[^\\n]*", r"/\*(?s:.*?)\*/", r"/\*(?s:.*)", *(_quoted(q, keep) for q in "`\"'"), _ID, _WS, "[0-9][0-9A-Za-z._]*", "(?s:.)"]
     native = [
-        "//[^\\n]*", r"/\*(?s:.*?)\*/", r"/\*(?s:.*)", r'R"([^(]*)\((?s:.*?)\)\1"', _quoted('"', keep), _quoted("'", keep), _ID, rf"(?md:^)#(?:\\\n|[^\n])*{keep}", _WS, "[0-9][0-9A-Za-z.']*", "(?s:.)",
+        "//[^\\n]*", r"/\*(?s:.*?)\*/", r"/\*(?s:.*)", RAW_STRING, _quoted('"', keep), _quoted("'", keep), _ID, rf"(?md:^)#(?:\\\n|[^\n])*{keep}", _WS, "[0-9][0-9A-Za-z.']*", "(?s:.)",
     ]
     return "|".join(python), "|".join(script), "|".join(native)
 

@@ -115,19 +115,24 @@ _NAME = words(KINDS_OF_NAMES)
 _COMMENT = words(KINDS_OF_COMMENTS)
 
 
-def sql_tokens(source: str) -> str:
-    """CTEs ending in tok: the Python lexer in SQL."""
+def sql_tokens(source: str, language: str = "Python") -> str:
+    """CTEs ending in tok: a lexer in SQL. That of C++ has no raw strings, which take back references."""
+    line, block = ("'#%'", "raw LIKE '\"\"\"%' OR raw LIKE '''''''%'") if language == "Python" else ("'//%'", "raw LIKE '/*%'")
+    first = "WHEN pos = 0 AND raw LIKE '#%' THEN CASE WHEN contains(raw, 'coding') THEN 'EncodingDecl' ELSE 'Comment' END " if language == "Python" else ""
+    last = {"Python": "WHEN raw LIKE '@%' THEN 'Decorator' ELSE 'Punctuation'", "JavaScript": "ELSE 'Punctuation'", "Cpp": "WHEN raw LIKE '#_%' THEN 'Punctuation' ELSE 'Operator'"}[language]
+    template = "WHEN raw LIKE '`%' THEN 'TemplateLiteral' " if language == "JavaScript" else ""
+    pattern = {"Python": C.SQL_PYTHON, "JavaScript": C.SQL_JAVASCRIPT, "Cpp": C.SQL_CPP.replace(C.RAW_STRING + "|", "").replace("(?md:^)", "(?m:^)")}[language]
     kind = (
-        f"CASE WHEN raw = '' THEN 'EndOfFile' WHEN pos = 0 AND raw LIKE '#%' THEN CASE WHEN contains(raw, 'coding') THEN 'EncodingDecl' ELSE 'Comment' END "
-        f"WHEN raw LIKE '#%' THEN CASE WHEN {fast('raw')} THEN 'VietnameseComment' ELSE 'Comment' END "
-        f"WHEN raw LIKE '\"\"\"%' OR raw LIKE '''''''%' THEN CASE WHEN {fast('raw')} THEN 'VietnameseComment' ELSE 'BlockComment' END "
+        f"CASE WHEN raw = '' THEN 'EndOfFile' {first}"
+        f"WHEN raw LIKE {line} THEN CASE WHEN {fast('raw')} THEN 'VietnameseComment' ELSE 'Comment' END "
+        f"WHEN {block} THEN CASE WHEN {fast('raw')} THEN 'VietnameseComment' ELSE 'BlockComment' END {template}"
         f"WHEN regexp_matches(raw, '^[\"'']') THEN 'StringLiteral' WHEN raw = chr(10) THEN 'Newline' WHEN regexp_matches(raw, '^[ \\t\\r\\x0B\\x0C]') THEN 'Whitespace' "
-        f"WHEN regexp_matches(raw, '^[A-Za-z_\\x{{80}}-\\x{{10FFFF}}]') THEN CASE WHEN raw IN {words(C.KEYWORDS['Python'])} THEN 'Keyword' WHEN {fast('raw')} AND regexp_matches(raw, '[A-Za-z_]') THEN 'MixedIdentifier' "
-        f"WHEN {fast('raw')} THEN 'VietnameseIdentifier' ELSE 'Identifier' END WHEN regexp_matches(raw, '^[0-9]') THEN 'NumberLiteral' WHEN raw LIKE '@%' THEN 'Decorator' ELSE 'Punctuation' END"
+        f"WHEN regexp_matches(raw, '^[A-Za-z_\\x{{80}}-\\x{{10FFFF}}]') THEN CASE WHEN raw IN {words(C.KEYWORDS[language])} THEN 'Keyword' WHEN {fast('raw')} AND regexp_matches(raw, '[A-Za-z_]') THEN 'MixedIdentifier' "
+        f"WHEN {fast('raw')} THEN 'VietnameseIdentifier' ELSE 'Identifier' END WHEN regexp_matches(raw, '^[0-9]') THEN 'NumberLiteral' {last} END"
     )
     return f"""
 WITH src AS ({source}),
-lists AS (SELECT file, list_append(regexp_extract_all(coalesce(source, ''), {lit(C.SQL_PYTHON)}), '') AS l FROM src),
+lists AS (SELECT file, list_append(regexp_extract_all(coalesce(source, ''), {lit(pattern)}), '') AS l FROM src),
 parts AS (SELECT file, unnest(l) AS raw, unnest(range(len(l)))::INTEGER AS pos FROM lists),
 sums AS (
   SELECT *, coalesce(sum(strlen(raw)) OVER b, 0)::INTEGER AS start, (1 + coalesce(sum(length(raw) - length(replace(raw, chr(10), ''))) OVER b, 0))::INTEGER AS line
@@ -270,7 +275,7 @@ def l03(spark, sf):
     return tokens(rows, end=False).groupBy(F.col("file").cast("long").alias("page_id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes"))
 
 
-@query("l04_tokens_cpp")
+@query("l04_tokens_cpp", sql_tokens("SELECT url AS file, html AS source FROM pages", "Cpp").replace("PARTITION BY file ORDER BY pos", "PARTITION BY file, n ORDER BY pos").replace("SELECT file,", "SELECT file, n,").replace("AS source FROM pages", "AS source, row_number() OVER () AS n FROM pages") + "SELECT file, kind, count(*) AS count FROM tok GROUP BY file, kind")
 def l04(spark, sf):
     rows = spread(table(spark, sf, "pages")).select(F.col("url").alias("file"), F.col("html").alias("source"), F.lit("Cpp").alias("language"))
     return tokens(rows).groupBy("file", "kind").count()
@@ -353,6 +358,36 @@ for _rule_id, _sql in _RULE_SQL.items():
 _ALL = _TOK + ", found AS (" + " UNION ALL ".join(f"SELECT *, '{k}' AS source_rule FROM ({v})" for k, v in _RULE_SQL.items() if k.startswith("VL0")) + ")"
 
 
+#: The same source with comments and throws of the other languages, and the rules that they have.
+_OTHER = {"JavaScript": ("VL003", "VL010"), "Cpp": ("VL003", "VL010", "VL011")}
+
+
+def _other_source(s: str) -> str:
+    return s.replace("'# ", "'// ").replace("'    raise ", "'    throw ")
+
+
+def _other_rules(language: str) -> None:
+    def run(spark, sf):
+        made = F.expr(_other_source(_SNIPPET.format(s="_s", q=_QUOTED.format(s="_s"))))
+        rows = spread(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("_s"))).select(F.col("doc_id").cast("string").alias("file"), made.alias("source"), F.lit(language).alias("language"))
+        found = R.run_rules(tokens(rows)).groupBy("file", "rule_id", "severity")
+        n = lambda c: F.sum(c).alias(c)
+        return found.agg(F.count(F.lit(1)).alias("n"), n("start"), n("line"), n("col"), F.sum(F.octet_length("message")).alias("said"), F.sum(F.octet_length(F.array_join("fixes", "|"))).alias("fixes"))
+
+    source = _other_source(SQL_CODE).replace("'doc' || doc_id || '.py' AS file", "doc_id::VARCHAR AS file")
+    found = " UNION ALL ".join(f"({v})" for k, v in _RULE_SQL.items() if k.startswith("VL0") and k not in _OTHER[language])
+    name = f"r20_rules_{language.lower()}"
+    QUERIES[name] = run
+    ORACLE_SQL[name] = sql_tokens(source, language) + (
+        "SELECT file, rule_id, severity, count(*) AS n, sum(start)::BIGINT AS start, sum(line)::BIGINT AS line, sum(col)::BIGINT AS col, sum(strlen(message))::BIGINT AS said, sum(strlen(fixes))::BIGINT AS fixes "
+        f"FROM ({found}) GROUP BY file, rule_id, severity"
+    )
+
+
+for _language in _OTHER:
+    _other_rules(_language)
+
+
 # --- C, X: engine and sinks ---------------------------------------------------------------------------------------
 
 

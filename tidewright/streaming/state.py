@@ -21,6 +21,7 @@ _LENGTH = re.compile(rb"^Content-Length: (\d+)", re.M)
 
 
 def _provided(spark: SparkSession) -> None:
+    spark.streams.active  # noqa: B018  (the manager of streams coordinates state, for batches too)
     key = "spark.sql.streaming.stateStore.providerClass"
     if not spark.conf.get(key, "").endswith("RocksDBStateStoreProvider"):
         spark.conf.set(key, PROVIDER)
