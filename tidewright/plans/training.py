@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -108,11 +110,48 @@ def fit(corpus: DataFrame, trees: int = 300, depth: int = 4, rate: float = 0.08,
     return Pipeline(stages=[StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True), rest]).fit(rows)
 
 
+def probabilities(rows: DataFrame, model: PipelineModel | None = None) -> DataFrame:
+    """rows (id, ...) with ``predicted`` and ``probabilities``, an array by class number that adds up to 1.
+
+    Of a model: what each of its machines says of its own class, over the sum of all; all of it in the JVM. Without one: the class by the rules of names with its
+    confidence, and the rest shared by the others. Ties go to the smaller number.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    if model is None:
+        cls = T.identifier_class(F.col("id"))
+        own = T.class_confidence(cls)
+        every = F.array(*[F.when(class_number(cls) == i, own).otherwise((1 - own) / 4) for i in range(5)])
+        return rows.withColumn("predicted", class_number(cls)).withColumn("probabilities", every)
+    scaler, rest = model.stages
+    told = scaler.transform(_vectors(rows))
+    for i, machine in enumerate(rest.models):
+        told = machine.copy().setFeaturesCol("_scaled").setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setPredictionCol(f"_c{i}").transform(told)
+    each = F.array(*[vector_to_array(F.col(f"_p{i}"))[1] for i in range(len(rest.models))])
+    total = F.aggregate("_each", F.lit(0.0), lambda x, y: x + y)
+    told = told.withColumn("_each", each).withColumn("probabilities", F.transform("_each", lambda p: F.when(total > 0, p / total).otherwise(1.0 / len(rest.models))))
+    best = F.array_position("probabilities", F.array_max("probabilities")) - 1
+    return told.select(*rows.columns, best.cast("int").alias("predicted"), "probabilities")
+
+
 def predict(rows: DataFrame, model: PipelineModel | None = None) -> DataFrame:
     """rows (id, ...) with ``predicted``, by the model, or by the rules of names where there is none."""
-    if model is None:
-        return rows.withColumn("predicted", class_number(T.identifier_class(F.col("id"))))
-    return model.transform(_vectors(rows)).select(*rows.columns, F.col("_prediction").cast("int").alias("predicted"))
+    return probabilities(rows, model).drop("probabilities")
+
+
+def save(model: PipelineModel, path: str) -> None:
+    """Write a model, and beside it what it is: classes, names of features, machines and their trees."""
+    from .. import api
+
+    rest = model.stages[1]
+    told = {"classes": list(CLASSES[: len(rest.models)]), "features": api.FEATURE_NAMES, "machines": len(rest.models), "trees": [m.getNumTrees for m in rest.models]}
+    model.write().overwrite().save(path)
+    SparkSession.getActiveSession().createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.info")
+
+
+def info(spark: SparkSession, path: str) -> dict:
+    """What a model saved by save is."""
+    return json.loads(spark.read.text(f"{path}.info").first()["value"])
 
 
 def load(path: str) -> PipelineModel | None:

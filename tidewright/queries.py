@@ -507,7 +507,35 @@ def x04(spark, sf):
 # --- E: encodings; M: features ------------------------------------------------------------------------------------
 
 
-@query("e01_detect")
+def _hits(charset: str, low: int = 0x80, high: int = 0xFF) -> str:
+    """In SQL: how many bytes stand for another character than themselves."""
+    return "len(list_filter(regexp_extract_all(v, '[\\x{80}-\\x{FF}]'), lambda c: unicode(c) BETWEEN " + f"{low} AND {high} AND NOT contains({lit(_SAME[charset])}, c)))"
+
+
+_SAME = {k: "".join(chr(b) for b, c in zip(range(0x80, 0x100), v, strict=True) if ord(c) in (b, 0xFFFD)) for k, v in C.CHARSETS.items()}
+_UNIT = "[\\x00-\\x7F]|[\\x{C2}-\\x{DF}][\\x{80}-\\x{BF}]|[\\x{E0}-\\x{EF}][\\x{80}-\\x{BF}]{2}|[\\x{F0}-\\x{FF}][\\x{80}-\\x{BF}]{3}"
+_DETECT = f"""
+WITH raw AS (
+  SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: chr(('0x' || p)::INTEGER)), '')
+    ELSE regexp_replace(translate(text, {lit(C.CHARSETS['tcvn3'])}, {lit(C.HIGH_BYTES)}), '[^\\x{{00}}-\\x{{FF}}]', '?', 'g') END AS bytes FROM documents
+),
+views AS (SELECT doc_id, bytes, substr(bytes, 1, 8192) AS v FROM raw),
+counted AS (
+  SELECT *, {count('v', '[\\x{80}-\\x{FF}]')} AS high, length(v) AS total, {_hits('tcvn3', 0x80, 0xDF)} AS t, {_hits('vni')} AS n, {_hits('windows-1258')} AS w, {count('v', _UNIT)} AS units, {count('v', _UNIT + '|(?s:.)')} AS parts FROM views
+),
+scored AS (
+  SELECT *, CASE WHEN high > total * 0.08 THEN 0.8::DOUBLE * t / high ELSE 0 END AS st, CASE WHEN high > total * 0.05 THEN 0.75::DOUBLE * n / high ELSE 0 END AS sn,
+         CASE WHEN total > 0 THEN 0.7::DOUBLE * w / total ELSE 0 END AS sw, CASE WHEN total > 0 THEN units::DOUBLE / parts ELSE 1 END AS su FROM counted
+),
+told AS (
+  SELECT doc_id, starts_with(v, chr(239) || chr(187) || chr(191)) AS bom,
+         CASE WHEN bytes = '' THEN 'us-ascii' WHEN starts_with(v, chr(239) || chr(187) || chr(191)) THEN 'utf-8-sig' WHEN high = 0 THEN 'us-ascii' WHEN su >= 0.99 THEN 'utf-8' WHEN st >= greatest(sn, sw, su) THEN 'tcvn3' WHEN sn >= greatest(sw, su) THEN 'vni' WHEN sw >= su THEN 'windows-1258' ELSE 'utf-8' END AS encoding
+  FROM scored
+)
+SELECT doc_id, encoding, coalesce(bom, false) AS has_bom, encoding IN ('tcvn3', 'vni', 'windows-1258') AS needs_conversion FROM told"""
+
+
+@query("e01_detect", _DETECT)
 def e01(spark, sf):
     raw = F.when(F.col("doc_id") % 4 == 0, F.encode("text", "UTF-8")).otherwise(F.encode(F.translate("text", C.CHARSETS["tcvn3"], C.HIGH_BYTES), "ISO-8859-1"))
     return table(spark, sf, "documents").select("doc_id", E.detect(raw).alias("d")).select("doc_id", "d.encoding", "d.has_bom", "d.needs_conversion")

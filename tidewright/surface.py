@@ -37,7 +37,11 @@ def sarif_results(spark, sf):
     return _lint(spark, sf).select(F.to_json(reports.sarif_result()).alias("out"))
 
 
-@query("x14_sarif_documents")
+@query(
+    "x14_sarif_documents",
+    ORACLE_SQL["x14_sarif_results"].replace("::VARCHAR AS out FROM found", "::VARCHAR AS out, file, start, rule_id, \"end\" FROM found").replace("SELECT to_json({'ruleId'", "SELECT file, '{\"$schema\":\"https://json.schemastore.org/sarif-2.1.0.json\",\"version\":\"2.1.0\",\"runs\":[{\"tool\":{\"driver\":{\"name\":\"tidewright\",\"version\":\"1.0.0\",\"rules\":[]}},\"results\":[' || string_agg(out, ',' ORDER BY start, rule_id, \"end\") || ']}]}' AS report FROM (SELECT to_json({'ruleId'")
+    + ") GROUP BY file",
+)
 def sarif_documents(spark, sf):
     return reports.sarif_documents(_lint(spark, sf))
 
