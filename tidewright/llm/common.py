@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Sub-buckets of each key in gapless_rank; fixed, so ranks don't depend on the cluster.
 SALTS = 1024
 
+#: Copies of a row that one task makes at once in gapless_rank.
+COPIES = 4096
+
 #: Arrow batches hold at most so many rows, as one row may be a very long text.
 ARROW_ROWS = 512
 
@@ -109,24 +112,24 @@ def fresh(name: str, taken: list[str]) -> str:
 def gapless_rank(df: DataFrame, key: str, salt: F.Column, order: list, out: str) -> DataFrame:
     """Add ``out``: 0, 1, 2, ... without gaps among the rows of each ``key`` (not null).
 
-    No task sorts a whole key. Rows are dealt by (key, salt), counted, numbered inside
-    their sub-bucket and moved up by the sizes of the sub-buckets before it. ``salt`` is
+    No task sorts a whole key. Equal rows are counted first, so that copies are one row until the end; rows are dealt by (key, salt), numbered inside
+    their sub-bucket and moved up by the sizes of the sub-buckets before it; then copies are made again, COPIES at a time, in tasks of their own. ``salt`` is
     an int from 0 to SALTS-1 that spreads equal keys; ties in ``order`` are rows that
     differ in nothing the caller returns.
     """
-    rows = df.withColumn("_salt", salt)
+    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c")).withColumn("_salt", salt)
     w = Window.partitionBy(key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        rows.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_n"))
+        rows.groupBy(key, "_salt").agg(F.sum("_c").alias("_n"))
         .withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0)))
         .drop("_n")
     )
-    place = F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order))
-    return (
-        rows.join(starts, [key, "_salt"])
-        .withColumn(out, (F.col("_start") + place - 1).cast("long"))
-        .drop("_salt", "_start")
-    )
+    before = F.sum("_c").over(Window.partitionBy(key, "_salt").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
+    ranked = rows.join(starts, [key, "_salt"]).withColumn("_first", F.col("_start") + before)
+    parts = ranked.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1, F.lit(COPIES).cast("long"))))
+    dealt = parts.repartition(key, "_first", "_part")
+    each = F.explode(F.sequence(F.col("_part"), F.least(F.col("_part") + COPIES, F.col("_c")) - 1))
+    return dealt.withColumn("_i", each).withColumn(out, (F.col("_first") + F.col("_i")).cast("long")).select(*df.columns, out)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, components, settle
+from .common import alone, arrow_rows, components, settle
 
 #: Dimensions of a block, on how many of them a grid cuts the range join, and a cell's width in reaches (over two).
 #: More grid dimensions mean fewer comparisons and more rows dealt.
@@ -18,6 +18,8 @@ BLOCK, GRID, WIDTH = 8, 6, 4
 CELLS = 1400
 #: Vectors in one side of one comparison, and rows of small cells that are compared in one call.
 CHUNK, LOT = 1024, 4096
+#: A vector with more than one of so many rows is hot: fewer than HOT vectors can be.
+HOT = 1024
 #: Float slack added to every budget; the last check is exact.
 SLACK = 1e-9
 
@@ -195,11 +197,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     Two rows link if their labels are equal and not null, their vectors have the same number
     of components and their cosine is at least ``cosine``. Null, empty or zero vectors and
     those with null or non-finite components link with nothing, and are their own component.
-    Labels of any type are compared as text; other columns are not read; an empty table gives no rows.
+    Labels of any type are compared as text (0.0 and -0.0 differ); columns of other names, whatever they are, clash with nothing. Other columns are not read; an empty table gives no rows.
     Equal vectors of a label are compared once and count one another. Rows of equal vec_id
     are rows of one component if they link. Cells with many members are dealt in chunks, all
     pairs of chunks; pairs never leave a task, only counts and a forest do.
     """
+    arrow_rows(vectors.sparkSession)
     rows = vectors.select("vec_id", F.col("embedding").alias("v"), F.col("label").cast("string").alias("label"))
     rows = rows.withColumn("_ok", valid("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     groups = settle(rows.where("_ok").groupBy("label", "v").agg(F.min("vec_id").alias("rid"), F.count(F.lit(1)).alias("copies")))
@@ -222,8 +225,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     reach = components(found.where("b is not null").select("a", "b"))
     counts = found.groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("n"))
     named = groups.join(counts, "rid", "left").join(reach.withColumnRenamed("id", "rid"), "rid", "left").select(
-        F.col("label").alias("_l"), F.col("v").alias("_v"), "rid", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rid").alias("c")
+        F.col("label").alias("_l"), F.col("v").alias("_v"), "rid", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rid").alias("c"), "copies"
     )
-    out = rows.join(named, F.col("_ok") & (F.col("label") == F.col("_l")) & (F.col("v") == F.col("_v")), "left")
+    # copies of a hot vector stay where they are: fewer than HOT vectors have more than one of HOT rows
+    every = groups.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(named.where(F.col("copies") * HOT > every))
+    same = F.col("_ok") & (F.col("label") == F.col("_l")) & (F.col("v") == F.col("_v"))
+    rest = rows.join(hot.select("_l", "_v"), same, "left_anti").join(named, same, "left")
+    out = rows.join(hot, same).unionByName(rest)
     component = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -115,13 +115,15 @@ def by_source(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(salted, same).drop("_mix_salt")
 
 
+def hash_of() -> F.Column:
+    """60 bits of md5 of the id; without an id of the text, so that such rows of a source are taken one by one; without either of 'null'."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.col("text")), F.lit("null"))
+    return F.conv(F.substring(F.md5(name), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) and h (60 bits of md5 of the id; null id: of 'null') of every document."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    return docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"),
-        F.conv(F.substring(F.md5(name), 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
-    )
+    """doc_id, source, size (words) and h (see hash_of) of every document."""
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash_of().alias("h"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
@@ -129,7 +131,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST)
 
     Every source, null included, gets its target (see budgets) to within half a boundary
     document: whole passes over the source, then the documents whose hash is below its cut.
-    Documents that repeat an id are taken alike; wordless ones count 0 and are taken with the
+    Documents that repeat an id are taken alike, as are those without one that repeat a text; wordless ones count 0 and are taken with the
     whole passes; an empty table gives no rows. Text is read once; the rest works on 40 bytes
     a document. Histograms are summed before the shuffle, so a hot source costs no more.
     """
@@ -150,9 +152,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     rows = settle(sized(docs))
     plan = settle(budgets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     cuts = thresholds(rows, plan).select(F.col("source").alias("_mix_source"), F.col("whole").alias("_mix_whole"), F.col("cut").alias("_mix_cut"))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    h = F.conv(F.substring(F.md5(name), 1, HASH_BITS // 4), 16, 10).cast("long")
-    copies = (F.col("_mix_whole") + F.when(h < F.col("_mix_cut"), 1).otherwise(0)).cast("int")
+    copies = (F.col("_mix_whole") + F.when(hash_of() < F.col("_mix_cut"), 1).otherwise(0)).cast("int")
     return (
         by_source(docs, cuts)
         .withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), copies)))

@@ -216,7 +216,7 @@ FROM placed
     "op6_mixing": r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text:' || text, 'null')), 1, 15))::BIGINT AS h
   FROM documents
 ),
 sources AS (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
@@ -82,6 +83,18 @@ def likeness(a: str, b: str) -> Column:
     return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(hashes(a), hashes(b))) / either)
 
 
+def below(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are below a value: of blocks of them, then within one, so that a row is held against some 2 * sqrt(n) of n bounds."""
+    size = math.isqrt(len(bounds)) + 1
+    blocks = [bounds[i : i + size] for i in range(0, len(bounds), size)]
+    if not blocks:
+        return F.lit(0)
+    lower = lambda x: F.size(F.filter(x, lambda b: b < value))
+    first = lower(F.array(*(F.lit(b[-1]) for b in blocks)))
+    within = F.get(F.array(*(F.array(*map(F.lit, b)) for b in blocks)), first)
+    return F.least(first * size + F.coalesce(F.nullif(lower(within), F.lit(-1)), F.lit(0)), F.lit(len(bounds)))
+
+
 def in_ranges(docs: DataFrame, parts: int) -> tuple[DataFrame, list[int]]:
     """(doc_id, text, _b, _g, _s) of all rows, and the greatest id of each range that has ids.
 
@@ -95,7 +108,7 @@ def in_ranges(docs: DataFrame, parts: int) -> tuple[DataFrame, list[int]]:
     seen = docs.agg(cuts.alias("b"), F.count("doc_id").alias("ids"), F.count(F.lit(1)).alias("n")).first()
     share = Counter(seen["b"] or [])
     bounds = sorted({*share, *(b - 1 for b, n in share.items() if n > 1 and b > LEAST_ID)})
-    group = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
+    group = below(F.col("doc_id"), bounds)
     group = F.when(F.col("doc_id").isNull(), -1).otherwise(group)
     pieces = {bounds.index(b): n + 1 for b, n in share.items() if n > 1}
     pieces[-1] = 1 + parts * (seen["n"] - seen["ids"]) // max(seen["n"], 1)
