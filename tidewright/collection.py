@@ -18,48 +18,51 @@ _MARKED = "[\\x{C0}-\\x{24F}\\x{300}-\\x{36F}\\x{1E00}-\\x{1EFF}]"
 
 @query(
     "f04_code_points",
-    f"""SELECT doc_id, count(c) AS n, sum(unicode(c))::BIGINT AS points, sum(strlen(c))::BIGINT AS bytes, count(*) FILTER (regexp_matches(c, '{_MARKED}')) AS marked,
+    f"""SELECT d.doc_id, count(c) AS n, coalesce(sum(unicode(c)), 0)::BIGINT AS points, coalesce(sum(strlen(c)), 0)::BIGINT AS bytes, count(*) FILTER (regexp_matches(c, '{_MARKED}')) AS marked,
 count(*) FILTER (regexp_matches(c, '[A-Za-z_]') OR unicode(c) > 127) AS starts, count(*) FILTER (regexp_matches(c, '[A-Za-z_0-9]') OR unicode(c) > 127) AS continues
-FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE text <> '') GROUP BY doc_id""",
+FROM documents d LEFT JOIN (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE text <> '') x ON x.doc_id = d.doc_id GROUP BY d.doc_id""",
 )
 def code_points(spark, sf):
-    rows = spread(table(spark, sf, "documents").select("doc_id", "text")).where("text <> ''").select("doc_id", F.explode(T.code_points(F.col("text"))).alias("c"))
+    """Null and empty texts have no code points."""
+    rows = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode_outer(T.code_points(F.col("text"))).alias("c"))
     n = lambda c: F.count_if(F.col(f"c.{c}"))
+    total = lambda c: F.coalesce(F.sum(f"c.{c}"), F.lit(0))
     return rows.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("c.codepoint").alias("points"), F.sum("c.byte_length").alias("bytes"), n("is_vietnamese").alias("marked"), n("is_id_start").alias("starts"), n("is_id_continue").alias("continues")
+        F.count("c").alias("n"), total("codepoint").alias("points"), total("byte_length").alias("bytes"), n("is_vietnamese").alias("marked"), n("is_id_start").alias("starts"), n("is_id_continue").alias("continues")
     )
 
 
 @query(
     "f09_positions",
     """SELECT doc_id, strlen(h)::INTEGER AS "offset", (1 + length(h) - length(replace(h, chr(10), '')))::INTEGER AS line, (1 + length(string_split(h, chr(10))[-1]))::INTEGER AS "column"
-FROM (SELECT doc_id, left(text, (doc_id * 37 % (length(text) + 1))::INTEGER) AS h FROM documents WHERE text IS NOT NULL)""",
+FROM (SELECT doc_id, left(text, (doc_id * 37 % (length(text) + 1))::INTEGER) AS h FROM documents)""",
 )
 def positions(spark, sf):
-    rows = table(spark, sf, "documents").where("text is not null").withColumn("_k", F.expr("cast(doc_id * 37 % (length(text) + 1) as int)"))
+    """A null text has no positions."""
+    rows = table(spark, sf, "documents").withColumn("_k", F.expr("cast(doc_id * 37 % (length(text) + 1) as int)"))
     at = T.position_of(F.col("text"), F.octet_length(F.substring(F.col("text"), F.lit(1), F.col("_k"))))
-    return rows.select("doc_id", at.alias("p")).select("doc_id", "p.*")
+    return rows.select("doc_id", F.when(F.col("text").isNotNull(), at).alias("p")).select("doc_id", "p.*")
 
 
-@query("f07_valid_utf8", "SELECT doc_id, doc_id % 3 <> 0 OR text = '' AS valid, doc_id % 256 < 128 OR doc_id % 256 BETWEEN 194 AND 244 AS leads, chr((doc_id % 55000 + 1)::INTEGER) AS letter FROM documents WHERE text IS NOT NULL")
+@query("f07_valid_utf8", "SELECT doc_id, CASE WHEN text IS NOT NULL THEN doc_id % 3 <> 0 OR text = '' END AS valid, doc_id % 256 < 128 OR doc_id % 256 BETWEEN 194 AND 244 AS leads, chr((doc_id % 55000 + 1)::INTEGER) AS letter FROM documents")
 def valid_utf8(spark, sf):
     raw = F.when((F.col("doc_id") % 3 == 0) & (F.col("text") != ""), F.concat(F.encode("text", "UTF-8"), F.lit(bytearray(b"\xc3")))).otherwise(F.encode("text", "UTF-8"))
-    rows = table(spark, sf, "documents").where("text is not null")
-    return rows.select("doc_id", T.is_valid_utf8(raw).alias("valid"), T.is_leading_byte(F.col("doc_id") % 256).alias("leads"), T.utf8_of((F.col("doc_id") % 55000 + 1).cast("int")).alias("letter"))
+    return table(spark, sf, "documents").select("doc_id", T.is_valid_utf8(raw).alias("valid"), T.is_leading_byte(F.col("doc_id") % 256).alias("leads"), T.utf8_of((F.col("doc_id") % 55000 + 1).cast("int")).alias("letter"))
 
 
-@query("f21_json_round_trip", "SELECT doc_id, md5(text) AS text, doc_id * 2 AS n, true AS flag FROM documents WHERE text IS NOT NULL")
+@query("f21_json_round_trip", "SELECT doc_id, md5(text) AS text, CASE WHEN text IS NOT NULL THEN doc_id * 2 END AS n, CASE WHEN text IS NOT NULL THEN true END AS flag FROM documents")
 def json_round_trip(spark, sf):
-    """Texts through the writer of JSON strings, the parser, and typed access."""
+    """Texts through the writer of JSON strings, the parser, and typed access; a null text gives no document, and nulls."""
     made = F.concat(F.lit('{"s": "'), T.escape_json(F.col("text")), F.lit('", "n": '), (F.col("doc_id") * 2).cast("string"), F.lit(', "a": [true]}'))
-    rows = table(spark, sf, "documents").where("text is not null").select("doc_id", F.try_parse_json(made).alias("v"))
+    rows = table(spark, sf, "documents").select("doc_id", F.try_parse_json(made).alias("v"))
     got = lambda path, kind: F.try_variant_get("v", path, kind)
     return rows.select("doc_id", F.md5(got("$.s", "string")).alias("text"), got("$.n", "long").alias("n"), got("$.a[0]", "boolean").alias("flag"))
 
 
-@query("s13_frames", "SELECT conv_id, turn, strlen(text)::INTEGER AS bytes, md5(text) AS body FROM conversations WHERE text <> ''")
+@query("s13_frames", "SELECT conv_id, turn, CASE WHEN text <> '' THEN strlen(text) END::INTEGER AS bytes, CASE WHEN text <> '' THEN md5(text) END AS body FROM conversations")
 def frames(spark, sf):
-    rows = table(spark, sf, "conversations").where("text <> ''")
+    """Null and empty texts make no message."""
+    rows = table(spark, sf, "conversations")
     framed = F.when(F.col("turn") % 2 == 0, editor.frame_of(F.col("text"))).otherwise(F.concat(F.lit("X: y\n"), F.replace(editor.frame_of(F.col("text")), F.lit("\r\n\r\n"), F.lit("\n\n")), F.lit("more")))
     body = editor.body_of(framed)
     return rows.select("conv_id", "turn", F.octet_length(body).alias("bytes"), F.md5(body).alias("body"))

@@ -47,7 +47,7 @@ KEYWORDS = {
     ).split(),
 }
 
-#: Vietnamese words without their marks.
+#: Vietnamese words without their marks.
 WORDS = (
     "bai ban bao bat bien bo cai cam can cao cau chi cho chu co cong cot cua cuoi dang dao dat dau den di dia diem du dung duoc "
     "gia giao gioi giup gui hang hien hieu hinh ho hoc hop ke ket khai kham khach khi kiem ky lai lam lien loai lon lua "
@@ -61,13 +61,13 @@ ABBREVIATIONS = (
     "BH BN CB CD CH CN CT CV DA DL DM QLKH QLNV NVKD DN DS DT DV GD GV HH HT ID KH KQ KT MA MB MH ML ND NH NL NV PB PC "
     "QC QL QLY QT SL SP ST TB TG TH TK TL TM TN TP TQ TT TV TX VA VT XL"
 ).split()
-#: Names that the transliteration rule lets pass.
+#: Names that the transliteration rule lets pass.
 PASSED = (
     "token database manager valueerror keyerror typeerror attributeerror indexerror runtimeerror exception __init__ __str__ __repr__ __len__ __get__ __set__ handler service controller "
     "repository factory builder provider listener observer formatter validator serializer parser scanner lexer compiler emitter renderer dispatcher router middleware "
     "interceptor decorator adapter connector transformer cs fv idx ptr buf src dst cfg ctx err ret tmp val res req msg num pos off fn ok no op io db ui id os fs vm api"
 ).split()
-#: Labels of the corpus builder: words (as far as lower-case words can match them) and abbreviation letters.
+#: Labels of the corpus builder: words (as far as lower-case words can match them) and abbreviation letters.
 CORPUS_WORDS = (
     "ten tuoi diachi dienthoai email matkhau hoten ngaysinh gioitinh quequan quocgia thanhpho tinh huyen xa phuong "
     "danhmuc loai loaisanpham donvi soluong dongia thanhtien hoadon nhanvien khachhang sanpham nhacungcap kho tonkho "
@@ -77,18 +77,18 @@ CORPUS_WORDS = (
     "ketqua xetnghiem dongthuoc thuoc benh trieuchung hocsinh giaovien lophoc monhoc diem bangdiem hocky truonghoc khoa nganh bangcap chungchi tenkhach"
 ).split()
 CORPUS_ABBREVIATION = "^[BCDĐGHKLMNPQRSTVX]{2,6}$"
-#: Of the example rules: a telephone number as a name, and two-letter abbreviations.
+#: Of the example rules: a telephone number as a name, and two-letter abbreviations.
 PHONE = "(?i)^(?:sdt|dienthoai|sodienthoai|phone)_?0[0-9]{9}$"
 SHORT = {
     "hs": "hoc_sinh (student)", "nv": "nhan_vien (employee)", "kh": "khach_hang (customer)", "gv": "giao_vien (teacher)", "bv": "benh_vien (hospital)",
     "ql": "quan_ly (manager)", "sp": "san_pham (product)", "dh": "dai_hoc (university)", "tk": "tai_khoan (account)", "mk": "mat_khau (password)",
 }
 
-#: Letters whose marks can be stripped, by rule: the base letter, in lower case.
+#: Letters whose marks can be stripped, by rule: the base letter, in lower case.
 STRIPPED = "ÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝàáâãèéêìíòóôõùúýĂăĐđƠơƯư" + "".join(map(chr, range(0x1EA0, 0x1EFA)))
 BASES = "".join({"Đ": "d", "đ": "d"}.get(c, unicodedata.normalize("NFD", c)[0].lower()) for c in STRIPPED)
 
-#: id, name, description, category, severity of the rules.
+#: Id, name, description, category, severity of the rules.
 RULES = [
     ("VL001", "Vietnamese Identifier", "Detects identifiers containing Vietnamese Unicode characters", "naming", "warning"),
     ("VL002", "Mixed-Language Comment", "Detects comments that mix Vietnamese and English text", "comments", "info"),
@@ -103,7 +103,26 @@ RULES = [
     ("VL011", "Vietnamese Import Alias", "Detects Vietnamese words used as import aliases", "naming", "warning"),
 ]
 
-#: Characters of the bytes 0x80 to 0xFF in the legacy encodings; U+FFFD where there is none.
+#: Messages of the rules, by the rule that says them; in two parts where a name or a style stands between.
+MESSAGES = {
+    "VL-EX-001": ("Identifier '", "' looks like a telephone number."),
+    "VL-EX-002": ("Abbreviation '", "' may mean "),
+    "VL001": ("Identifier '", "' contains Vietnamese characters. Consider using ASCII equivalents for better portability."),
+    "VL001_MIXED": ("Identifier '", "' mixes Vietnamese and ASCII characters."),
+    "VL001_PLAIN": ("Identifier '", "' appears to be a transliterated Vietnamese word. Consider using a more descriptive English name."),
+    "VL002": "Comment mixes Vietnamese and English text. Consider using a single language for consistency.",
+    "VL003": "Non-UTF-8 encoding declaration found. Vietnamese files should use UTF-8.",
+    "VL004": ("'", "' looks like a transliterated Vietnamese word. Use descriptive English names for clarity."),
+    "VL005": ("Identifier '", "' uses NFD (decomposed) Unicode normalization. Use NFC (precomposed) forms for Vietnamese characters."),
+    "VL006": ("File uses mixed naming styles. Dominant: ", ". Consider standardizing to one style."),
+    "VL007": "String literal contains Vietnamese characters. Consider externalizing to a localization file.",
+    "VL008": ("Identifier '", "' uses inconsistent transliteration style. File predominantly uses "),
+    "VL009": "Exception message contains Vietnamese text. Use English for better international compatibility.",
+    "VL010": ("Transliterated function '", "' lacks an English docstring. Add a docstring explaining what this function does."),
+    "VL011": ("Import alias '", "' appears to be Vietnamese. Use conventional English aliases (e.g., 'import numpy as np')."),
+}
+
+#: Characters of the bytes 0x80 to 0xFF in the legacy encodings; U+FFFD where there is none.
 _TCVN3 = (
     "00C0 1EA2 00C3 1EA0 1EB0 1EAE 1EB2 1EB4 1EB6 00C8 1EBA 1EBC 1EB8 1EC0 1EBE 1EC2 1EC4 1EC6 00CC 1EC8 0128 1ECA 00D2 1ECE 00D5 1ECC 1ED2 1ED0 1ED4 1ED6 1ED8 1EDA "
     "1EDC 1EDE 1EE0 1EE2 00D9 1EE6 0168 1EE4 1EF2 1EF6 1EF8 00DD 1EF4 1EAC 1EB1 1EAF 00E0 1EA3 00E3 1EA1 1EB7 1EB3 1EB5 1EB5 1EB7 00E8 1EBB 1EBD 1EB9 1EC1 1EBF 1EC3 "

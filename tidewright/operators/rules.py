@@ -39,25 +39,25 @@ def local_findings() -> dict[str, list[Column]]:
     snake, camel, plain = T.snake_name(raw), T.camel_name(raw), T.ascii_name(raw)
     return {
         "VL001": [
-            F.when(cls.isin("PureVietnamese", "MixedVietnamese"), _finding("VL001", "VL001", "warning", _says("Identifier '", "' contains Vietnamese characters. Consider using ASCII equivalents for better portability."), F.array(snake, camel))),
-            F.when(cls == "MixedVietnamese", _finding("VL001", "VL002", "warning", _says("Identifier '", "' mixes Vietnamese and ASCII characters."), F.array(plain))),
-            F.when(cls == "TransliteratedViet", _finding("VL001", "VL003", "info", _says("Identifier '", "' appears to be a transliterated Vietnamese word. Consider using a more descriptive English name."))),
+            F.when(cls.isin("PureVietnamese", "MixedVietnamese"), _finding("VL001", "VL001", "warning", _says(*C.MESSAGES["VL001"]), F.array(snake, camel))),
+            F.when(cls == "MixedVietnamese", _finding("VL001", "VL002", "warning", _says(*C.MESSAGES["VL001_MIXED"]), F.array(plain))),
+            F.when(cls == "TransliteratedViet", _finding("VL001", "VL003", "info", _says(*C.MESSAGES["VL001_PLAIN"]))),
         ],
-        "VL002": [F.when(comment & F.col("has_vietnamese") & raw.rlike("[A-Za-z]"), _finding("VL002", "VL002", "info", F.lit("Comment mixes Vietnamese and English text. Consider using a single language for consistency."), named=False))],
+        "VL002": [F.when(comment & F.col("has_vietnamese") & raw.rlike("[A-Za-z]"), _finding("VL002", "VL002", "info", F.lit(C.MESSAGES["VL002"]), named=False))],
         "VL003": [
             F.when(
                 (F.col("language") == "Python") & (kind == "EncodingDecl") & (F.instr(raw, "utf-8") == 0) & (F.instr(raw, "utf8") == 0),
-                _finding("VL003", "VL003", "warning", F.lit("Non-UTF-8 encoding declaration found. Vietnamese files should use UTF-8."), F.array(F.lit("# -*- coding: utf-8 -*-")), named=False),
+                _finding("VL003", "VL003", "warning", F.lit(C.MESSAGES["VL003"]), F.array(F.lit("# -*- coding: utf-8 -*-")), named=False),
             )
         ],
-        "VL004": [F.when((cls == "TransliteratedViet") & ~T.ascii_lower(raw).isin(C.PASSED), _finding("VL004", "VL004", "info", _says("'", "' looks like a transliterated Vietnamese word. Use descriptive English names for clarity."), F.array(plain)))],
-        "VL005": [F.when(name & raw.rlike(r"(?s).[\x{300}-\x{36F}]"), _finding("VL005", "VL005", "error", _says("Identifier '", "' uses NFD (decomposed) Unicode normalization. Use NFC (precomposed) forms for Vietnamese characters.")))],
-        "VL007": [F.when((kind == "StringLiteral") & F.col("has_vietnamese"), _finding("VL007", "VL007", "info", F.lit("String literal contains Vietnamese characters. Consider externalizing to a localization file."), named=False))],
-        "VL-EX-001": [F.when(name & raw.rlike(C.PHONE), _finding("VL-EX-001", "VL-EX-001", "warning", _says("Identifier '", "' looks like a telephone number."), F.array(F.lit("phone_number"), F.lit("phoneNumber"))))],
+        "VL004": [F.when((cls == "TransliteratedViet") & ~T.ascii_lower(raw).isin(C.PASSED), _finding("VL004", "VL004", "info", _says(*C.MESSAGES["VL004"]), F.array(plain)))],
+        "VL005": [F.when(name & raw.rlike(r"(?s).[\x{300}-\x{36F}]"), _finding("VL005", "VL005", "error", _says(*C.MESSAGES["VL005"])))],
+        "VL007": [F.when((kind == "StringLiteral") & F.col("has_vietnamese"), _finding("VL007", "VL007", "info", F.lit(C.MESSAGES["VL007"]), named=False))],
+        "VL-EX-001": [F.when(name & raw.rlike(C.PHONE), _finding("VL-EX-001", "VL-EX-001", "warning", _says(*C.MESSAGES["VL-EX-001"]), F.array(F.lit("phone_number"), F.lit("phoneNumber"))))],
         "VL-EX-002": [
             F.when(
                 name & (F.octet_length(raw) == 2) & T.ascii_lower(raw).isin(list(C.SHORT)),
-                _finding("VL-EX-002", "VL-EX-002", "info", F.concat(_says("Abbreviation '", "' may mean "), F.element_at(F.create_map(*[F.lit(x) for kv in C.SHORT.items() for x in kv]), T.ascii_lower(raw)))),
+                _finding("VL-EX-002", "VL-EX-002", "info", F.concat(_says(*C.MESSAGES["VL-EX-002"]), F.element_at(F.create_map(*[F.lit(x) for kv in C.SHORT.items() for x in kv]), T.ascii_lower(raw)))),
             )
         ],
     }
@@ -119,7 +119,7 @@ def _mixed_styles() -> Column:
     top, total = F.greatest(*count.values()), reduce(lambda a, b: a + b, count.values())
     dominant = reduce(lambda rest, k: F.when(count[k] == top, k).otherwise(rest), reversed(STYLES), F.lit(None))
     others = reduce(lambda a, b: a + b, [F.when((dominant != k) & (n * 20 > total), 1).otherwise(0) for k, n in count.items()])
-    message = F.concat(F.lit("File uses mixed naming styles. Dominant: "), dominant, F.lit(". Consider standardizing to one style."))
+    message = F.concat(F.lit(C.MESSAGES["VL006"][0]), dominant, F.lit(C.MESSAGES["VL006"][1]))
     return F.when(F.col("_first") & (total > 0) & (others >= 2), _finding("VL006", "VL006", "info", message, named=False))
 
 
@@ -128,7 +128,7 @@ def _inconsistent_transliteration() -> Column:
     snake, camel = _transliterations()
     rare = (F.col("_s") > 0) & (F.col("_c") > 0) & F.when(F.col("_s") < F.col("_c"), snake).otherwise(camel)
     dominant = F.when(F.col("_s") >= F.col("_c"), "snake_case").otherwise("camelCase")
-    message = F.concat(_says("Identifier '", "' uses inconsistent transliteration style. File predominantly uses "), dominant, F.lit("."))
+    message = F.concat(_says(*C.MESSAGES["VL008"]), dominant, F.lit("."))
     return F.when(rare, _finding("VL008", "VL008", "warning", message))
 
 
@@ -141,15 +141,15 @@ def file_findings() -> dict[str, Column]:
         "VL008": _inconsistent_transliteration(),
         "VL009": F.when(
             (F.col("_raised") == 1) & (kind == "StringLiteral") & F.col("has_vietnamese"),
-            _finding("VL009", "VL009", "warning", F.lit("Exception message contains Vietnamese text. Use English for better international compatibility."), named=False),
+            _finding("VL009", "VL009", "warning", F.lit(C.MESSAGES["VL009"]), named=False),
         ),
         "VL010": F.when(
             (F.col("language") == "Python") & F.col("_opens") & (F.col("_event") == "flag"),
-            _finding("VL010", "VL010", "info", _says("Transliterated function '", "' lacks an English docstring. Add a docstring explaining what this function does.")),
+            _finding("VL010", "VL010", "info", _says(*C.MESSAGES["VL010"])),
         ),
         "VL011": F.when(
             F.col("language").isin("Python", "JavaScript") & (F.col("_previous") == "as") & (raw != "as") & viet,
-            _finding("VL011", "VL011", "warning", _says("Import alias '", "' appears to be Vietnamese. Use conventional English aliases (e.g., 'import numpy as np').")),
+            _finding("VL011", "VL011", "warning", _says(*C.MESSAGES["VL011"])),
         ),
     }
 

@@ -215,10 +215,10 @@ def _escaped(x: str) -> str:
     return f"array_to_string(list_transform(string_split({x}, ''), lambda c: {one}), '')"
 
 
-@query("f20_escape_json", f"SELECT doc_id, md5({_escaped('text || ' + _CONTROL)}) AS escaped FROM documents WHERE text IS NOT NULL")
+@query("f20_escape_json", f"SELECT doc_id, md5({_escaped('text || ' + _CONTROL)}) AS escaped FROM documents")
 def f20(spark, sf):
     whole = F.concat("text", F.lit("".join(map(chr, range(1, 32)))))
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.md5(T.escape_json(whole)).alias("escaped"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.escape_json(whole)).alias("escaped"))
 
 
 @query("f23_json_access", "SELECT event_id, (props->>'$.k')::INTEGER AS k, props->>'$.none' IS NULL AS missing FROM events")
@@ -303,37 +303,38 @@ def _around(a: str, b: str) -> str:
 _TOK = sql_tokens(SQL_CODE)
 _RULE_SQL = {
     "VL001": " UNION ALL ".join([
-        _found("VL001", "warning", _around("Identifier '", "' contains Vietnamese characters. Consider using ASCII equivalents for better portability."), "cls IN ('PureVietnamese', 'MixedVietnamese')", f"{snake('raw')} || '|' || {camel('raw')}"),
-        _found("VL002", "warning", _around("Identifier '", "' mixes Vietnamese and ASCII characters."), "cls = 'MixedVietnamese'", plain("raw")),
-        _found("VL003", "info", _around("Identifier '", "' appears to be a transliterated Vietnamese word. Consider using a more descriptive English name."), "cls = 'TransliteratedViet'"),
+        _found("VL001", "warning", _around(*C.MESSAGES["VL001"]), "cls IN ('PureVietnamese', 'MixedVietnamese')", f"{snake('raw')} || '|' || {camel('raw')}"),
+        _found("VL002", "warning", _around(*C.MESSAGES["VL001_MIXED"]), "cls = 'MixedVietnamese'", plain("raw")),
+        _found("VL003", "info", _around(*C.MESSAGES["VL001_PLAIN"]), "cls = 'TransliteratedViet'"),
     ]),
-    "VL002": _found("VL002", "info", "'Comment mixes Vietnamese and English text. Consider using a single language for consistency.'", f"kind IN {_COMMENT} AND hv AND regexp_matches(raw, '[A-Za-z]')", identifier="''"),
-    "VL003": _found("VL003", "warning", "'Non-UTF-8 encoding declaration found. Vietnamese files should use UTF-8.'", "kind = 'EncodingDecl' AND NOT contains(raw, 'utf-8') AND NOT contains(raw, 'utf8')", "'# -*- coding: utf-8 -*-'", "''"),
-    "VL004": _found("VL004", "info", _around("'", "' looks like a transliterated Vietnamese word. Use descriptive English names for clarity."), f"cls = 'TransliteratedViet' AND {low('raw')} NOT IN {words(C.PASSED)}", plain("raw")),
-    "VL005": _found("VL005", "error", _around("Identifier '", "' uses NFD (decomposed) Unicode normalization. Use NFC (precomposed) forms for Vietnamese characters."), "cls IS NOT NULL AND regexp_matches(raw, '(?s).[\\x{300}-\\x{36F}]')"),
-    "VL007": _found("VL007", "info", "'String literal contains Vietnamese characters. Consider externalizing to a localization file.'", "kind = 'StringLiteral' AND hv", identifier="''"),
-    "VL-EX-001": _found("VL-EX-001", "warning", _around("Identifier '", "' looks like a telephone number."), f"cls IS NOT NULL AND regexp_matches(raw, {lit(C.PHONE)})", "'phone_number|phoneNumber'"),
+    "VL002": _found("VL002", "info", lit(C.MESSAGES["VL002"]), f"kind IN {_COMMENT} AND hv AND regexp_matches(raw, '[A-Za-z]')", identifier="''"),
+    "VL003": _found("VL003", "warning", lit(C.MESSAGES["VL003"]), "kind = 'EncodingDecl' AND NOT contains(raw, 'utf-8') AND NOT contains(raw, 'utf8')", "'# -*- coding: utf-8 -*-'", "''"),
+    "VL004": _found("VL004", "info", _around(*C.MESSAGES["VL004"]), f"cls = 'TransliteratedViet' AND {low('raw')} NOT IN {words(C.PASSED)}", plain("raw")),
+    "VL005": _found("VL005", "error", _around(*C.MESSAGES["VL005"]), "cls IS NOT NULL AND regexp_matches(raw, '(?s).[\\x{300}-\\x{36F}]')"),
+    "VL007": _found("VL007", "info", lit(C.MESSAGES["VL007"]), "kind = 'StringLiteral' AND hv", identifier="''"),
+    "VL-EX-001": _found("VL-EX-001", "warning", _around(*C.MESSAGES["VL-EX-001"]), f"cls IS NOT NULL AND regexp_matches(raw, {lit(C.PHONE)})", "'phone_number|phoneNumber'"),
     "VL-EX-002": _found("VL-EX-002", "info", "concat('Abbreviation ''', raw, ''' may mean ', CASE " + " ".join(f"WHEN {low('raw')} = '{k}' THEN {lit(v)}" for k, v in C.SHORT.items()) + " END)", f"cls IS NOT NULL AND strlen(raw) = 2 AND {low('raw')} IN {words(C.SHORT)}"),
     "VL009": _found(
-        "VL009", "warning", "'Exception message contains Vietnamese text. Use English for better international compatibility.'", "m = 1 AND kind = 'StringLiteral' AND hv", identifier="''",
+        "VL009", "warning", lit(C.MESSAGES["VL009"]), "m = 1 AND kind = 'StringLiteral' AND hv", identifier="''",
         source="(SELECT *, last_value(CASE WHEN raw IN ('raise', 'throw') THEN 1 WHEN cls IS NOT NULL OR kind = 'Punctuation' THEN NULL ELSE 0 END IGNORE NULLS) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM tok)",
     ),
     "VL011": _found(
-        "VL011", "warning", _around("Import alias '", "' appears to be Vietnamese. Use conventional English aliases (e.g., 'import numpy as np')."), "p = 'as' AND raw <> 'as' AND cls IN ('TransliteratedViet', 'PureVietnamese', 'MixedVietnamese')",
+        "VL011", "warning", _around(*C.MESSAGES["VL011"]), "p = 'as' AND raw <> 'as' AND cls IN ('TransliteratedViet', 'PureVietnamese', 'MixedVietnamese')",
         source="(SELECT *, lag(raw) OVER (PARTITION BY file ORDER BY pos) AS p FROM tok)",
     ),
     "VL008": _found(
-        "VL008", "warning", "concat('Identifier ''', raw, ''' uses inconsistent transliteration style. File predominantly uses ', CASE WHEN s >= c THEN 'snake_case' ELSE 'camelCase' END, '.')",
+        "VL008", "warning", _around(*C.MESSAGES["VL008"])[:-1] + ", CASE WHEN s >= c THEN 'snake_case' ELSE 'camelCase' END, '.')",
         "s > 0 AND c > 0 AND CASE WHEN s < c THEN is_s ELSE is_c END",
         source="(SELECT *, count(*) FILTER (is_s) OVER (PARTITION BY file) AS s, count(*) FILTER (is_c) OVER (PARTITION BY file) AS c FROM (SELECT *, coalesce(cls = 'TransliteratedViet' AND contains(raw, '_'), false) AS is_s, coalesce(cls = 'TransliteratedViet' AND NOT contains(raw, '_') AND regexp_matches(substr(raw, 2), '[A-Z]'), false) AS is_c FROM tok))",
     ),
-    "VL006": f"""SELECT file, 'VL006' AS rule_id, 'info' AS severity, concat('File uses mixed naming styles. Dominant: ', d, '. Consider standardizing to one style.') AS message, '' AS identifier, line, col, start, "end", '' AS fixes
+    "VL006": f"""SELECT file, 'VL006' AS rule_id, 'info' AS severity, concat({lit(C.MESSAGES["VL006"][0])}, d, {lit(C.MESSAGES["VL006"][1])}) AS message, '' AS identifier, line, col, start, "end", '' AS fixes
 FROM (SELECT *, CASE greatest(a, b, c, e) WHEN a THEN 'snake_case' WHEN b THEN 'camelCase' WHEN c THEN 'PascalCase' ELSE 'SCREAMING_SNAKE' END AS d, a + b + c + e AS t FROM
   (SELECT file, count(*) FILTER (st = 'SnakeCase') AS a, count(*) FILTER (st = 'CamelCase') AS b, count(*) FILTER (st = 'PascalCase') AS c, count(*) FILTER (st = 'ScreamingSnake') AS e,
      arg_min(line, pos) AS line, arg_min(col, pos) AS col, arg_min(start, pos) AS start, arg_min("end", pos) AS "end"
    FROM (SELECT *, CASE WHEN cls IS NOT NULL AND strlen(raw) > 1 THEN {style('raw')} END AS st FROM tok) GROUP BY file))
 WHERE t > 0 AND (d <> 'snake_case' AND a * 20 > t)::INT + (d <> 'camelCase' AND b * 20 > t)::INT + (d <> 'PascalCase' AND c * 20 > t)::INT + (d <> 'SCREAMING_SNAKE' AND e * 20 > t)::INT >= 2""",
-    "VL010": """SELECT file, 'VL010' AS rule_id, 'info' AS severity, concat('Transliterated function ''', raw, ''' lacks an English docstring. Add a docstring explaining what this function does.') AS message, raw AS identifier, line, col, start, "end", '' AS fixes
+    "VL010": f"SELECT file, 'VL010' AS rule_id, 'info' AS severity, {_around(*C.MESSAGES['VL010'])}"
+    """ AS message, raw AS identifier, line, col, start, "end", '' AS fixes
 FROM (
   SELECT file, seg, min(CASE WHEN opens THEN raw END) AS raw, min(CASE WHEN opens THEN line END) AS line, min(CASE WHEN opens THEN col END) AS col, min(CASE WHEN opens THEN start END) AS start, min(CASE WHEN opens THEN "end" END) AS "end",
          arg_min(event, pos) FILTER (event IS NOT NULL) AS e
@@ -429,9 +430,15 @@ def c09(spark, sf):
     return engine.stats(_lint(spark, sf))
 
 
-@query("c11_rule_catalog", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(lit(x) for x in r) + ")" for r in C.RULES) + ") t(rule_id, name, description, category, severity)")
+_CATALOG = "(VALUES " + ", ".join("(" + ", ".join(lit(x) for x in r) + ")" for r in C.RULES) + ") t(rule_id, name, description, category, severity)"
+
+
+@query("c11_rule_catalog", _ALL + f"SELECT t.*, coalesce(n, 0) AS n FROM {_CATALOG} LEFT JOIN (SELECT source_rule, count(*) AS n FROM found GROUP BY source_rule) f ON f.source_rule = t.rule_id")
 def c11(spark, sf):
-    return spark.createDataFrame(C.RULES, "rule_id string, name string, description string, category string, severity string")
+    """The catalog, with what each of its rules found."""
+    rules = spark.createDataFrame(C.RULES, "rule_id string, name string, description string, category string, severity string")
+    counts = _lint(spark, sf).groupBy(F.col("source_rule").alias("rule_id")).agg(F.count(F.lit(1)).alias("n"))
+    return F.broadcast(rules).join(counts, "rule_id", "left").fillna(0, ["n"])
 
 
 @query("x13_text_lines", _ALL + "SELECT file || ':' || line || ':' || col || ': ' || severity || ' [' || rule_id || '] ' || message AS out FROM found")
