@@ -129,12 +129,12 @@ _CONFIDENCE = "CASE class WHEN 'Abbreviation' THEN 0.85 WHEN 'TransliteratedViet
 
 @query(
     "f15_classify_batch",
-    f"SELECT class, style, count(*) AS n, count(DISTINCT id) AS names, round(sum(confidence), 6) AS confidence FROM (SELECT *, {_CONFIDENCE} AS confidence FROM (SELECT id, {cls('id')} AS class, {style('id')} AS style FROM ({_EVERY}))) GROUP BY class, style",
+    f"SELECT class, style, count(*) AS n, count(DISTINCT id) AS names, min(confidence) AS confidence FROM (SELECT *, {_CONFIDENCE} AS confidence FROM (SELECT id, {cls('id')} AS class, {style('id')} AS style FROM ({_EVERY}))) GROUP BY class, style",
 )
 def classify_batch(spark, sf):
     """Every name of all documents, each distinct one classified once."""
     docs = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(C.IDENTIFIER), F.lit(0))).alias("id"))
-    return names.classify_batch(docs).groupBy("class", "style").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("names"), F.round(F.sum("confidence"), 6).alias("confidence"))
+    return names.classify_batch(docs).groupBy("class", "style").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("names"), F.min("confidence").alias("confidence"))
 
 
 @query(
