@@ -93,3 +93,13 @@ def test_places_among_bounds(spark):
     for bounds in ([], [1], [0, 7], list(range(0, 100, 3)), list(range(101))):
         got = [r["n"] for r in rows.select(winnow.below(F.col("v"), bounds).alias("n")).collect()]
         assert [n for n, v in zip(got, values, strict=True) if v is not None] == [sum(b < v for b in bounds) for v in values if v is not None]
+
+
+def test_wide_vectors_are_dealt_in_parts(spark):
+    import numpy as np
+
+    assert [len(p) for p in embed._bounded(np.arange(10_000), 64)] == [8192, 1808] and max(map(len, embed._bounded(np.arange(1000), 4096))) * 4096 * 8 << embed.GRID <= embed.DEALT_BYTES
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=1500) if i % 3 else np.ones(1500) + 0.01 * rng.normal(size=1500)).tolist(), "a") for i in range(60)]
+    got = {r["vec_id"]: r["n_links"] for r in embed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {i: 19 if i % 3 == 0 else 0 for i in range(60)}

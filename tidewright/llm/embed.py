@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, arrow_rows, components, settle
+from .common import alone, components, settle
 
 #: Dimensions of a block, on how many of them a grid cuts the range join, and a cell's width in reaches (over two).
 #: More grid dimensions mean fewer comparisons and more rows dealt.
@@ -18,6 +18,8 @@ BLOCK, GRID, WIDTH = 8, 6, 4
 CELLS = 1400
 #: Vectors in one side of one comparison, and rows of small cells that are compared in one call.
 CHUNK, LOT = 1024, 4096
+#: Bytes of vectors that one Arrow batch holds at most; its offsets count to 2**31.
+DEALT_BYTES = 1 << 28
 #: A vector with more than one of so many rows is hot: fewer than HOT vectors can be.
 HOT = 1024
 #: Float slack added to every budget; the last check is exact.
@@ -82,6 +84,12 @@ def packed(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(np.arange(0, (len(raw) + 1) * size, size, dtype=np.int32)), pa.py_buffer(raw)])
 
 
+def _bounded(rows: np.ndarray, d: int) -> list[np.ndarray]:
+    """Rows of vectors with d components in parts whose vectors, once in each cell that they may reach, stay within DEALT_BYTES."""
+    step = max(1, DEALT_BYTES // (8 * d << GRID))
+    return [rows[i : i + step] for i in range(0, len(rows), step)]
+
+
 def placed(rows: DataFrame, cosine: float, whole: bool) -> DataFrame:
     """rows (rid, label, copies, v) dealt to (label, dims, block, cell): home in their own cell, and
     guests of the cells above it that lie within the block's reach in the grid dimensions.
@@ -98,8 +106,7 @@ def placed(rows: DataFrame, cosine: float, whole: bool) -> DataFrame:
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
             lengths = np.diff(ends, prepend=0)
-            for d in np.unique(lengths).tolist():
-                at = np.flatnonzero(lengths == d)
+            for d, at in ((d, part) for d in np.unique(lengths).tolist() for part in _bounded(np.flatnonzero(lengths == d), d)):
                 x = flat[(ends[at] - d)[:, None] + np.arange(d)[None, :]]
                 u = x.astype(np.float64)
                 u = (u / np.linalg.norm(u, axis=1, keepdims=True)) @ rotation(d)
@@ -202,7 +209,6 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     are rows of one component if they link. Cells with many members are dealt in chunks, all
     pairs of chunks; pairs never leave a task, only counts and a forest do.
     """
-    arrow_rows(vectors.sparkSession)
     rows = vectors.select("vec_id", F.col("embedding").alias("v"), F.col("label").cast("string").alias("label"))
     rows = rows.withColumn("_ok", valid("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     groups = settle(rows.where("_ok").groupBy("label", "v").agg(F.min("vec_id").alias("rid"), F.count(F.lit(1)).alias("copies")))
