@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,28 +82,54 @@ def test_near_duplicates_against_all_pairs(spark):
                 copy[rng.randrange(120)] = "changed"
             rows.append(" ".join(copy) + (" " + license_ if len(rows) % 2 else ""))
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(1)
-    weights = minhash.common_shingles(docs)
-    assert (weights.idf < 1).sum() >= 50  # the license weighs less
-    vectors = []
-    for t in rows:
-        h, n = minhash.shingles(minhash.words_of(t))
-        vectors.append((h, weights(h, n)))
-    root = list(range(len(rows)))
+    # weights of the test's own: exact counts of classes, where the engine's table has estimates
+    sets = [Counter(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for t in rows]
+    of = [minhash.class_of(minhash.shingles(minhash.words_of(t))[0]) for t in rows]
+    df = Counter(g for _, g in {(c, g) for c, x in zip(of, sets, strict=True) for g in x})
+    idf = {g: 1 if n <= 2 else min(1, math.log(1 + len(set(of)) / n) / math.log(33)) for g, n in df.items()}
+    assert sum(x < 0.7 for x in idf.values()) >= 50  # the license weighs less
+    vectors = [(list(x), [(1 + math.log(n)) * idf[g] for g, n in x.items()]) for x in sets]
+    root, loose = list(range(len(rows))), list(range(len(rows)))  # loose: idf is of estimated counts, so a link may lie a little below 0.8 of exact ones
     sure = []
     for i in range(len(rows)):
         for j in range(i):
-            a, b = dict(zip(vectors[i][0].tolist(), vectors[i][1].tolist(), strict=True)), dict(zip(vectors[j][0].tolist(), vectors[j][1].tolist(), strict=True))
+            a, b = dict(zip(*vectors[i], strict=True)), dict(zip(*vectors[j], strict=True))
             low, high = sum(min(a.get(k, 0), b.get(k, 0)) for k in a.keys() | b.keys()), sum(max(a.get(k, 0), b.get(k, 0)) for k in a.keys() | b.keys())
-            if low >= 0.8 * high:
-                x, y = root[i], root[j]
-                root = [min(x, y) if r in (x, y) else r for r in root]
-                if low >= 0.88 * high:
-                    sure.append((i, j))
+            for least, of in ((0.8, root), (0.78, loose)):
+                if low >= least * high:
+                    x, y = of[i], of[j]
+                    of[:] = [min(x, y) if r in (x, y) else r for r in of]
+            if low >= 0.88 * high:
+                sure.append((i, j))
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
-    assert all(root[i] == root[got[i]] for i in got) and all(got[i] == got[j] for i, j in sure)
+    assert all(loose[i] == loose[got[i]] for i in got) and all(got[i] == got[j] for i, j in sure)
     assert sum(got[i] == root[i] for i in got) >= 0.98 * len(rows) and len(set(root)) < len(rows) - 15
 
 
+def test_weights_do_not_depend_on_where_rows_lie(spark):
+    """The same idf and classes of one task, of many, and of shuffled and repeated rows; counts near the exact ones."""
+    rng = random.Random(8)
+    license_, header = words(rng, 40), words(rng, 20)
+    rows = [(i, (license_ + " " if i % 2 else "") + words(rng, 80) + (" " + header if i % 8 == 0 else "")) for i in range(1200)]
+    rows += [(2000 + i, rows[i % 7][1] + f" edit{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = minhash.common_shingles(docs.repartition(1))
+    for other in (docs.repartition(150, "doc_id"), docs.union(docs).repartition(9)):
+        many = minhash.common_shingles(other)
+        assert many.classes == one.classes and (many.idf == one.idf).all()
+    of = [minhash.class_of(minhash.shingles(minhash.words_of(t))[0]) for _, t in rows]
+    n = len(set(of))
+    assert abs(one.classes / n - 1) < 0.05
+    weigh = lambda text: one(*minhash.shingles(minhash.words_of(text)))
+    expected = [math.log(1 + n / len({c for c, (_, t) in zip(of, rows, strict=True) if part in t})) / math.log(33) for part in (license_, header)]
+    assert all(abs(weigh(t) - x).max() < 0.07 for t, x in zip((license_, header), expected, strict=True))
+    own = rows[500][1].split()
+    assert weigh(" ".join(own[:80])).min() == 1  # neither text of few documents nor text of many copies
+    assert weigh(rows[2][1]).min() > 0.9
+    near = [sorted(map(tuple, minhash.near_duplicates(docs.repartition(n)).collect())) for n in (1, 40)]
+    assert near[0] == near[1]
+
+
 def test_torn_rows_are_compared_exactly():
     import pyarrow as pa
 

@@ -16,10 +16,12 @@ from .common import alone, arrow_rows, blocks, components, fresh, remember, sett
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands and samples in each: texts at 0.8 meet in a band but for (1 - 0.8**5)**16 = 0.2 %.
 BANDS, ROWS = 16, 5
-#: The idf is level up to this part of the documents and falls beyond it (see Weights).
+#: The idf is level up to this part of the classes, or two of them, and falls beyond it (see Weights).
 COMMON = 1 / 32
-#: Classes of documents whose shingles are counted at once, and shingles held for it at most.
-PART, PART_SHINGLES = 1024, 1 << 20
+#: Table of distinct counts: rows of it, places in a row, registers of a place, and registers of the count of all classes.
+TABLES, PLACES, REGISTERS, ALL_REGISTERS = 2, 1 << 16, 64, 1 << 12
+#: Bytes of the table that travel together, and tasks whose tables are merged at once.
+SLICE, FAN_IN = 1 << 16, 64
 #: Rows and bytes of vectors on one side of a bucket's comparison, columns of it at a time, and ids that are broadcast at most.
 CHUNK, CHUNK_BYTES, COLUMNS, BROADCAST_IDS = 1024, 4 << 20, 2048, 500_000
 #: A text with more than one of so many rows is hot: fewer than HOT texts can be.
@@ -79,26 +81,72 @@ def shingles(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(out, return_counts=True)
 
 
+def places(hashes: np.ndarray) -> list[np.ndarray]:
+    """Where the shingles lie in each row of the table of distinct counts."""
+    return [((hashes >> np.uint64(shift)) & np.uint64(PLACES - 1)).astype(np.int64) for shift in (0, 40)]
+
+
+def estimated(registers: np.ndarray) -> np.ndarray:
+    """HyperLogLog: distinct values of each row of registers, by linear counting where they are few."""
+    m = registers.shape[1]
+    alpha = 0.709 if m == 64 else 0.7213 / (1 + 1.079 / m)
+    raw = alpha * m * m / np.exp2(-registers.astype(np.float32)).sum(axis=1, dtype=float)
+    empty = (registers == 0).sum(axis=1)
+    return np.where((raw <= 2.5 * m) & (empty > 0), m * np.log(m / np.maximum(empty, 1)), raw)
+
+
+class Distinct:
+    """How many classes of documents hold a shingle, for all shingles at once, in memory of one size.
+
+    Each place has HyperLogLog registers of the classes whose shingles lie there; a shingle has a place in each
+    row, and the lesser count is its df. Registers are maxima, so the table of a corpus is the maximum of
+    its parts' tables whatever they are: it depends neither on how rows lie in tasks nor on repeated rows.
+    """
+
+    def __init__(self) -> None:
+        self.table = np.zeros((TABLES, PLACES * REGISTERS), np.uint8)
+        self.all = np.zeros(ALL_REGISTERS, np.uint8)
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Count a text's shingles for its class."""
+        value = class_of(hashes)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            value = (value ^ value >> shift) * factor & 0xFFFF_FFFF_FFFF_FFFF
+        rank = 53 - (value >> 12).bit_length()  # zeros before the first one of 52 bits, and one
+        at = value % ALL_REGISTERS
+        self.all[at] = max(self.all[at], rank)
+        for row, place in zip(self.table, places(hashes), strict=True):
+            where = place * REGISTERS + value % REGISTERS
+            row[where] = np.maximum(row[where], rank)
+
+    def slices(self) -> list[tuple[int, bytes]]:
+        """The registers that are not all empty, as (slice, bytes); slice -1 is the count of all classes."""
+        parts = self.table.reshape(-1, SLICE)
+        return [(-1, self.all.tobytes()), *((int(i), parts[i].tobytes()) for i in np.flatnonzero(parts.any(axis=1)))]
+
+    def take(self, number: int, data: bytes) -> None:
+        part = self.all if number < 0 else self.table.reshape(-1, SLICE)[number]
+        np.maximum(part, np.frombuffer(data, np.uint8), out=part)
+
+
 class Weights:
-    """TF-IDF: (1 + ln count) * idf, idf = min(1, ln(1 + N / df) / ln(1 + 1 / COMMON)).
+    """TF-IDF: (1 + ln count) * idf, idf = min(1, ln(1 + N / df) / ln(1 + 1 / COMMON)), and 1 for a df of one or two.
 
     df counts classes of documents, not documents (see common_shingles), so that a large group
     of copies does not make its own text worthless beside its edits; the idf falls for what
-    more than one class of 32 holds: licenses, headers, passages that many texts share. Those are
-    32 * (shingles of the average document) at most, a proven bound.
+    more than one class of 32 holds: licenses, headers, passages that many texts share. The idf is held by
+    place, TABLES * PLACES numbers at every size of the corpus; places that hold no shingle have 1.
     """
 
-    def __init__(self, documents: int, common: dict[int, int]):
-        self.keys = np.array(sorted(common), np.uint64)
-        df = np.array([common[int(k)] for k in self.keys], float)
-        self.idf = np.minimum(1, np.log1p(documents / df) / np.log1p(1 / COMMON)) if len(df) else df
+    def __init__(self, counts: Distinct):
+        classes = float(estimated(counts.all[None])[0])
+        df = np.stack([estimated(row.reshape(PLACES, REGISTERS)) for row in counts.table])
+        self.classes = classes
+        self.idf = np.where(df < 2.5, 1.0, np.minimum(1, np.log1p(classes / np.maximum(df, 1)) / np.log1p(1 / COMMON))).astype(np.float32)
 
     def __call__(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = 1 + np.log(counts)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-            w = np.where(self.keys[at] == hashes, w * self.idf[at], w)
-        return w
+        one, two = places(hashes)
+        return (1 + np.log(counts)) * np.maximum(self.idf[0][one], self.idf[1][two])  # the greater idf is that of the lesser df
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -151,48 +199,48 @@ def class_of(hashes: np.ndarray) -> int:
     return int((hashes * _ODD[0] + _ADD[0]).min())
 
 
+def merged(parts: pa.Table) -> pa.Table:
+    """The maximum of the same slice of several tables."""
+    rows = parts.column("registers").to_pylist()
+    out = np.frombuffer(rows[0], np.uint8).copy()
+    for row in rows[1:]:
+        np.maximum(out, np.frombuffer(row, np.uint8), out=out)
+    return pa.table({"part": parts.column("part").slice(0, 1), "slice": parts.column("slice").slice(0, 1), "registers": pa.array([out.tobytes()], pa.binary())})
+
+
 def common_shingles(docs: DataFrame) -> Weights:
     """The idf of all documents, in one pass over the texts.
 
-    Part by part (PART classes of documents that follow each other in a task), each shingle's
-    classes are counted, and shingles in more than COMMON of a part's classes are sent with their count, a few
-    rows a task; counts are summed by shingle. So a df is short of the truth by COMMON of the classes at most, and a
-    shingle common in a few parts alone (one host's header) counts as often as it is there. Near copies
-    of one class count once a part.
+    Each task counts its texts in a table of distinct counts (8 MB); tables are merged slice by slice, FAN_IN tasks at once, in as many
+    steps as that takes, and the driver gets the one table that is left. A class is documents of one sample (class_of), wherever they lie.
+    A df is an estimate: HyperLogLog's error (13 % of the df; a passage's shingles, held by the same classes, share it), and what else
+    lies in both of its places: an average document's shingles / PLACES of all classes, which is far below COMMON unless documents have
+    thousands of words; with longer ones the idf falls for all shingles alike. No class or shingle is left out.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_rows(docs.sparkSession)
+    schema = "part int, slice int, registers binary"
 
-    def named(batches):
+    def counted(batches):
         alone("minhash")
-        held: dict[int, list[np.ndarray]] = {}
-        size = total = 0
-
-        def common() -> pa.RecordBatch:
-            sets = [x[0] if len(x) == 1 else np.unique(np.concatenate(x)) for x in held.values()]
-            h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            pick = n > max(COMMON * len(sets), 2)
-            return pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(n[pick], pa.int64())], ["h", "n"])
-
-        for _, texts in blocks(batches):
+        seen, part = Distinct(), None
+        for batch, texts in blocks(batches):
+            part = batch.column("part")[0].as_py()
             for text in texts:
                 h = shingles(words_of(text))[0]
                 if len(h):
-                    held.setdefault(class_of(h), []).append(h)
-                    size += len(h)
-                if len(held) >= PART or size >= PART_SHINGLES:
-                    total += len(held)
-                    yield common()
-                    held.clear()
-                    size = 0
-        total += len(held)
-        yield common()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total])], ["h", "n"])
-
-    counts = settle(docs.select("text").mapInArrow(named, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    classes = counts.where("h is null").agg(F.sum("n")).first()[0] or 0
-    common = counts.where(F.col("h").isNotNull() & (F.col("n") > COMMON * classes))
-    return Weights(classes, {int(np.int64(r["h"]).view(np.uint64)): r["n"] for r in common.collect()})
+                    seen.add(h)
+        for number, data in seen.slices() if part is not None else ():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([data], pa.binary())], ["part", "slice", "registers"])
+
+    tables = settle(docs.select("text", F.spark_partition_id().alias("part")).mapInArrow(counted, schema))
+    last = tables.agg(F.max("part")).first()[0] or 0
+    while last:
+        tables = tables.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("part", "slice").applyInArrow(merged, schema)
+        last //= FAN_IN
+    counts = Distinct()
+    for row in tables.select("slice", "registers").toLocalIterator():  # one table: its size is fixed
+        counts.take(row["slice"], row["registers"])
+    return Weights(counts)
 
 
 def key_of(words: list[str]) -> bytes:
