@@ -1,6 +1,7 @@
 """Places of tokens, functions of code points, rules that are off, files by name, and the command line."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -71,6 +72,7 @@ def test_named_files_and_command_line(spark, tmp_path, capsys, monkeypatch):
     got = files.named_files(spark, [str(tmp_path / "d"), str(tmp_path / "odd.txt"), str(tmp_path / "d"), str(tmp_path / "d" / "a.py")])
     assert sorted(r["file"].rsplit("/", 1)[1] for r in got.collect()) == ["a.py", "odd.txt"]
     monkeypatch.chdir(tmp_path / "d")
+    assert cli.main(["lint", str(tmp_path / "d"), "--context", "1"], spark) == 1 and "\n    | tên = 1\n    | ^\n    | \n    suggestion: ten" in capsys.readouterr().out
     assert cli.main(["lint", str(tmp_path / "d"), "--fix"], spark) == 1
     assert "[VL001]" in capsys.readouterr().out and (tmp_path / "d" / "a.py").read_text() == "ten = 1\n"
     assert cli.main(["lint", str(tmp_path / "none")], spark) == 3
@@ -97,6 +99,18 @@ def test_text_report(spark):
     assert report.split("\n")[1:] == ["    | tên = 2", "    | ^", "    suggestion: ten or ten", "    see: " + reports.BASE_URL + "VL001", ""]
 
 
+def test_text_report_context_and_colour(spark):
+    rows = sources(spark, [("f.py", "a = 1\nb = 1\ntên = 2\nc = 1\nd = 1\ntên = 3", "Python")])
+    found = engine.lint(rows).where("rule_id = 'VL001'")
+    told = [r["report"].split("\n") for r in reports.text_reports(rows, found, context=1).orderBy("start").collect()]
+    assert told[0][1:5] == ["    | b = 1", "    | tên = 2", "    | ^", "    | c = 1"] and told[1][1:4] == ["    | d = 1", "    | tên = 3", "    | ^"]
+    wide = reports.text_reports(rows, found, context=9).orderBy("start").first()["report"].split("\n")
+    assert [x[6:] for x in wide[1:8]] == ["a = 1", "b = 1", "tên = 2", "^", "c = 1", "d = 1", "tên = 3"]
+    plain = [r["report"] for r in reports.text_reports(rows, found, True).orderBy("start").collect()]
+    bright = [r["report"] for r in reports.text_reports(rows, found, True, color=True).orderBy("start").collect()]
+    assert all("\x1b[1mf.py:" in x and "\x1b[32m^\x1b[0m" in x for x in bright) and [re.sub("\x1b\\[[0-9]+m", "", x) for x in bright] == plain
+
+
 def test_corpus_and_history(spark):
     rows = spark.createDataFrame([("r", "b.py", "ten if x9 42 tên ten"), ("r", "a.py", "ten"), ("r", "z.txt", "zz"), ("q", "c.py", "getUser")], "repo string, path string, source string")
     curated = spark.createDataFrame([("getUser", 0, 1.0)], "id string, label int, confidence double")

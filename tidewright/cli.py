@@ -27,6 +27,8 @@ def arguments() -> argparse.ArgumentParser:
     lint.add_argument("--max-violations", type=int, default=0, help="per source; counts where no configuration file is found")
     lint.add_argument("--include", action="append", default=[], help="a pattern of paths below folders")
     lint.add_argument("--exclude", action="append", default=[], help="a pattern of paths to leave out")
+    lint.add_argument("--context", type=int, metavar="N", help="show source lines, with N before and after, suggestions and rules (text only)")
+    lint.add_argument("--no-color", action="store_true", help="no colours where the output is a terminal")
     lint.add_argument("--fix", action="store_true", help="write fixed sources")
     lint.add_argument("--fix-style", choices=("snake", "camel"), default="snake")
     modes.add_parser("classify", help="classes of names, a name a line").add_argument("files", nargs="+")
@@ -43,7 +45,11 @@ def _lint(spark: SparkSession, args) -> int:
         project.lint.max_violations = args.max_violations
     sources = files.named_files(spark, args.files, project.include + args.include, project.exclude + args.exclude).cache()
     found = engine.without_doubles(engine.lint(sources, project.lint)).cache()
-    lines = found.orderBy("file", "start", "rule_id").select(api.FORMATS[args.format]().alias("out"))
+    if args.format == "text" and args.context is not None:
+        shown = reports.text_reports(sources, found, True, sys.stdout.isatty() and not args.no_color, args.context)
+        lines = shown.orderBy("file", "start", "rule_id").select(F.rtrim("report", F.lit("\n")).alias("out"))
+    else:
+        lines = found.orderBy("file", "start", "rule_id").select(api.FORMATS[args.format]().alias("out"))
     for row in lines.toLocalIterator():
         print(row["out"])
     if args.fix:

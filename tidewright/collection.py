@@ -165,6 +165,29 @@ def text_reports(spark, sf):
     return reports.text_reports(rows, engine.lint(rows)).withColumn("report", F.md5("report"))
 
 
+def _styled(code: int, part: str) -> str:
+    return f"chr(27) || '[{code}m' || {part} || chr(27) || '[0m'"
+
+
+@query(
+    "z03_report_context",
+    _ALL + f""", lined AS (SELECT f.*, string_split(s.source, chr(10)) AS l FROM found f JOIN ({SQL_CODE}) s ON s.file = f.file)
+SELECT file, start, rule_id, md5({_styled(1, "file || ':' || line || ':' || col || ': '")}
+  || CASE severity WHEN 'warning' THEN {_styled(33, "'warning'")} WHEN 'info' THEN {_styled(36, "'info'")} ELSE {_styled(31, "'error'")} END
+  || ' ' || {_styled(2, "'[' || rule_id || ']'")} || ': ' || message || chr(10)
+  || CASE WHEN line <= len(l) THEN array_to_string(list_transform(l[greatest(line - 2, 1):line - 1], lambda x: {_styled(2, "'    | ' || x || chr(10)")}), '') ELSE '' END
+  || {_styled(2, "'    | ' || CASE WHEN line <= len(l) THEN l[line] ELSE l[1] END || chr(10)")}
+  || '    | ' || repeat(' ', col - 1) || {_styled(32, "'^'")} || chr(10)
+  || CASE WHEN line <= len(l) THEN array_to_string(list_transform(l[line + 1:line + 2], lambda x: {_styled(2, "'    | ' || x || chr(10)")}), '') ELSE '' END
+  || CASE WHEN fixes <> '' THEN {_styled(36, "'    suggestion: ' || replace(fixes, '|', ' or ')")} || chr(10) ELSE '' END
+  || {_styled(2, "'    see: " + reports.BASE_URL + "' || rule_id || chr(10)")}) AS report FROM lined""",
+)
+def report_context(spark, sf):
+    """Reports as a terminal shows them: colours, two lines before and after, and where the rule is described."""
+    rows = code_files(table(spark, sf, "documents"))
+    return reports.text_reports(rows, engine.lint(rows), url=True, color=True, context=2).withColumn("report", F.md5("report"))
+
+
 @query(
     "a14_scores",
     f"WITH r AS ({ORACLE_SQL['a14_report']}), x AS (SELECT *, coalesce(precision, 0) AS p, coalesce(recall, 0) AS q FROM r) SELECT round(sum(hits)::DOUBLE / sum(support)::DOUBLE, 9) AS accuracy, round(avg(p), 9) AS precision, round(avg(q), 9) AS recall, round(avg(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END), 9) AS f1 FROM x",

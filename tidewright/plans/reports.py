@@ -95,20 +95,31 @@ def summary(files: DataFrame, diagnostics: DataFrame) -> DataFrame:
 BASE_URL = "https://tidewright.invalid/rules/"
 
 
-def text_report(source: bool = True, url: bool = False) -> Column:
-    """The line of a diagnostic, its source line (column ``source``) with a caret, its suggestions, and where its rule is described.
-
-    A line past the end shows the first one."""
-    head = F.format_string("%s:%d:%d: %s [%s]: %s\n", "file", "line", "col", "severity", "rule_id", "message")
-    lines = F.split("source", "\n")
-    shown = F.coalesce(F.when(F.col("line") <= F.size(lines), F.get(lines, F.col("line") - 1)), F.get(lines, F.lit(0)))
-    caret = F.when(F.col("col") > 0, F.concat(F.lit("    | "), F.repeat(F.lit(" "), F.col("col") - 1), F.lit("^\n"))).otherwise("")
-    excerpt = F.when((F.col("source") != "") & (F.col("line") > 0), F.concat(F.lit("    | "), shown, F.lit("\n"), caret)).otherwise("")
-    fixes = F.when(F.size("fixes") > 0, F.concat(F.lit("    suggestion: "), F.array_join("fixes", " or "), F.lit("\n"))).otherwise("")
-    return F.concat(head, *([excerpt] if source else []), fixes, *([F.lit("    see: " + BASE_URL), "rule_id", F.lit("\n")] if url else []))
-
-
-def text_reports(files: DataFrame, diagnostics: DataFrame, url: bool = False) -> DataFrame:
+#: Terminal codes of the report's parts.
+STYLES = {"red": 31, "green": 32, "yellow": 33, "cyan": 36, "bold": 1, "dim": 2}
+
+
+def text_report(source: bool = True, url: bool = False, color: bool = False, context: int = 0) -> Column:
+    """The line of a diagnostic, its source line (column ``source``) with a caret and ``context`` lines before and after it, its suggestions,
+    and where its rule is described; with terminal colours if asked.
+
+    A line past the end shows the first one, without context."""
+    style = lambda name, *parts: F.concat(F.lit(f"\x1b[{STYLES[name]}m"), *parts, F.lit("\x1b[0m")) if color else F.concat(*parts)
+    level = F.when(is_error(), style("red", F.lit("error"))).when(F.col("severity") == "warning", style("yellow", F.lit("warning"))).otherwise(style("cyan", F.lit("info"))) if color else F.col("severity")
+    place = style("bold", F.format_string("%s:%d:%d: ", "file", "line", "col"))
+    head = F.concat(place, level, F.lit(" "), style("dim", F.lit("["), F.col("rule_id"), F.lit("]")), F.lit(": "), F.col("message"), F.lit("\n"))
+    lines, at = F.split("source", "\n"), F.col("line")
+    shown = F.coalesce(F.when(at <= F.size(lines), F.get(lines, at - 1)), F.get(lines, F.lit(0)))
+    quoted = lambda text: style("dim", F.lit("    | "), text, F.lit("\n"))
+    caret = F.when(F.col("col") > 0, F.concat(F.lit("    | "), F.repeat(F.lit(" "), F.col("col") - 1), style("green", F.lit("^")), F.lit("\n"))).otherwise("")
+    around = lambda first, n: [F.when(at <= F.size(lines), F.array_join(F.transform(F.slice(lines, first, n), quoted), "")).otherwise("")] if context else []
+    before, after = around(F.greatest(at - context, F.lit(1)), F.least(at - 1, F.lit(context))), around(at + 1, F.lit(context))
+    excerpt = F.when((F.col("source") != "") & (at > 0), F.concat(*before, quoted(shown), caret, *after)).otherwise("")
+    fixes = F.when(F.size("fixes") > 0, F.concat(style("cyan", F.lit("    suggestion: "), F.array_join("fixes", " or ")), F.lit("\n"))).otherwise("")
+    return F.concat(head, *([excerpt] if source else []), fixes, *([style("dim", F.lit("    see: " + BASE_URL), F.col("rule_id"), F.lit("\n"))] if url else []))
+
+
+def text_reports(files: DataFrame, diagnostics: DataFrame, url: bool = False, color: bool = False, context: int = 0) -> DataFrame:
     """(file, start, rule_id, report) of diagnostics with their files' (file, source) lines."""
     rows = diagnostics.join(files.select("file", "source"), "file")
-    return rows.select("file", "start", "rule_id", text_report(url=url).alias("report"))
+    return rows.select("file", "start", "rule_id", text_report(url=url, color=color, context=context).alias("report"))
