@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grammars import grammar_of
 from ..functions.text import has_vietnamese
-from .lexer import name_kind, pieces, placed, token_kind
+from .lexer import lexed, name_kind, small_batches, token_kind
 
 #: By grammar, the types of nodes that are identifiers, comments and strings.
 NODE_TYPES = {
@@ -94,8 +94,10 @@ def unified_tokens(sources: DataFrame, nodes: DataFrame, keep_space: bool = Fals
     token = lambda pos, piece, start, line, col, kind: F.struct(pos.alias("pos"), piece.alias("raw"), start.alias("start"), line.alias("line"), col.alias("col"), kind.alias("kind"))
     of_tree = F.transform("tree", lambda n, i: token(i, raw(n), n["start"], n["row"] + 1, n["column"] + 1, n["kind"]))
     none = F.lit(None).cast("string")
-    lexed = F.transform(placed(F.concat(pieces(F.col("_text"), F.col("language")), F.array(F.lit(""))), keep_space), lambda t: token(t["pos"], t["raw"], t["start"], t["line"], t["col"], none))
-    found = rows.select("row", "file", "language", F.explode(F.when(F.col("tree").isNotNull(), of_tree).otherwise(lexed)).alias("t")).select("row", "file", "language", "t.*")
+    small_batches(sources.sparkSession)
+    rows = rows.withColumn("_l", lexed(F.when(F.col("tree").isNull(), F.col("_text")), F.col("language"), keep_space))
+    built_in = F.transform("_l", lambda t: token(t["pos"], t["raw"], t["start"], t["line"], t["col"], none))
+    found = rows.select("row", "file", "language", F.explode(F.when(F.col("tree").isNotNull(), of_tree).otherwise(built_in)).alias("t")).select("row", "file", "language", "t.*")
     if not end:
         found = found.where("raw <> ''")
     raw, kind = F.col("raw"), F.col("kind")

@@ -39,10 +39,8 @@ def limited(found: DataFrame, most: int) -> DataFrame:
     ``row``, so that those of one name, or of none, have a limit each."""
     if most <= 0:
         return found
-    counts = found.groupBy("row", "source_rule").count()
-    sofar = F.coalesce(F.sum("count").over(Window.partitionBy("row").orderBy("source_rule").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = counts.withColumn("_b", sofar).where(F.col("_b") < most).select("row", "source_rule")
-    return found.join(kept, ["row", "source_rule"], "left_semi").select(*found.columns)
+    before = F.rank().over(Window.partitionBy("row").orderBy("source_rule")) - 1  # what the source's earlier rules found
+    return found.withColumn("_b", before).where(F.col("_b") < most).select(*found.columns)
 
 
 #: Bytes of a source that is linted at most; a longer one is told as broken.
