@@ -73,8 +73,8 @@ def lint(sources: DataFrame, config: Config | None = None, longest: int = LONGES
 
 def without_doubles(diagnostics: DataFrame) -> DataFrame:
     """Drop VL003 where a VL004 of the same source starts at the same place."""
-    same = diagnostics.where("rule_id = 'VL004'").select(F.col("row").alias("_row"), F.col("start").alias("_start")).distinct()
-    return diagnostics.join(same, (F.col("row") == F.col("_row")) & (F.col("start") == F.col("_start")) & (F.col("rule_id") == "VL003"), "left_anti")
+    there = F.max(F.col("rule_id") == "VL004").over(Window.partitionBy("row", "start"))
+    return diagnostics.withColumn("_there", there).where(~((F.col("rule_id") == "VL003") & F.col("_there"))).select(*diagnostics.columns)
 
 
 def stats(diagnostics: DataFrame) -> DataFrame:
