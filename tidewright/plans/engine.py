@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..operators.lexer import tokens
+from ..operators.lexer import small_batches, tokens
 from ..operators.rules import BUILT_IN, run_rules
 
 SEVERITIES = ("info", "warning", "error", "fatal")
@@ -102,18 +103,30 @@ def apply_fixes(sources: DataFrame, diagnostics: DataFrame, camel: bool = False)
     fixable = diagnostics.where((F.size("fixes") > 0) & (F.col("start") < F.col("end")))
     fix = F.when(F.lit(camel) & (F.size("fixes") > 1), F.get("fixes", F.lit(1))).otherwise(F.get("fixes", F.lit(0)))
     chosen = fixable.withColumn("_n", F.row_number().over(one)).where("_n = 1").groupBy(F.col(by[0]).alias("_by")).agg(F.sort_array(F.collect_list(F.struct("start", "end", fix.alias("fix")))).alias("edits"))
-    raw = F.decode(F.encode("source", "UTF-8"), "ISO-8859-1")  # a character a byte, so that offsets hold
-    zero = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-
-    def splice(acc, e):
-        text = F.decode(F.encode(e["fix"], "UTF-8"), "ISO-8859-1")
-        piece = F.concat(acc["done"], F.substring(F.col("_raw"), acc["at"] + 1, e["start"] - acc["at"]), text)
-        return F.when(e["start"] >= acc["at"], F.struct(piece.alias("done"), e["end"].alias("at"))).otherwise(acc)
-
-    whole = lambda acc: F.concat(acc["done"], F.substring(F.col("_raw"), acc["at"] + 1, F.lit(1 << 30)))
-    joined = sources.join(chosen, F.col(by[0]).eqNullSafe(F.col("_by")), "left").withColumn("_raw", raw)
-    fixed = F.decode(F.encode(F.aggregate("edits", zero, splice, whole), "ISO-8859-1"), "UTF-8")
-    return joined.select(*dict.fromkeys((*by, "file")), F.coalesce(fixed, F.col("source")).alias("fixed"))
+    small_batches(sources.sparkSession)
+
+    @F.arrow_udf("string")
+    def spliced(sources: pa.Array, edits: pa.Array) -> pa.Array:
+        return _spliced(sources, edits)
+
+    joined = sources.join(chosen, F.col(by[0]).eqNullSafe(F.col("_by")), "left")
+    return joined.select(*dict.fromkeys((*by, "file")), F.when(F.col("edits").isNull(), F.col("source")).otherwise(spliced(F.make_valid_utf8(F.when(F.col("edits").isNotNull(), F.col("source"))), "edits")).alias("fixed"))
+
+
+def _spliced(sources: pa.Array, edits: pa.Array) -> pa.Array:
+    """Sources with (start, end, fix) put into their bytes in order; one that starts before the last one's end is left out."""
+
+    def one(source: str | None, edits: list | None) -> str | None:
+        if source is None or edits is None:
+            return None
+        raw, at, out = source.encode(), 0, []
+        for e in edits:
+            if e["start"] >= at:
+                out += [raw[at : e["start"]], e["fix"].encode()]
+                at = e["end"]
+        return b"".join([*out, raw[at:]]).decode(errors="replace")
+
+    return pa.array([one(s.as_py(), e.as_py()) for s, e in zip(sources, edits, strict=True)], pa.string())
 
 
 def text_line() -> Column:
