@@ -100,26 +100,38 @@ STYLES = {"red": 31, "green": 32, "yellow": 33, "cyan": 36, "bold": 1, "dim": 2}
 
 
 def text_report(source: bool = True, url: bool = False, color: bool = False, context: int = 0) -> Column:
-    """The line of a diagnostic, its source line (column ``source``) with a caret and ``context`` lines before and after it, its suggestions,
-    and where its rule is described; with terminal colours if asked.
-
-    A line past the end shows the first one, without context."""
+    """The line of a diagnostic, its source line (column ``_text``, null if there is none) with a caret and ``context`` lines before and after it
+    (arrays ``_before`` and ``_after``), its suggestions, and where its rule is described; with terminal colours if asked."""
     style = lambda name, *parts: F.concat(F.lit(f"\x1b[{STYLES[name]}m"), *parts, F.lit("\x1b[0m")) if color else F.concat(*parts)
     level = F.when(is_error(), style("red", F.lit("error"))).when(F.col("severity") == "warning", style("yellow", F.lit("warning"))).otherwise(style("cyan", F.lit("info"))) if color else F.col("severity")
     place = style("bold", F.format_string("%s:%d:%d: ", "file", "line", "col"))
     head = F.concat(place, level, F.lit(" "), style("dim", F.lit("["), F.col("rule_id"), F.lit("]")), F.lit(": "), F.col("message"), F.lit("\n"))
-    lines, at = F.split("source", "\n"), F.col("line")
-    shown = F.coalesce(F.when(at <= F.size(lines), F.get(lines, at - 1)), F.get(lines, F.lit(0)))
     quoted = lambda text: style("dim", F.lit("    | "), text, F.lit("\n"))
     caret = F.when(F.col("col") > 0, F.concat(F.lit("    | "), F.repeat(F.lit(" "), F.col("col") - 1), style("green", F.lit("^")), F.lit("\n"))).otherwise("")
-    around = lambda first, n: [F.when(at <= F.size(lines), F.array_join(F.transform(F.slice(lines, first, n), quoted), "")).otherwise("")] if context else []
-    before, after = around(F.greatest(at - context, F.lit(1)), F.least(at - 1, F.lit(context))), around(at + 1, F.lit(context))
-    excerpt = F.when((F.col("source") != "") & (at > 0), F.concat(*before, quoted(shown), caret, *after)).otherwise("")
+    around = lambda c: [F.array_join(F.transform(c, quoted), "")] if context else []
+    excerpt = F.when(F.col("_text").isNotNull(), F.concat(*around("_before"), quoted(F.col("_text")), caret, *around("_after"))).otherwise("")
     fixes = F.when(F.size("fixes") > 0, F.concat(style("cyan", F.lit("    suggestion: "), F.array_join("fixes", " or ")), F.lit("\n"))).otherwise("")
     return F.concat(head, *([excerpt] if source else []), fixes, *([style("dim", F.lit("    see: " + BASE_URL), F.col("rule_id"), F.lit("\n"))] if url else []))
 
 
 def text_reports(files: DataFrame, diagnostics: DataFrame, url: bool = False, color: bool = False, context: int = 0) -> DataFrame:
-    """(file, start, rule_id, report) of diagnostics with their files' (file, source) lines."""
-    rows = diagnostics.join(files.select("file", "source"), "file")
+    """(file, start, rule_id, report) of diagnostics with their files' (file, source) lines. A line past the end shows the first one, without context.
+
+    Sources are split once and joined line by line, so that a diagnostic meets its own lines alone. Sources of one name are told apart by their place in
+    ``files``, which has to come out alike when it is read again.
+    """
+    split = files.select("file", F.coalesce("source", F.lit("")).alias("_s"), F.monotonically_increasing_id().alias("_source"))
+    split = split.select(F.col("file").alias("_file"), "_source", (F.col("_s") == "").alias("_none"), F.split("_s", "\n").alias("_lines"))
+    part = lambda first, n: F.slice("_lines", first, n)
+    line = lambda text, i: F.struct(
+        (i + 1).alias("at"), text.alias("text"), part(F.greatest(i + 1 - context, F.lit(1)), F.least(i, F.lit(context))).alias("before"), part(i + 2, F.lit(context)).alias("after")
+    )
+    none = F.array().cast("array<string>")
+    past = F.struct(F.lit(0).alias("at"), F.get("_lines", F.lit(0)).alias("text"), none.alias("before"), none.alias("after"))  # what a line past the end shows
+    lines = split.select("_file", "_source", "_none", F.explode(F.concat(F.array(past), F.transform("_lines", line))).alias("l"))
+    sizes = split.select(F.col("_file").alias("file"), "_source", F.size("_lines").alias("_n"))
+    rows = diagnostics.join(sizes, "file").withColumn("_at", F.when(F.col("line").between(1, F.col("_n")), F.col("line")).otherwise(0)).withColumnRenamed("_source", "_of")
+    rows = rows.join(lines, (F.col("file") == F.col("_file")) & (F.col("_of") == F.col("_source")) & (F.col("_at") == F.col("l.at")))
+    shown = F.when(~F.col("_none") & (F.col("line") > 0), F.col("l.text"))
+    rows = rows.withColumns({"_text": shown, "_before": F.col("l.before"), "_after": F.col("l.after")})
     return rows.select("file", "start", "rule_id", text_report(url=url, color=color, context=context).alias("report"))
