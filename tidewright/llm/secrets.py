@@ -65,7 +65,7 @@ PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Names of weight 1 need all points and a literal that is more than words joined by signs.
 NAMED_SCORE = 5
 #: Constants add so many characters to a literal at most, the next ones stay as they are written: what a program pastes together beyond
-#: that is no credential, and constants that double each other would fill the memory. Of longer bare words the head alone is held against DUMMY.
+#: that is no credential, and constants that double each other would fill the memory. Of longer bare words the head is held against DUMMY, and their characters.
 FOLLOWED, HEAD = 2048, 256
 #: What may join words, and one in so many letters of either case that makes a literal mixed (CamelCase has fewer).
 JOINTS, CASED = "._:/-, ", 4
@@ -90,12 +90,18 @@ def only_words(counts: Counter) -> bool:
     return all(c.isalpha() or c in JOINTS for c in counts) and not mixed_case(counts)
 
 
+def is_dummy(n: int, counts: Counter, said: str) -> bool:
+    """Whether the whole literal is a placeholder. A bare word has neither spaces nor brackets: one that is longer than its head is a placeholder if it says
+    your-something, or is one sign over and over, which its characters tell."""
+    return DUMMY.match(said) is not None and (n == len(said) or said[:4].lower() == "your" or len({c.lower() for c in counts}) == 1)
+
+
 def literal_points(n: int, counts: Counter, said: str) -> int:
     """0 to 3: length, mix of characters, entropy; 0 for dummies and for words of a script without case.
 
     n and counts are the literal's length and characters; of a bare word of more than HEAD characters, said is its head.
     """
-    if n < 8 or DUMMY.match(said):
+    if n < 8 or is_dummy(n, counts, said):
         return 0
     if all(c.isalpha() for c in counts):
         if not any(c.isupper() or c.islower() for c in counts):
