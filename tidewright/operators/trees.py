@@ -87,7 +87,7 @@ def unified_tokens(sources: DataFrame, nodes: DataFrame, keep_space: bool = Fals
     name share its tree; sources without a name have none; nodes past a source's end give what is left of it. Null sources are empty.
     """
     text = F.coalesce("source", F.lit(""))
-    rows = sources.select(F.monotonically_increasing_id().alias("row"), "file", "language", text.alias("_text"), F.encode(text, "UTF-8").alias("_bytes"))
+    rows = sources.select(F.monotonically_increasing_id().alias("row"), "file", "language", F.encode(text, "UTF-8").alias("_bytes"))  # one form of a source goes to the join
     trees = walked(nodes, keywords=keywords).where(grammar_of(F.col("file")).isin(*NODE_TYPES))
     rows = rows.join(trees, "file", "left")
     raw = lambda n: F.decode(F.substring(F.col("_bytes"), n["start"] + 1, n["end"] - n["start"]), "UTF-8")
@@ -95,7 +95,7 @@ def unified_tokens(sources: DataFrame, nodes: DataFrame, keep_space: bool = Fals
     of_tree = F.transform("tree", lambda n, i: token(i, raw(n), n["start"], n["row"] + 1, n["column"] + 1, n["kind"]))
     none = F.lit(None).cast("string")
     small_batches(sources.sparkSession)
-    rows = rows.withColumn("_l", lexed(F.when(F.col("tree").isNull(), F.col("_text")), F.col("language"), keep_space))
+    rows = rows.withColumn("_l", lexed(F.when(F.col("tree").isNull(), F.decode("_bytes", "UTF-8")), F.col("language"), keep_space))
     built_in = F.transform("_l", lambda t: token(t["pos"], t["raw"], t["start"], t["line"], t["col"], none))
     found = rows.select("row", "file", "language", F.explode(F.when(F.col("tree").isNotNull(), of_tree).otherwise(built_in)).alias("t")).select("row", "file", "language", "t.*")
     if not end:
