@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..operators.lexer import small_batches, tokens
-from ..operators.rules import BUILT_IN, run_rules
+from ..operators.rules import BUILT_IN, MARKED, run_rules
 
 SEVERITIES = ("info", "warning", "error", "fatal")
 
@@ -62,7 +62,7 @@ def lint(sources: DataFrame, config: Config | None = None, longest: int = LONGES
     keyed = sources if "row" in sources.columns else sources.withColumn("row", F.monotonically_increasing_id())
     why = broken(keyed, longest)
     whole = keyed.withColumn("_why", why).withColumn("source", F.when(F.col("_why").isNull(), F.col("source")).otherwise(""))
-    found = run_rules(tokens(whole.drop("_why")), config.enabled())
+    found = run_rules(tokens(whole.drop("_why"), marked=MARKED.issuperset(config.enabled())), config.enabled())
     none = F.lit(0)
     bad = keyed.select(
         "row", "file", F.lit("VL000").alias("source_rule"), F.lit("VL000").alias("rule_id"), F.lit("error").alias("severity"), F.concat(F.lit("Lexer error: "), why).alias("message"), F.lit("").alias("identifier"),
