@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, arrow_rows, blocks
-from .textfeatures import sample_rows
+from .common import alone, arrow_rows, blocks, settle
 
 #: Words: runs without white space; symbols that are counted.
 WORD, SYMBOLS = re.compile(r"[^\x20\x09-\x0D]+"), "#*$%&|<>"
@@ -19,8 +18,10 @@ WORD, SYMBOLS = re.compile(r"[^\x20\x09-\x0D]+"), "#*$%&|<>"
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 #: Statistics of a text that the forest splits on, in their order.
 STATISTICS = ("words", "word_length", "symbols", "repeated_lines", "repeated_words", "capitals", "marks", "letterless", "distinct")
-#: Trees, rows of a tree, and the part of them that are labelled bad; labelled rows of a class that the fit reads at most.
-TREES, ROWS, BAD, SAMPLE = 200, 256, 0.02, 1000
+#: Trees, rows of a tree, and the part of them that are labelled bad.
+TREES, ROWS, BAD = 200, 256, 0.02
+#: Significant digits of the values that usual ranges are read from, and decimals of a score.
+DIGITS, DECIMALS = 3, 5
 #: Part of the labelled good rows that lies outside a statistic's usual range, at either end, and that the threshold may reject.
 UNUSUAL, LOST = 0.005, 0.002
 #: A usual range is no narrower than this.
@@ -140,90 +141,136 @@ class Model:
     some rule of the good rows is told apart from them, in few steps where few rows break it so far.
     """
 
-    def __init__(self, sample: list[tuple[int, list[float]]]):
-        bad = np.array([label == 0 for label, _ in sample], bool)
+    def __init__(self) -> None:
         self.forest, self.limit = None, math.inf
-        if bad.any() and not bad.all():
-            x = np.array([s for _, s in sample])
-            self.low, self.high = np.quantile(x[~bad], [UNUSUAL, 1 - UNUSUAL], axis=0)
-            self.width = self.high - self.low + LEAST_WIDTH
-            beyond = self.beyond(x)
-            self.forest = Forest(beyond, bad)
-            self.limit = threshold(self.forest.scores(beyond), bad)
+
+    def grow(self, low: np.ndarray, high: np.ndarray, x: np.ndarray, bad: np.ndarray) -> None:
+        """The forest of rows that trees are drawn from, within ranges of all good rows."""
+        self.low, self.high, self.width = low, high, high - low + LEAST_WIDTH
+        self.forest = Forest(self.beyond(x), bad)
 
     def beyond(self, x: np.ndarray) -> np.ndarray:
         """How far statistics lie outside their usual range, in widths of it; below it counts negative."""
         return (np.maximum(x - self.high, 0) + np.minimum(x - self.low, 0)) / self.width
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return self.forest.scores(self.beyond(x)) if self.forest else np.zeros(len(x))
-
-    def rejects(self, x: np.ndarray) -> np.ndarray:
-        return self.scores(x) > self.limit
+        """Anomaly by row, to DECIMALS. Rows within all ranges are alike, and scored once."""
+        if not self.forest:
+            return np.zeros(len(x))
+        beyond = self.beyond(x)
+        out = beyond.any(axis=1)
+        scores = np.full(len(x), self.forest.scores(np.zeros((1, len(STATISTICS))))[0])
+        scores[out] = self.forest.scores(beyond[out])
+        return np.round(scores, DECIMALS)
 
 
-def threshold(scores: np.ndarray, bad: np.ndarray) -> float:
+def threshold(scores: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
     """Of the limits that reject LOST of the good rows at most, the one in the middle of the widest gap among those that find most bad rows.
 
-    A limit lies between two scores that follow each other; what it rejects is above it.
+    ``scores`` rise, each with how many good and bad rows have it. A limit lies between two scores that follow each other; what it rejects is above it.
     """
-    s = np.unique(scores)
-    limits = np.concatenate([(s[:-1] + s[1:]) / 2, [math.inf]])
-    lost = (scores[~bad][None, :] > limits[:, None]).mean(axis=1)
-    caught = (scores[bad][None, :] > limits[:, None]).sum(axis=1)
-    caught = np.where(lost <= LOST, caught, -1)
-    gaps = np.concatenate([np.diff(s), [0.0]])
+    limits = np.concatenate([(scores[:-1] + scores[1:]) / 2, [math.inf]])
+    above = lambda n: n.sum() - np.cumsum(n)
+    caught = np.where(above(good) <= LOST * good.sum(), above(bad), -1)
+    gaps = np.concatenate([np.diff(scores), [0.0]])
     best = np.flatnonzero(caught == caught.max())
     return float(limits[best[np.argmax(gaps[best])]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from labelled whole texts (quality 0 or 1) that the base rules pass, ``sample`` of each class at most (the bound), least by a hash of the id.
+def usual(good: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The UNUSUAL quantiles of each statistic over all rows of ``good``, at either end.
 
-    Null labels teach nothing; of several for one id the lowest counts, and of rows that repeat an id the one with the least text teaches.
+    Values count by their first DIGITS digits, some thousands of them whatever the number of rows; the driver gets how many rows have each.
+    """
+    power = F.when(F.col("v") > 0, F.floor(F.log10("v")) - (DIGITS - 1)).otherwise(0).cast("int")
+    values = good.select(F.posexplode("x").alias("i", "v")).select("i", power.alias("e"), F.round(F.col("v") / F.pow(F.lit(10.0), power)).cast("int").alias("m"))
+    counted = values.groupBy("i", "e", "m").agg(F.count(F.lit(1)).alias("n")).collect()
+    ends = []
+    for i in range(len(STATISTICS)):
+        v, n = map(np.array, zip(*sorted((float(f"{r['m']}e{r['e']}"), r["n"]) for r in counted if r["i"] == i), strict=True))
+        upto = np.cumsum(n)
+        ends.append([v[np.searchsorted(upto, q * upto[-1])] for q in (UNUSUAL, 1 - UNUSUAL)])
+    low, high = np.array(ends).T
+    return low, high
+
+
+def fit(rows: DataFrame, labels: DataFrame) -> Model:
+    """Learn from all ``measured`` rows that labels (quality 0 or 1) name and the base rules pass.
+
+    Every one of them counts in the usual ranges and in the limit. A tree has ROWS rows, as isolation forests do; they are drawn from as many rows of a
+    class as all trees have together, those least by a hash of the id. Null labels teach nothing; of several for one id the lowest counts, and of rows
+    that repeat an id the one with the least statistics teaches.
     """
     named = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    picked = sample_rows(named, "quality", sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    taught = settle(rows.where("x is not null").select("doc_id", "x").join(named, "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")))
+    bad = (F.col("quality") == 0).alias("bad")
+    n = {r["bad"]: r["count"] for r in taught.groupBy(bad).count().collect()}
+    model = Model()
+    if len(n) < 2:
+        return model
+    low, high = usual(taught.where("quality <> 0"))
+    h = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long")
+    share = F.when(bad, TREES * ROWS * BAD / n[True]).otherwise(TREES * ROWS / n[False]) * float(1 << 32)
+    drawn = taught.where(h < share).select("doc_id", bad, "x").orderBy("doc_id").collect()
+    is_bad = np.array([r["bad"] for r in drawn], bool)
+    if not is_bad.any() or is_bad.all():
+        return model
+    model.grow(low, high, np.array([r["x"] for r in drawn]), is_bad)
+
+    def scored(batches):
+        for batch in batches:
+            x = np.array(batch.column("x").to_pylist()).reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([pa.array(model.scores(x)), batch.column("bad")], ["score", "bad"])
+
+    told = taught.select("x", bad).mapInArrow(scored, "score double, bad boolean").groupBy("score").agg(F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad"))
+    model.limit = threshold(*np.array([tuple(r) for r in told.orderBy("score").collect()]).T)
+    return model
+
+
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_COUNTS = "doc_id long, " + ", ".join(f"{n} long" for n in NAMES) + ", base_failed boolean"
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, what the base rules count and say, and x, the statistics of every whole text (null where the base rules fail).
+
+    Null texts are empty and fail. One row a row in place, repeats and null ids included; no shuffle; other columns are not read; very long texts are read whole.
+    """
     arrow_rows(docs.sparkSession)
 
     def told(batches):
         alone("quality")
         for batch, texts in blocks(batches):
             found = [base_rules(t) for t in texts]
-            x = [None if fails(f[0]) else statistics(t, *f) for t, f in zip(texts, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(batch.column("quality").to_pylist(), pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
+            failed = [fails(f[0]) for f in found]
+            x = [None if no else statistics(t, *f) for t, f, no in zip(texts, found, failed, strict=True)]
+            columns = [batch.column("doc_id"), *(pa.array([f[0][i] for f in found], pa.int64()) for i in range(5)), pa.array(failed, pa.bool_()), pa.array(x, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *NAMES, "base_failed", "x"])
 
-    got = rows.mapInArrow(told, "doc_id long, quality int, x array<double>").where("x is not null").orderBy("doc_id").collect()
-    return Model([(r["quality"], list(r["x"])) for r in got])
+    return docs.select("doc_id", "text").mapInArrow(told, f"{_COUNTS}, x array<double>")
 
 
-def judged(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, anomaly of every whole text.
+def judged(rows: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, anomaly of ``measured`` rows.
 
-    kept: the base rules pass and the forest finds the text no more anomalous than its limit; anomaly is null where the base rules fail. Null texts are
-    empty and fail. One row a row in place, repeats and null ids included; no shuffle; other columns are not read; very long texts are read whole.
+    kept: the base rules pass and the forest finds the text no more anomalous than its limit; anomaly is null where the base rules fail.
     """
-    arrow_rows(docs.sparkSession)
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def rated(batches):
-        alone("quality")
-        for batch, texts in blocks(batches):
-            found = [base_rules(t) for t in texts]
-            failed = np.array([fails(f[0]) for f in found], bool)
-            x = np.array([statistics(t, *f) for t, f, no in zip(texts, found, failed, strict=True) if not no]).reshape(-1, len(STATISTICS))
-            scores, rejected = np.full(len(texts), np.nan), failed.copy()
+        for batch in batches:
+            failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
+            x = np.array(batch.column("x").drop_null().to_pylist()).reshape(-1, len(STATISTICS))
+            scores, rejected = np.full(len(failed), np.nan), failed.copy()
             if len(x) and model.forest:
                 scores[~failed] = model.scores(x)
                 rejected[~failed] = scores[~failed] > model.limit
-            columns = [batch.column("doc_id"), *(pa.array([f[0][i] for f in found], pa.int64()) for i in range(5)), pa.array(failed), pa.array(~rejected), pa.array(scores, pa.float64(), from_pandas=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names, "base_failed", "kept", "anomaly"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(~rejected), pa.array(scores, pa.float64(), from_pandas=True)], [*batch.schema.names[:-1], "kept", "anomaly"])
 
-    return docs.select("doc_id", "text").mapInArrow(rated, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean, anomaly double")
+    return rows.mapInArrow(rated, f"{_COUNTS}, kept boolean, anomaly double")
 
 
-def quality_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """judged docs by a model fitted on those that labels (doc_id, quality) names; see fit. An empty table gives no rows, and without labels
-    of both classes the base rules alone decide."""
-    return judged(docs, fit(docs, labels, sample))
+def quality_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """judged docs by a model fitted on those that labels (doc_id, quality) names; see fit. Each text is read and measured once. An empty table gives no
+    rows, and without labels of both classes the base rules alone decide."""
+    rows = settle(measured(docs))
+    return judged(rows, fit(rows, labels))
