@@ -59,14 +59,7 @@ def by_file(diagnostics: DataFrame, record: Column) -> DataFrame:
     """(file, records): each file's records in the order of ORDER."""
     placed = F.struct(*[F.col(c) for c in ORDER], F.monotonically_increasing_id().alias("_i"), record.alias("r"))
     rows = diagnostics.select("file", placed.alias("p"))
-    return rows.groupBy("file").agg(F.transform(F.array_sort(F.collect_list("p"), lambda a, b: _compare(a, b)), lambda x: x["r"]).alias("records"))
-
-
-def _compare(a: Column, b: Column) -> Column:
-    out = F.lit(0)
-    for c in reversed(ORDER):
-        out = F.when(a[c] < b[c], -1).when(a[c] > b[c], 1).otherwise(out)
-    return out
+    return rows.groupBy("file").agg(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["r"]).alias("records"))
 
 
 def json_documents(diagnostics: DataFrame) -> DataFrame:
