@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..operators.lexer import small_batches, tokens
-from ..operators.rules import BUILT_IN, MARKED, run_rules
+from ..operators.lexer import small_batches
+from ..operators.rules import BUILT_IN, find
 
 SEVERITIES = ("info", "warning", "error", "fatal")
 
@@ -30,7 +30,7 @@ class Config:
 def configured(found: DataFrame, config: Config) -> DataFrame:
     """Severities by the registering rule's entry, and rule names."""
     names = {r[0]: r[1] for r in C.RULES}
-    given = {k: v[1] for k, v in config.rules.items()}
+    given = {k: v[1] for k, v in config.rules.items() if k != "VL000"}
     mapped = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("source_rule")) if d else F.lit(None)
     return found.withColumn("severity", F.coalesce(mapped(given), F.col("severity"))).withColumn("rule_name", F.coalesce(mapped(names), F.lit("")))
 
@@ -60,16 +60,8 @@ def lint(sources: DataFrame, config: Config | None = None, longest: int = LONGES
     """
     config = config or Config()
     keyed = sources if "row" in sources.columns else sources.withColumn("row", F.monotonically_increasing_id())
-    why = broken(keyed, longest)
-    whole = keyed.withColumn("_why", why).withColumn("source", F.when(F.col("_why").isNull(), F.col("source")).otherwise(""))
-    found = run_rules(tokens(whole.drop("_why"), marked=MARKED.issuperset(config.enabled())), config.enabled())
-    none = F.lit(0)
-    bad = keyed.select(
-        "row", "file", F.lit("VL000").alias("source_rule"), F.lit("VL000").alias("rule_id"), F.lit("error").alias("severity"), F.concat(F.lit("Lexer error: "), why).alias("message"), F.lit("").alias("identifier"),
-        F.lit(1).alias("line"), F.lit(1).alias("col"), none.alias("start"), none.alias("end"), F.array().cast("array<string>").alias("fixes"),
-    ).where("message is not null")
-    told = limited(configured(found, config), config.max_violations)
-    return told.unionByName(bad.withColumn("rule_name", F.lit("")))
+    whole = keyed.withColumn("_why", broken(keyed, longest)).withColumn("source", F.when(F.col("_why").isNull(), F.col("source")))
+    return limited(configured(find(whole, config.enabled()), config), config.max_violations)
 
 
 def without_doubles(diagnostics: DataFrame) -> DataFrame:
