@@ -17,6 +17,9 @@ from tidewright.llm.common import checkpoint_folder, fresh, read_table
 #: Below this score a document's language is not told. Where the learned languages fall into two families, as the tables'
 #: do, no score is below 0.5, so that only documents of unknown language go; see identify_language.
 LEAST_SCORE = 0.2
+#: Pieces that a worker's tokenizer remembers in each of two generations: fewer than in packing alone, as executors still hold
+#: what the stages before took. Ids are the same.
+REMEMBERED = 100_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences of 4096 tokens; a null text is its end token, repeats are packed like any row."""
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=REMEMBERED)
 
 
 STAGES = [

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SALTS, alone, arrow_rows, blocks, gapless_rank, settle
-from .tokens import codec
+from .tokens import MEMORY_PIECES, codec
 
 #: The id that ends every document.
 END_ID = 2
@@ -63,7 +63,7 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]
     return {n: np.array(x, dtype=np.int64) for n, x in rows.items()}
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, size: int) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, size: int, remembered: int = MEMORY_PIECES) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of the pieces of every document.
 
     A document is its ids (null text: none) and END_ID, cut into pieces of ``size`` and a rest.
@@ -74,7 +74,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int) -> DataFrame:
     def cut(batches):
         alone("codec")
         for batch, texts in blocks(batches):
-            encode = codec(vocabulary, ids=True).encode
+            encode = codec(vocabulary, ids=True, remembered=remembered).encode
             keys, out = batch.column("doc_id").to_pylist(), []
             for key, ids in zip(keys, map(encode, texts), strict=True):
                 ids += end
@@ -89,16 +89,16 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", size: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", size: int = 4096, remembered: int = MEMORY_PIECES) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Texts are encoded once; the pieces, 40 bytes each, go to the checkpoint folder. The
     driver sees the histogram, ``size`` rows at most, and plans on it; pieces find their
     place by their rank among those of their length (ranked without sorting a whole
-    length). Repeated rows and null ids are packed like any other row; null text is
+    length). ``remembered`` bounds what a worker remembers of the vocabulary's work: memory against time, for equal ids. Repeated rows and null ids are packed like any other row; null text is
     END_ID alone; an empty table gives no rows.
     """
-    pieces = settle(token_pieces(docs, vocabulary, size))
+    pieces = settle(token_pieces(docs, vocabulary, size, remembered))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     table = places(pack_patterns(histogram, size))
     salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int")

@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import alone, arrow_rows, blocks, remember
+from .common import alone, arrow_rows, blocks, remember, trim
 
 #: Texts of more characters are cut at safe boundaries into parts of about as many.
 PART_CHARS = 65_536
@@ -140,8 +140,9 @@ class PieceCodec(dict):
     by rank; four times as fast), all others to the library.
     """
 
-    def __init__(self, path: str, ids: bool):
+    def __init__(self, path: str, ids: bool, remembered: int = MEMORY_PIECES):
         super().__init__()
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -181,9 +182,11 @@ class PieceCodec(dict):
             else:
                 value = self._fresh(self.prefix + piece)
         if len(piece) <= MEMORY_CHARS:
-            if len(self) >= MEMORY_PIECES:
+            if len(self) >= self.remembered:
+                self.old = {}  # goes before the next one is made
                 self.old = dict(self)
                 self.clear()
+                trim()
             self[piece] = value
         return value
 
@@ -211,7 +214,7 @@ _SPACE, _CONTROL, _WHITE = re.compile(r" (?=\S)"), re.compile("[\x1c-\x1f]"), re
 #: A space between words, and runs too long for the small merger.
 _BETWEEN, _LONG = re.compile(r"(?<=\S) (?=\S)"), re.compile(rf"\S{{{MERGER_CHARS},}}|\s{{{MERGER_CHARS},}}")
 
-_CODECS: dict[tuple[str, bool], PieceCodec] = {}
+_CODECS: dict[tuple[str, bool, int], PieceCodec] = {}
 _COUNTERS: dict[str, BatchCounter] = {}
 remember("codec", _CODECS.clear)
 remember("counter", _COUNTERS.clear)
@@ -224,11 +227,12 @@ def counter(vocabulary: str) -> BatchCounter:
     return _COUNTERS[vocabulary]
 
 
-def codec(vocabulary: str, ids: bool = False) -> PieceCodec:
-    """The worker's codec of a vocabulary file."""
-    key = (vocabulary, ids)
+def codec(vocabulary: str, ids: bool = False, remembered: int = MEMORY_PIECES) -> PieceCodec:
+    """The worker's codec of a vocabulary file; ``remembered``: pieces in each generation, which tell only how fast it is."""
+    key = (vocabulary, ids, remembered)
     if key not in _CODECS:
-        _CODECS[key] = PieceCodec(vocabulary_path(vocabulary), ids)
+        _CODECS[key] = PieceCodec(vocabulary_path(vocabulary), ids, remembered)
+        trim()  # what reading the vocabulary took
     return _CODECS[key]
 
 
