@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import constants as C
+from ..operators.finds import Found, finder
 from ..operators.lexer import small_batches
 from ..operators.rules import BUILT_IN, find
 
@@ -59,9 +63,64 @@ def lint(sources: DataFrame, config: Config | None = None, longest: int = LONGES
     Sources that are null or longer than ``longest`` give one VL000 each, whatever the configuration says, and the others are linted as ever.
     """
     config = config or Config()
+    return limited(configured(find(_keyed(sources, longest), config.enabled()), config), config.max_violations)
+
+
+def _keyed(sources: DataFrame, longest: int) -> DataFrame:
     keyed = sources if "row" in sources.columns else sources.withColumn("row", F.monotonically_increasing_id())
-    whole = keyed.withColumn("_why", broken(keyed, longest)).withColumn("source", F.when(F.col("_why").isNull(), F.col("source")))
-    return limited(configured(find(whole, config.enabled()), config), config.max_violations)
+    return keyed.withColumn("_why", broken(keyed, longest)).withColumn("source", F.when(F.col("_why").isNull(), F.col("source")))
+
+
+#: Bytes of texts in an Arrow batch that Python hands on, about, and rows at most.
+FLUSH, ROWS = 1 << 22, 1 << 13
+
+
+def in_place(sources: DataFrame, told: Callable[[object, str | None, bytes | None, Iterator[Found]], Iterator[tuple]], made: str, config: Config | None = None, longest: int = LONGEST) -> DataFrame:
+    """Rows ``made`` (a schema) that ``told`` makes of each source's row, file, bytes and findings, which are those of lint, in order of tokens.
+
+    All is one pass where sources lie: nothing is shuffled or sorted, and a task holds a batch of sources and some MB of rows. Texts of rows are strings or bytes.
+    A limit of violations is lint's alone.
+    """
+    config = config or Config()
+    if config.max_violations > 0:
+        raise ValueError("a limit of violations goes by rules in order: see lint")
+    small_batches(sources.sparkSession)
+    whole = _keyed(sources.withColumn("_given", F.col("source")), longest)
+    given = F.when(F.col("_why").isNotNull() | ~F.is_valid_utf8("_given"), F.col("_given").cast("binary"))  # else it is what is lexed
+    rows = whole.select("row", "file", "language", F.make_valid_utf8("source").alias("source"), "_why", given.alias("_given"))
+    rules, severities = config.enabled(), {k: v[1] for k, v in config.rules.items()}
+    schema = to_arrow_schema(StructType.fromDDL(made))
+
+    def each(batches):
+        found = finder(rules, severities)
+        for batch in batches:
+            row, file, why, given = (batch.column(c).to_pylist() for c in ("row", "file", "_why", "_given"))
+            texts = batch.column("source")
+            for i, f in enumerate(found(texts, batch.column("language"), why)):
+                source = texts[i].as_py() if given[i] is None else None
+                yield from told(row[i], file[i], given[i] if source is None else source.encode(), f)
+
+    return rows.mapInArrow(lambda batches: batched(each(batches), schema), made)
+
+
+def batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Tuples as Arrow batches of a bounded size; texts that are not valid UTF-8 stay as they are."""
+    held, size = [], 0
+
+    def column(values: tuple, kind: pa.DataType) -> pa.Array:
+        return pa.array(values, pa.binary()).view(kind) if kind == pa.string() else pa.array(values, kind)
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([column(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    for r in rows:
+        held.append(r)
+        size += sum([len(x) for x in r if isinstance(x, bytes | str)])
+        if size >= FLUSH or len(held) >= ROWS:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
 def without_doubles(diagnostics: DataFrame) -> DataFrame:
