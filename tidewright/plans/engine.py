@@ -170,16 +170,39 @@ def _spliced(sources: pa.Array, edits: pa.Array) -> pa.Array:
     def one(source: str | None, edits: list | None) -> str | None:
         if source is None or edits is None:
             return None
-        raw, at, out = source.encode(), 0, []
-        for e in edits:
-            if e["start"] >= at:
-                out += [raw[at : e["start"]], e["fix"].encode()]
-                at = e["end"]
-        return b"".join([*out, raw[at:]]).decode(errors="replace")
+        return _put(source.encode(), [(e["start"], e["end"], e["fix"]) for e in edits]).decode(errors="replace")
 
     return pa.array([one(s.as_py(), e.as_py()) for s, e in zip(sources, edits, strict=True)], pa.string())
 
 
+def _put(raw: bytes, edits: list[tuple[int, int, str]]) -> bytes:
+    at, out = 0, []
+    for start, end, fix in edits:
+        if start >= at:
+            out += [raw[at:start], fix.encode()]
+            at = end
+    return b"".join([*out, raw[at:]])
+
+
+def linted_fixes(sources: DataFrame, config: Config | None = None, camel: bool = False) -> DataFrame:
+    """(row, file, fixed) of sources (file, source, language) with what lint finds in them, as apply_fixes has them; ``row`` is a number of this run where sources
+    have none. A source is put together where it is cut, so that no source or edit goes to a join."""
+
+    def told(row: object, file: str | None, source: bytes | None, found: Iterator[Found]) -> Iterator[tuple]:
+        best: dict[int, tuple[str, int, str]] = {}
+        for _, rule, _, _, _, fixes, _, _, start, end in found:
+            if fixes and start < end:
+                one = rule, end, fixes[1 if camel and len(fixes) > 1 else 0]
+                if start not in best or one[:2] < best[start][:2]:
+                    best[start] = one
+        if source is not None and best:
+            source = _put(source.decode(errors="replace").encode(), [(start, best[start][1], best[start][2]) for start in sorted(best)]).decode(errors="replace").encode()
+        yield row, file, source
+
+    kind = dict(sources.dtypes).get("row", "bigint")
+    return in_place(sources, told, f"row {kind}, file string, fixed string", config)
+
+
 def text_line() -> Column:
     """file:line:col: severity [RULE] message"""
     return F.format_string("%s:%d:%d: %s [%s] %s", "file", "line", "col", "severity", "rule_id", "message")
