@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from . import reports
+from . import engine, reports
 
 RuleFn = Callable[[DataFrame], DataFrame]
 _ADDED: dict[str, RuleFn] = {}
@@ -59,18 +59,39 @@ def _gathered(files: DataFrame, diagnostics: DataFrame, ordered_by: tuple[str, .
     return files.select("file").join(each, F.col("file").eqNullSafe(F.col("_file")), "left").drop("_file").fillna(0, ["errors", "warnings", "infos"])
 
 
+def _event(text: Column) -> Column:
+    return F.concat(F.lit("data: "), text, F.lit("\n\n"))
+
+
 def event_stream(files: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """(file, done, start, event): server-sent events, one a diagnostic, and one with the file's own counts when it is done.
 
     A client reads a file's events in order of done, start; a file without diagnostics has its last event all the same.
     """
-    line = lambda c: F.concat(F.lit("data: "), c, F.lit("\n\n"))
-    event = lambda done, start, text: F.struct(F.lit(done).alias("done"), start.cast("int").alias("start"), line(text).alias("event"))
+    event = lambda done, start, text: F.struct(F.lit(done).alias("done"), start.cast("int").alias("start"), _event(text).alias("event"))
     last = F.to_json(F.struct(F.lit(True).alias("done"), F.struct("errors", "warnings", "infos").alias("stats")))
     events = F.concat(F.coalesce(F.transform("l", lambda x: event(False, x["start"], x["r"])), F.array().cast("array<struct<done: boolean, start: int, event: string>>")), F.array(event(True, F.lit(None), last)))
     return _gathered(files, diagnostics, ("start", "rule_id")).select("file", F.explode(events).alias("e")).select("file", "e.*")
 
 
+def linted_events(files: DataFrame, config: engine.Config | None = None) -> DataFrame:
+    """(file, done, start, event) of files (file, source, language) and what lint finds in them, as event_stream has them: a source's events where it is cut, the
+    last one after them, so that none of them is gathered or joined. Sources of one name have events each."""
+    fields = ("rule_id", "severity", "message", "identifier", "fixes", "line", "col", "start")
+
+    def told(_, file: str | None, source: bytes | None, found: Iterator[engine.Found]) -> Iterator[tuple]:
+        n = dict.fromkeys(engine.SEVERITIES, 0)
+        for _, rule, severity, message, identifier, fixes, line, col, start, _ in found:
+            n[severity] = n.get(severity, 0) + 1
+            yield file, False, rule, severity, message, identifier, fixes, line, col, start, None, None, None
+        yield file, True, *[None] * len(fields), n["error"] + n["fatal"], n["warning"], n["info"]
+
+    made = "file string, done boolean, rule_id string, severity string, message string, identifier string, fixes array<string>, line int, col int, start int, errors long, warnings long, infos long"
+    rows = engine.in_place(files, told, made, config)
+    last = F.to_json(F.struct("done", F.struct("errors", "warnings", "infos").alias("stats")))
+    return rows.select("file", "done", "start", _event(F.when(F.col("done"), last).otherwise(reports.json_record())).alias("event"))
+
+
 def answers(diagnostics: DataFrame, files: DataFrame) -> DataFrame:
     """(file, body): one JSON reply a file, with its diagnostics in order and its counts."""
     records = F.coalesce(F.transform("l", lambda x: x["r"]), F.array().cast("array<string>"))

@@ -111,8 +111,7 @@ _STATS = "to_json({'done': true, 'stats': {'errors': count(*) FILTER (severity =
     f"UNION ALL SELECT s.file, true, 'data: ' || {_STATS} || chr(10) || chr(10) FROM ({SQL_CODE}) s LEFT JOIN found f ON f.file = s.file GROUP BY s.file",
 )
 def event_stream(spark, sf):
-    files_of = code_files(table(spark, sf, "documents"))
-    return service.event_stream(files_of, engine.lint(files_of)).select("file", "done", "event")
+    return service.linted_events(code_files(table(spark, sf, "documents"))).select("file", "done", "event")
 
 
 #: Names as a corpus, with labels by the corpus' own rules.
